@@ -80,7 +80,7 @@ def scan(text: str | None, automaton) -> tuple[int, list[dict], list[int]]:
     joined = f" {b' '.join(w).decode('latin-1')} "
     for end, (n, ids) in automaton.iter(joined):
         spans.append((end, n))
-        items.update(ids)
+        items.update(i for i in ids if i is not None)
     if not spans:
         return len(w), [], []
     spaces = np.flatnonzero(np.frombuffer(joined.encode("latin-1"), np.uint8) == 32)
