@@ -9,7 +9,7 @@ from barloom.llm.common import checkpointed
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for each node with an edge; root is the smallest node that it can reach.
+    """(node, root) for each node that can reach a smaller one; root is the smallest that it can reach.
 
     Each round is checkpointed in the shared folder. The join of a node's links with its smallest neighbour has
     unique keys on one side, so Spark can split the links of a node with very many.
@@ -32,9 +32,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def _mark(edges: DataFrame):
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return row[0], row[1]
-
-
-def with_roots(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
-    """nodes with the column root; a node without links is its own root."""
-    roots = connected_components(edges).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    return nodes.join(roots, F.col(node) == F.col("_node"), "left").withColumn("root", F.coalesce("_root", node)).drop("_node", "_root")

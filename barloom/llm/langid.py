@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,16 +13,24 @@ from pyspark.sql import types as T
 from barloom.llm.common import bound_batches, fold_of
 
 #: Bounded sample that the dictionaries are made of: bytes of a dictionary, bytes of one text in it, languages.
-DICTIONARY_BYTES, TEXT_BYTES, LANGUAGES = 96 << 10, 1 << 10, 512
+DICTIONARY_BYTES, TEXT_BYTES, LANGUAGES = 32 << 10, 1 << 10, 512
 #: Rows of a language that are looked at for its dictionary.
 SAMPLE_ROWS = 192
 #: A text is rejected if its best two languages differ by less than this share of the best size.
-MARGIN = 0.02
-LEVEL = 1
+MARGIN = 0.005
+#: Texts are encoded in blocks of so many bytes, each with the dictionary, so that a long text's own repeats do not hide it.
+BLOCK, LEVEL = 4096, 6
+
+_NO_LETTER = re.compile(r"[\W\d_]+")
 
 _ready: dict[str, list] = {}
 
 
+def normalise(text: str) -> str:
+    """Lower-case letters, with one space for whatever stands between."""
+    return _NO_LETTER.sub(" ", text.lower())
+
+
 def dictionaries(docs: DataFrame, fold: int | None = 2, folds: int = 4, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
     """Raw content of one dictionary for each language, from a bounded sample of labelled rows outside the fold.
 
@@ -38,7 +47,7 @@ def dictionaries(docs: DataFrame, fold: int | None = 2, folds: int = 4, text: st
         found.setdefault(r.lang, {})[r.text] = None
     out = {}
     for name, texts in sorted(found.items()):
-        raw = "\n".join(texts).encode()[:DICTIONARY_BYTES]
+        raw = " ".join(map(normalise, texts)).encode()[:DICTIONARY_BYTES]
         out[name] = raw if len(raw) >= 8 else raw.ljust(8)
     return out
 
@@ -73,8 +82,9 @@ def identify(text: Column, shared, name: str) -> Column:
 def verdict(text: str | None, coders: list) -> tuple[str, float, float]:
     if not text or not coders or not any(map(str.isalpha, text)):
         return "und", 0.0, 0.0
-    raw = text.encode()
-    sizes = sorted((len(c.compress(raw)), lang) for lang, c in coders)
+    raw = normalise(text).encode()
+    blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+    sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in coders)
     best, lang = sizes[0]
     if len(sizes) == 1:
         return lang, 1.0, 1.0

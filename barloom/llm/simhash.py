@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ascii_lower, bound_batches, checkpointed, staged  # noqa: F401
+from barloom.llm.common import bound_batches, staged
 from barloom.llm.components import connected_components
 
 #: Words of a shingle, seed of XXH64, differing bits of a link.
@@ -85,7 +85,7 @@ class BKTree:
 
 
 def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """At most one link from each value to the root of its group in this shard: the groups, not all pairs."""
+    """At most one link from each (unsigned) value to the root of its group in this shard: the groups, not all pairs."""
     if len(values) == 2:
         a, b = values
         return [(a, b)] if (a ^ b).bit_count() <= radius else []
@@ -140,19 +140,19 @@ def links(prints: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) ->
             found = shard_links(values, radius) if len(values) > 1 else []
             if found:
                 a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], schema=schema)
 
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[int]]:
-    """fp values of each run of equal keys in sorted batches; runs may span batches."""
+    """Unsigned fp values of each run of equal keys in sorted batches; runs may span batches."""
     last, kept = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
         marks = np.stack([np.asarray(batch.column(k)) for k in keys], axis=1)
-        fp = np.asarray(batch.column("fp"))
+        fp = np.asarray(batch.column("fp")).view(np.uint64)
         cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(fp)]
         for i, j in zip(cuts, cuts[1:]):
             key = tuple(marks[i])

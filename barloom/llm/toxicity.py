@@ -23,9 +23,24 @@ Z_LEAST, DRIFT, E_MOST = 2.5, 0.05, 0.01
 _EULER = 0.5772156649015329
 
 
+#: Bytes of the word starts that count as tokens of their own, so that inflected and compound words are known.
+STARTS = (4, 5, 6)
+
+
 def buckets(text: str | None) -> np.ndarray:
+    """A row for each word: the bucket of the word and those of its starts; a start not shorter than the word is the word's."""
     w = words(text)
-    return np.fromiter(map(crc32, w), np.int64, len(w)) & (BUCKETS - 1)
+    out = np.empty((len(w), 1 + len(STARTS)), np.int64)
+    out[:, 0] = np.fromiter(map(crc32, w), np.int64, len(w))
+    for k, n in enumerate(STARTS):
+        out[:, k + 1] = np.fromiter([crc32(x[:n], n) if len(x) > n else crc32(x) for x in w], np.int64, len(w))
+    return out & (BUCKETS - 1)
+
+
+def word_scores(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The strongest log-odds among a word's tokens."""
+    each = scores[ids]
+    return np.take_along_axis(each, np.abs(each).argmax(axis=1)[:, None], axis=1)[:, 0] - DRIFT
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +91,7 @@ def decay(scores: np.ndarray, weights: np.ndarray) -> float:
 def evidence(text: str | None, model: dict) -> tuple[float, float, list[dict]]:
     """Summed excess of the significant segments' bit scores; best score; the segments as word offsets."""
     ids = buckets(text)
-    found = maximal_segments(model["scores"][ids]) if len(ids) else []
+    found = maximal_segments(word_scores(ids, model["scores"])) if len(ids) else []
     if not found:
         return 0.0, 0.0, []
     base = math.log(model["k"] * len(ids)) - math.log(E_MOST)
@@ -102,20 +117,20 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, folds: int = 5
         total = np.zeros((2, BUCKETS), np.int64)
         for rows in batches:
             for text, y in zip(rows.text, rows.toxic):
-                np.add.at(total[1 if y else 0], buckets(text), 1)
+                np.add.at(total[1 if y else 0], buckets(text).ravel(), 1)
         y, b = np.nonzero(total)
         yield pd.DataFrame({"toxic": y, "bucket": b, "n": total[y, b]})
 
     sums = train.mapInPandas(count, "toxic long, bucket long, n long").groupBy("bucket").agg(F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c")).toPandas()
     toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
     toxic[sums.bucket.to_numpy(int)], clean[sums.bucket.to_numpy(int)] = sums.t.to_numpy(float), sums.c.to_numpy(float)
-    model = {"scores": np.full(BUCKETS, -DRIFT), "decay": 1.0, "k": 1.0, "a": 0.0, "b": -30.0}
+    model = {"scores": np.zeros(BUCKETS), "decay": 1.0, "k": 1.0, "a": 0.0, "b": -30.0}
     if not toxic.sum() or not clean.sum():  # one class at most was seen: every text gets its share
         model |= {"a": 0.0, "b": 30.0 if toxic.sum() else -30.0}
         return model
     delta, z = log_odds(toxic, clean)
-    model["scores"] = np.where(np.abs(z) >= Z_LEAST, delta, 0.0) - DRIFT
-    model["decay"] = decay(model["scores"], clean)
+    model["scores"] = np.where(np.abs(z) >= Z_LEAST, delta, 0.0)
+    model["decay"] = decay(model["scores"] - DRIFT, clean)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

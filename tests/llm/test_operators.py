@@ -1,0 +1,424 @@
+"""Every operator against a plain brute-force version, on the small tables and on awkward rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from barloom.llm import decontam, embed_dedup, encode, langid, packing, pii, queries, simhash, suffix_dedup, token_codes, token_count, toxicity
+from barloom.llm.common import scratch
+from barloom.llm.components import connected_components
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+LONG = "wörd " * 30_000
+ODD = [(1, None), (2, ""), (3, "a"), (4, " \n\t "), (5, LONG), (6, "same text here " * 40), (6, "same text here " * 40), (7, "same text here " * 40), (None, "no id"), (8, "1234 5678"), (9, "<|endoftext|> é  x　y"), (10, "日本語 text")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(d, t, "en" if d and d % 2 else None, "s", None, 7, "extra") for d, t in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words int, score string")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, small):
+    return spark.read.parquet(f"{small}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
+def roots(nodes, links):
+    up = {x: x for x in nodes}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {x: find(x) for x in nodes}
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(1, 300)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = roots({x for p in links for x in p}, links)
+    assert got == {x: r for x, r in want.items() if x != r}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def cosine_truth(rows, threshold=0.98):
+    good = []
+    for i, (v, label, e) in enumerate(rows):
+        if v is not None and label is not None and e and all(x is not None and math.isfinite(x) for x in e) and any(e):
+            x = np.array(e, np.float64)
+            good.append((i, label, x / np.linalg.norm(x)))
+    links = [(i, j) for a, (i, la, x) in enumerate(good) for j, lb, y in good[a + 1 :] if la == lb and len(x) == len(y) and x @ y >= threshold]
+    n = Counter(k for p in links for k in p)
+    ids = [r[0] for r in rows]
+    return n, links, ids
+
+
+def test_embeddings(spark, small):
+    table = spark.read.parquet(f"{small}/embeddings.parquet")
+    rows = [(r.vec_id, r.label, r.embedding) for r in table.collect()]
+    n, links, ids = cosine_truth(rows)
+    root = roots(set(ids), [(ids[i], ids[j]) for i, j in links])
+    want = sorted((v, n[i], root[v], v == root[v]) for i, v in enumerate(ids))
+    for block in (1024, 8):
+        assert sorted(map(tuple, embed_dedup.near_duplicates(table, block=block).collect())) == want
+
+
+def test_embeddings_odd(spark):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal(8)
+    rows = [(1, 0, base.tolist()), (2, 0, base.tolist()), (3, 0, (base * 3).tolist()), (4, 1, base.tolist()), (5, None, base.tolist()), (6, 0, None), (7, 0, [0.0] * 8), (8, 0, [float("nan")] * 8), (9, 0, [None] + [1.0] * 7), (None, 0, base.tolist()), (2, 0, base.tolist()), (10, 0, []), (11, 0, [float("inf")] + [1.0] * 7), (12, 0, [1.0, 2.0])]
+    rows += [(100 + i, 0, (base + rng.standard_normal(8) * 0.02).tolist()) for i in range(60)]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, label int, embedding array<float>, n_links string")
+    back = [(r.vec_id, r.label, r.embedding) for r in table.collect()]
+    n, links, ids = cosine_truth(back)
+    root = roots({v for v in ids if v is not None}, [(ids[i], ids[j]) for i, j in links])
+    want = sorted(((v, n[i], root.get(v), v is not None and v == root[v]) for i, v in enumerate(ids)), key=str)
+    assert sorted(map(tuple, embed_dedup.near_duplicates(table, block=16).collect()), key=str) == want
+    assert embed_dedup.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_encoder(tokenizer, docs):
+    texts = [r.text for r in docs.limit(60).collect()] + [t for _, t in ODD if t] + ["a  b c", "it's 's 12 a\x1c b", " ", "\n", "x <|endoftext|> y<|endoftext|>z w", " lead", "trail "]
+    for t, raw in zip(texts, encode.PieceEncoder(PATH).encode_all(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:50]
+
+
+def check_packing(rows, texts, tokenizer, capacity=2048):
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+    for doc, text in texts.items():
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(by_doc[doc], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.length > 0
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for pieces in by_seq.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == capacity or at < capacity and at & (at - 1) == 0
+
+
+def test_packing(spark, small, docs, odd, tokenizer):
+    check_packing(queries.op2_packing(spark, small).collect(), {r.doc_id: r.text for r in docs.collect()}, tokenizer)
+    single = odd.where("doc_id is null or doc_id != 6")
+    check_packing(packing.pack_documents(single, PATH).collect(), {r.doc_id: r.text for r in single.collect()}, tokenizer)
+    assert packing.pack_documents(odd.limit(0), PATH).count() == 0
+    assert packing.pack_documents(odd, PATH).where("doc_id = 6").agg(F.sum("length")).first()[0] == 2 * (1 + len(tokenizer.encode(ODD[5][1]).ids))
+
+
+def test_packing_balances_cost():
+    rng = random.Random(5)
+    lengths = [rng.randrange(1, 1500) for _ in range(300)]
+    pieces, n = packing.plan(lengths)
+    spent = Counter()
+    for _, _, length, seq in pieces:
+        spent[seq] += packing.cost(length)
+    full = sorted(spent.values())[12:]
+    assert max(full) < 1.35 * min(full) and n == len(spent)
+
+
+def repeats_truth(rows, T):
+    texts = [(t or "").encode() for _, t in rows]
+    seen = Counter(t[i : i + T] for t in texts for i in range(len(t) - T + 1))
+    out = []
+    for (d, _), t in zip(rows, texts):
+        gone = np.zeros(len(t) + 2, int)
+        for i in range(len(t) - T + 1):
+            if seen[t[i : i + T]] > 1:
+                gone[i] += 1
+                gone[i + T] -= 1
+        hit = np.cumsum(gone[: len(t)]) > 0 if t else np.zeros(0, bool)
+        runs = int((np.diff(np.concatenate(([0], hit.astype(int)))) == 1).sum())
+        left = np.frombuffer(t, np.uint8)[~hit].tobytes()
+        out.append((d, len(t), int(hit.sum()), runs, hashlib.sha256(left).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_repeats(spark, small, docs):
+    want = repeats_truth([(r.doc_id, r.text) for r in docs.collect()], 400)
+    assert sorted(map(tuple, queries.op3_suffix_dedup(spark, small).collect()), key=str) == want
+
+
+def test_repeats_odd(spark, odd):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    shared = [word(rng.randrange(30, 160)) for _ in range(6)]
+    rows = [(i % 80, "".join(rng.choice([word(rng.randrange(0, 60)), *rng.sample(shared, 2)]) for _ in range(rng.randrange(8)))) for i in range(120)]
+    rows += [(500, "z" * 333), (501, "ab" * 100), (502, None), (503, ""), (None, shared[0] * 2), (None, shared[0] * 2)]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_bytes int")
+    for T, limit in ((40, 20_000), (40, 3), (41, 20_000), (100, 0)):
+        got = suffix_dedup.remove_repeats(table, threshold=T, group_limit=limit).drop("kept").collect()
+        assert sorted(map(tuple, got), key=str) == repeats_truth(rows, T), (T, limit)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(odd).drop("kept").collect()), key=str) == repeats_truth(ODD, 400)
+    assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
+
+
+def test_repeats_in_chunks(monkeypatch):
+    rng = np.random.default_rng(4)
+    b = rng.integers(97, 100, 5000).astype(np.uint8)
+    whole = suffix_dedup.anchors(b, 60)
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 700)
+    parts = suffix_dedup.anchors(b, 60)
+    assert all((x == y).all() for x, y in zip(whole, parts))
+
+
+def test_maximal_segments():
+    def brute(s):  # the best segment, then the same left and right of it
+        best, at = 0, None
+        for i in range(len(s)):
+            for j in range(i + 1, len(s) + 1):
+                if (x := s[i:j].sum()) > best + 1e-9:
+                    best, at = x, (i, j)
+        if at is None:
+            return []
+        i, j = at
+        return brute(s[:i]) + [(i, j)] + [(a + j, b + j) for a, b in brute(s[j:])]
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        s = rng.integers(-5, 6, rng.integers(0, 25)).astype(float) + 0.001 * rng.standard_normal()
+        got = toxicity.maximal_segments(s)
+        assert abs(sum(x for *_, x in got) - sum(s[a:b].sum() for a, b in brute(s))) < 1e-6 and all(abs(s[a:b].sum() - x) < 1e-9 for a, b, x in got)
+
+
+def test_toxicity_held_out(spark, odd):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    found = queries.op4_toxicity(spark, d)
+    assert found.count() == spark.read.parquet(f"{d}/documents.parquet").count()
+    rows = found.join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
+    assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.95
+    got = toxicity.detect(odd, labels).select("doc_id", "tox_score").collect()
+    assert len(got) == len(ODD) and all(0 <= r.tox_score <= 1 for r in got)
+    assert toxicity.detect(odd, labels.limit(0)).where("tox_score >= 0.5").count() == 0
+    assert toxicity.detect(odd.limit(0), labels).count() == 0
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def leaks_truth(docs, items):
+    w = lambda t: WORD.findall((t or "").translate(LOWER))
+    wins = defaultdict(set)
+    for item, t in items:
+        x = w(t)
+        for k in range(max(1, len(x) - 9) if x else 0):
+            wins[tuple(x[k : k + 10])].add(item)
+    sizes, out = {len(k) for k in wins}, []
+    for d, t in docs:
+        x, hit, ids = w(t), set(), set()
+        for n in sizes:
+            for k in range(len(x) - n + 1):
+                if found := wins.get(tuple(x[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    ids |= found
+        out.append((d, len(x), len(hit), len(ids - {None}), hashlib.sha256(",".join(sorted(map(str, ids - {None}))).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=str)
+
+
+def test_decontamination(spark, small, docs, odd, monkeypatch):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    assert sorted(map(tuple, queries.op5_decontamination(spark, small).collect()), key=str) == leaks_truth([(r.doc_id, r.text) for r in docs.collect()], items)
+    odd_items = [(1, "Same TEXT"), (2, None), (3, ""), (None, "here same text"), (4, "wörd " * 12), (5, "1234"), (11, "same text"), (12, "text here same text here same text here same text here")]
+    bench = spark.createDataFrame(odd_items, "item_id long, text string")
+    names = F.sha2(F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",").cast("binary"), 256)
+    want = leaks_truth(ODD, odd_items)
+    for limit in (500_000, 8):
+        monkeypatch.setattr(decontam, "WINDOWS_A_PASS", limit)
+        found = decontam.decontaminate(odd, bench)
+        assert sorted(map(tuple, found.select("doc_id", "n_words", "n_hit", F.size("items"), names, "contaminated").collect()), key=str) == want
+    for r in found.where("contaminated").collect():
+        for h in r.hits:
+            assert WORD.findall(r.text[h.start : h.end].translate(LOWER)) == WORD.findall(r.text.translate(LOWER))[h.first : h["last"] + 1]
+    assert decontam.decontaminate(odd, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_token_codes_round_trip(spark, docs, odd, tokenizer, monkeypatch):
+    for ids in ([], [0], [255, 256, 65535, 65536, 2**32 - 1, 7] * 300, list(range(5000))):
+        payload = token_codes.pack(np.array(ids, np.uint32))
+        assert token_codes.unpack(payload).tolist() == ids
+        assert [token_codes.access(payload, i) for i in range(len(ids))] == ids
+    for table, rows in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (odd, ODD)):
+        path = scratch(spark, "codes")
+        token_codes.write_tokens(table, path, PATH)
+        got = sorted(token_codes.read_documents(spark, path).collect(), key=lambda r: r.start)
+        at, flat = 0, []
+        assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
+        texts = Counter((d, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])) for d, t in rows)
+        assert Counter((r.doc_id, tuple(r.ids)) for r in got) == texts
+        for r in got:
+            assert r.start == at and r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+            at += r.n_tokens
+            flat += r.ids
+        for i in (0, len(flat) // 2, len(flat) - 1):
+            assert token_codes.token_at(spark, path, i) == flat[i]
+    path = scratch(spark, "codes")
+    token_codes.write_tokens(odd.limit(0), path, PATH)
+    assert token_codes.read_documents(spark, path).count() == 0
+
+
+def test_language(spark, odd):
+    d = "/root/testdata/sf0.01"
+    rows = queries.op7_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    right = [r.lang_pred == r.lang for r in rows]
+    assert sum(right) / len(right) > 0.95
+    got = {r.doc_id: r for r in langid.classify(odd, spark.read.parquet(f"{d}/documents.parquet")).collect()}
+    assert len(got) == len({d for d, _ in ODD}) and all(got[k].lang_pred == "und" and got[k].rejected for k in (1, 2, 4, 8))
+    assert langid.classify(odd.limit(0)).count() == 0
+    assert langid.classify(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred != 'und'").count() == 0
+
+
+def print_of(text):
+    w = (text or "").translate(LOWER)
+    w = re.findall(r"[^\x20\x09-\x0D]+", w)
+    shingles = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def test_simhash(spark, small, docs, odd):
+    for table, rows in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (odd, [r for r in ODD if r[0] != 5])):
+        table = table.where("doc_id is null or doc_id != 5") if table is odd else table
+        prints = [(d, print_of(t)) for d, t in rows]
+        links = [((a), (b)) for i, (a, x) in enumerate(prints) for b, y in prints[i + 1 :] if (x ^ y).bit_count() <= 4 and a is not None and b is not None]
+        root = roots({d for d, _ in rows if d is not None}, links)
+        want = sorted(((d, f"{p:016x}", root.get(d)) for d, p in prints if d is not None), key=str)
+        for limit in (4096, 2):
+            got = simhash.near_duplicates(table, limit=limit).where("doc_id is not null").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id").collect()
+            assert sorted(map(tuple, got), key=str) == want
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_simhash_links_are_complete(spark):
+    rng = random.Random(9)
+    values = set()
+    for _ in range(40):
+        x = rng.getrandbits(64)
+        values |= {x} | {x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))) for _ in range(12)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    table = spark.createDataFrame([(v,) for v in signed], "fp long")
+    truth = roots(signed, [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
+    for limit in (4096, 3):
+        got = roots(signed, [tuple(r) for r in simhash.links(table, limit=limit).collect()])
+        assert got == truth
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def test_pii(spark):
+    texts = ["card 4111 1111 1111 1111, again 4111-1111-1111-1111.", "no card 4111 1111 1111 1112", "ip 10.1.22.250 and 300.1.1.1", "born 1984-02-29 or 29.02.1984, not 1983-02-29", "ssn 123-45-6789 not 666-45-6789", "call +1 (555) 123-4567 or +1 555 123 4567", "mail Jo.Do-9@mail8.example.com, Jo.Do-9@mail8.example.com", "iban DE89 3704 0044 0532 0130 00", "plain 3.14 words a1b2c3 v1.2.3", None, "", "1/2/2001", "x4111111111111111x"]
+    table = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_values int")
+    got = {r.doc_id: r for r in pii.pseudonymise(table).collect()}
+    a, b = re.findall(r"\d[\d -]{18}", got[0].text)
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "4111111111111111" and luhn(re.sub(r"\D", "", a)) and a[0] == "4"
+    assert got[1].text == texts[1] and got[8].text == texts[8] and got[9].text is None and got[10].text == "" and got[12].text == texts[12]
+    assert "300.1.1.1" in got[2].text and "10.1.22.250" not in got[2].text and got[2].n_values == 1
+    iso, dotted = re.match(r"born (\d{4}-\d\d-\d\d) or (\d\d\.\d\d\.\d{4}), not 1983-02-29", got[3].text).groups()
+    assert iso != "1984-02-29" and dotted == ".".join(reversed(iso.split("-")))
+    assert "666-45-6789" in got[4].text and "123-45-6789" not in got[4].text
+    m = re.match(r"call (\+1 \(\d{3}\) \d{3}-\d{4}) or (\+1 \d{3} \d{3} \d{4})$", got[5].text)
+    assert re.sub(r"\D", "", m[1]) == re.sub(r"\D", "", m[2]) != "15551234567"
+    x, y = re.findall(r"[A-Z][a-z]\.[A-Z][a-z]-\d@mail8\.example\.com", got[6].text)
+    assert x == y and not x.startswith("Jo.Do-9@")
+    iban = re.sub(r"\W", "", got[7].text.removeprefix("iban "))
+    assert iban != "DE89370400440532013000" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert re.fullmatch(r"\d{1,2}/\d{1,2}/\d{4}", got[11].text) and got[11].text != "1/2/2001"
+    assert pii.pseudonymise(table.limit(0)).count() == 0
+
+
+def test_pii_permutes(spark):
+    """Each format's whole small domain maps onto itself; all days of a block do, too."""
+    col = F.lpad(F.col("id").cast("string"), 4, "0")
+    assert spark.range(10_000).select(pii._digits(col, "t", "k").alias("x")).distinct().where("length(x) = 4").count() == 10_000
+    days = spark.range(72_900).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
+    out = days.select(pii.pseudonym(F.col("d"), "k").alias("x")).agg(F.countDistinct("x"), F.min("x"), F.max("x")).first()
+    assert tuple(out) == (72_900, "1900-01-01", days.agg(F.max("d")).first()[0])
+    mails = spark.range(26 * 26).select(F.concat(F.char((F.col("id") / 26).cast("int") + 97), F.char((F.col("id") % 26).cast("int") + 97), F.lit("@a.org")).alias("m"))
+    assert mails.select(pii.pseudonym(F.col("m"), "k").alias("x")).distinct().count() == 26 * 26
+
+
+def test_pii_is_native(spark, small):
+    plan = queries.op9_pii(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_token_counts(spark, small, docs, odd, tokenizer):
+    cache = scratch(spark, "counts")
+    want = sorted((r.doc_id, len(r.text.encode()), len(tokenizer.encode(r.text, add_special_tokens=False).ids)) for r in docs.collect())
+    got = token_count.count_tokens(docs, PATH, cache)
+    assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in got.collect()) == want and got.where("over_limit != (n_tokens > 1024)").count() == 0
+    stored = spark.read.parquet(cache).count()
+    assert stored == docs.select("text").distinct().count()
+    token_count.count_tokens(docs, PATH, cache).count()
+    assert spark.read.parquet(cache).count() == stored  # all were hits
+    got = token_count.count_tokens(odd, PATH, cache).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got), key=str) == sorted(((d, len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for d, t in ODD), key=str)
+    piece = public_tokenizers.path("piece_bpe_32k.model")
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=piece)
+    got = token_count.count_tokens(docs.limit(20), piece, cache).collect()
+    by_id = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.n_tokens == len(model.encode(by_id[r.doc_id])) for r in got)
+    assert token_count.count_tokens(odd.limit(0), PATH, scratch(spark, "counts")).count() == 0
+
+
+def test_pipeline(spark, small, docs, tokenizer):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "decontamination", "pii", "packing"]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    now = docs
+    lang = corpus_pipeline.language(spark, now, small)
+    assert lang.columns == docs.columns and lang.count() > 0.9 * docs.count()
+    unique = corpus_pipeline.near_dedup(spark, lang, small)
+    first = {r.component_id for r in simhash.near_duplicates(lang).collect()}
+    assert {r.doc_id for r in unique.collect()} == first and unique.count() == len(first)
+    clean = corpus_pipeline.decontaminate(spark, unique, small)
+    dirty = {x[0] for x in leaks_truth([(r.doc_id, r.text) for r in unique.collect()], items) if x[-1]}
+    assert {r.doc_id for r in clean.collect()} == first - dirty
+    private = corpus_pipeline.private(spark, clean, small)
+    assert private.columns == docs.columns and private.where("n_chars != length(text)").count() == 0
+    check_packing(corpus_pipeline.run(spark, small).collect(), {r.doc_id: r.text for r in private.collect()}, tokenizer)
+
+
+def test_pipeline_odd(spark, odd, small):
+    import corpus_pipeline
+
+    now = odd
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (now, now.limit(0)):
+            out = stage(spark, table, small)
+            assert name == "packing" or out.columns == odd.columns
+            out.count()
+        now = out if name == "packing" else stage(spark, now, small)
