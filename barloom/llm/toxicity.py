@@ -16,10 +16,10 @@ from barloom.llm.decontam import words
 
 #: Tokens are counted in so many buckets, which bounds the model for any corpus.
 BUCKETS = 1 << 18
-#: Labelled rows of each class that the model is fitted on (those of the smallest id hash), and the weight of the prior.
-TRAIN_ROWS, PRIOR = 20_000, 1_000.0
+#: Labelled rows of each class that the model is fitted on (those of the smallest id hash), and the prior's weight against them.
+TRAIN_ROWS, PRIOR_SHARE = 20_000, 0.05
 #: Log-odds of a smaller z-score count as none; what each token costs a segment; the E-value of a significant segment.
-Z_LEAST, DRIFT, E_MOST = 2.5, 0.05, 0.01
+Z_LEAST, DRIFT, E_MOST = 3.5, 0.05, 0.3
 _EULER = 0.5772156649015329
 
 
@@ -43,9 +43,10 @@ def word_scores(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
     return np.take_along_axis(each, np.abs(each).argmax(axis=1)[:, None], axis=1)[:, 0] - DRIFT
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+def log_odds(toxic: np.ndarray, clean: np.ndarray, share: float = PRIOR_SHARE) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds ratio of each token with an informative Dirichlet prior, and its z-score (Monroe et al., 2008)."""
     both = toxic + clean
+    prior = share * both.sum()
     a = prior * (both + 0.01) / (both + 0.01).sum()
     y1, y0, n1, n0 = toxic + a, clean + a, toxic.sum() + prior, clean.sum() + prior
     delta = np.log(y1 / np.maximum(n1 - y1, 1e-9)) - np.log(y0 / np.maximum(n0 - y0, 1e-9))
@@ -117,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, folds: int = 5
         total = np.zeros((2, BUCKETS), np.int64)
         for rows in batches:
             for text, y in zip(rows.text, rows.toxic):
-                np.add.at(total[1 if y else 0], buckets(text).ravel(), 1)
+                total[1 if y else 0][np.unique(buckets(text))] += 1  # documents with the token: repeats in one say nothing new
         y, b = np.nonzero(total)
         yield pd.DataFrame({"toxic": y, "bucket": b, "n": total[y, b]})
 
