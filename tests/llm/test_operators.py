@@ -422,3 +422,15 @@ def test_pipeline_odd(spark, odd, small):
             assert name == "packing" or out.columns == odd.columns
             out.count()
         now = out if name == "packing" else stage(spark, now, small)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, small, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    want = c.execute(queries.oracle_sql()[name])
+    names = [x[0] for x in want.description]
+    assert sorted(queries.queries()[name](spark, small).select(names).collect()) == sorted(want.fetchall())
