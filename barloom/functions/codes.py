@@ -51,3 +51,34 @@ def name_similarity(a: Column, b: Column) -> Column:
 def stamp_tax(day: Column) -> Column:
     """Sale tax rate: fixed steps since 2008-09-19."""
     return F.when(day >= F.lit("2023-08-28").cast("date"), 0.0005).otherwise(0.001)
+
+
+def prefixed(ts: Column) -> Column:
+    """sh.600000 of 600000.SH."""
+    return F.concat(F.lower(F.split_part(ts, F.lit("."), F.lit(2))), F.lit("."), F.split_part(ts, F.lit("."), F.lit(1)))
+
+
+def parsed(ts: Column) -> Column:
+    """Struct (symbol, exchange, valid) of a suffixed code; empty parts where it isn't one."""
+    form = r"^(\d{6})\.(SH|SZ|BJ)$"
+    return F.struct(F.regexp_extract(ts, form, 1).alias("symbol"), F.regexp_extract(ts, form, 2).alias("exchange"), ts.rlike(form).alias("valid"))
+
+
+# Words in a delisted name, by the reason they stand for, in order.
+DELIST_WORDS = {
+    "merger": ("吸收合并", "合并"), "acquisition": ("收购",), "bankruptcy": ("破产", "清算"),
+    "voluntary": ("主动", "自愿"), "mandatory": ("终止", "强制"), "code_change": ("股改",),
+}
+
+
+def delist_reason(name: Column) -> Column:
+    """Reason of a delisting by the first kind of word in the name; a G among its first two letters is a code change."""
+    out = F.when(F.lit(False), "")
+    for reason, words in DELIST_WORDS.items():
+        has = name.rlike("|".join(words))
+        out = out.when(has | name.rlike("^.?G") if reason == "code_change" else has, reason)
+    return out.otherwise("unknown")
+
+
+def liability_ratio(assets_to_equity: Column) -> Column:
+    return F.when(assets_to_equity > 1, 1 - 1 / assets_to_equity)

@@ -69,3 +69,20 @@ def rank_ic(df: DataFrame, factor: str, ret: str) -> DataFrame:
 def quantile_returns(df: DataFrame, factor: str, ret: str, n: int = 5) -> DataFrame:
     q = df.withColumn("quantile", F.ntile(n).over(each_date().orderBy(factor, "ts_code")))
     return q.groupBy("trade_date", "quantile").agg(F.avg(ret).alias("mean_ret"), F.count("*").alias("n"))
+
+
+def mean_turnover(bars: DataFrame, n: int = 20, column: str = "volume") -> DataFrame:
+    return bars.select("ts_code", "trade_date", F.avg(column).over(by().rowsBetween(1 - n, 0)).alias(f"turnover_{n}"))
+
+
+def reversal_and_size(bars: DataFrame, n: int = 5, size: str = "amount") -> DataFrame:
+    """The negated return of the last n rows, and the log of a size column."""
+    back = F.try_divide("close", F.lag("close", n).over(by())) - 1
+    return bars.select("ts_code", "trade_date", (-back).alias("reversal"), F.ln(size).alias("size"))
+
+
+def monthly_universe(bars: DataFrame, n: int) -> DataFrame:
+    """The n codes with the highest amount in each month."""
+    month = bars.groupBy(F.to_date(F.trunc("trade_date", "month")).alias("month"), "ts_code").agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("a"))
+    w = Window.partitionBy("month").orderBy(F.col("a").desc(), "ts_code")
+    return month.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).select("month", "ts_code")

@@ -63,3 +63,25 @@ def turnover(weights: DataFrame, group: str = "portfolio") -> DataFrame:
     before = weights.join(days, [group, "trade_date"]).where("next_date is not null").select(group, F.col("next_date").alias("trade_date"), "ts_code", (-F.col("weight")).alias("weight"))
     after = weights.join(days.select(group, F.col("next_date").alias("trade_date")).where("trade_date is not null"), [group, "trade_date"]).select(group, "trade_date", "ts_code", "weight")
     return after.unionByName(before).groupBy(group, "trade_date", "ts_code").agg(F.sum("weight").alias("d")).groupBy(group, "trade_date").agg((F.sum(F.abs("d")) / 2).alias("turnover"))
+
+
+def longest_drawdown(navs: DataFrame, group: str = "portfolio", day: str = "trade_date", least: float = 1e-9) -> DataFrame:
+    """Longest run of rows below the highest value so far; zero where there is none."""
+    from barloom.operators.windows import runs
+
+    found = runs(navs.withColumn("_under", F.col("drawdown") < -least), "_under", group, day).groupBy(group).agg(F.max("n_rows").alias("longest"))
+    return navs.select(group).distinct().join(found, group, "left").select(group, F.coalesce("longest", F.lit(0)).alias("longest"))
+
+
+def summary(navs: DataFrame, group: str = "portfolio", day: str = "trade_date") -> DataFrame:
+    return navs.groupBy(group).agg(F.count("*").alias("n_days"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.max_by("nav", day).alias("final_nav"), F.min("drawdown").alias("max_drawdown"))
+
+
+def yearly(returns: DataFrame, group: str = "portfolio", day: str = "trade_date", periods: int = 252) -> DataFrame:
+    total = F.exp(F.sum(F.log1p("ret"))) - 1
+    return returns.groupBy(group, F.year(day).cast("long").alias("y")).agg(total.alias("total_return"), (F.stddev_samp("ret") * math.sqrt(periods)).alias("annual_vol"))
+
+
+def run_strategy(frames: DataFrame, strategy, schema: str = "trade_date date, ts_code string, weight double") -> DataFrame:
+    """Weights by a function of each date's rows (a pandas frame); prefer column expressions where they can say it."""
+    return frames.groupBy("trade_date").applyInPandas(strategy, schema)

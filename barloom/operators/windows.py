@@ -76,3 +76,38 @@ def validity(versions: DataFrame, key: str = KEY, day: str = "eff_date") -> Data
 def latest(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """First row of each key in the given order; Spark prunes within partitions before the shuffle."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+def last_usable(bars: DataFrame) -> DataFrame:
+    """Each key's last day if its bar has a price and volume, else the day before if that one has, else null."""
+    near = bars.withColumn("_m", F.max(DAY).over(Window.partitionBy(KEY))).where(F.col(DAY) >= F.date_sub("_m", 1))
+    good = (F.col("close") > 0) & (F.col("volume") >= 0)
+    return near.groupBy(KEY).agg(F.max(F.when(good, F.col(DAY))).alias("last_day"))
+
+
+def last_days(bars: DataFrame, progress: DataFrame) -> DataFrame:
+    """Each key's day of progress, or its last bar's where it has none."""
+    last = bars.groupBy(KEY).agg(F.max(DAY).alias("_m")).join(progress, KEY, "left")
+    return last.select(KEY, F.coalesce("last_sync_date", "_m").alias("last_day"))
+
+
+def stratified(df: DataFrame, stratum: str, key: str, share: int = 10) -> DataFrame:
+    """One row in `share` of each stratum, and one more; the same rows every time, in order of the key's MD5."""
+    n = F.count("*").over(Window.partitionBy(stratum))
+    rn = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("binary")), key))
+    rows = df.withColumns({"_n": n, "_rn": rn})
+    return rows.where(F.col("_rn") <= F.greatest(F.lit(1), F.least(F.col("_n"), F.floor(F.col("_n") / share) + 1))).drop("_n", "_rn")
+
+
+def sampled(df: DataFrame, share: float, *keys: str) -> DataFrame:
+    """Rows whose keys' MD5 is in the lowest share of all; the same rows every time."""
+    edge = f"{int(share * 16**32):032x}"
+    return df.where(F.md5(F.concat(*[F.col(k).cast("string") for k in keys]).cast("binary")) < edge)
+
+
+def trailing(bars: DataFrame, end: str, n: int, step: int = 1) -> DataFrame:
+    """The last n rows of each key up to a day, looked for in twice as many days (a bar every step days)."""
+    last = F.lit(end).cast("date")
+    rows = bars.where((F.col(DAY) <= last) & (F.col(DAY) > F.date_sub(last, 2 * n * step)))
+    rn = F.row_number().over(Window.partitionBy(KEY).orderBy(F.col(DAY).desc()))
+    return rows.withColumn("_rn", rn).where(F.col("_rn") <= n).drop("_rn")

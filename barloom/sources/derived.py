@@ -88,4 +88,5 @@ def sql(names: str, body: str) -> str:
     wanted = names.split()
     if "membership" in wanted and "history" not in wanted:
         wanted.insert(0, "history")
-    return "WITH " + ", ".join(SQL[n] for n in wanted) + " " + body
+    word = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+    return word + ", ".join(SQL[n] for n in wanted) + (", " + body.removeprefix(word) if body.startswith("WITH ") else " " + body)

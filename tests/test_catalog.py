@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from barloom.plans.catalog import ORACLES, QUERIES
+from barloom.plans.all_plans import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
