@@ -67,3 +67,10 @@ def resolve_codes(edges: DataFrame, depth: int = 8) -> DataFrame:
         step = now.select(F.col("code").alias("_via"), F.col("final").alias("_next"))
         now = now.join(step, F.col("final") == F.col("_via"), "left").select("code", F.coalesce("_next", "final").alias("final"))
     return now
+
+
+def merged_payload(log: DataFrame, payload: str, added: Column) -> DataFrame:
+    """data, a map of the payload's JSON fields in which the added fields take precedence; bad JSON counts as empty."""
+    fields = F.coalesce(F.from_json(payload, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    old = F.map_filter(fields, lambda k, v: ~F.array_contains(F.map_keys(added), k))
+    return log.withColumn("data", F.map_concat(old, added))
