@@ -19,10 +19,16 @@ def universe(history: DataFrame, dates: DataFrame, min_days: int = 0, include_de
 
 
 def factors(fundamentals: DataFrame, dates: DataFrame, names: list[str], strict: bool = True) -> DataFrame:
-    """Last non-null value of each factor announced before (or on) each date."""
-    seen = fundamentals.join(dates, F.col("ann_date") < F.col("t") if strict else F.col("ann_date") <= F.col("t"))
-    order = F.struct("ann_date", "end_date", "report")
-    return seen.groupBy("t", "ts_code").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), order)).alias(n) for n in names])
+    """Last non-null value of each factor announced before (or on) each date.
+
+    Values are carried forward once for each announcement, so a date meets one row of a key, not all that came before it.
+    """
+    known = fundamentals.where("ann_date is not null")
+    w = Window.partitionBy("ts_code").orderBy("ann_date", "end_date", "report")
+    carried = known.select("ts_code", "ann_date", F.lead("ann_date").over(w).alias("_next"), *[F.last(n, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in names])
+    t, a, b = F.col("t"), F.col("ann_date"), F.col("_next")
+    seen = (a < t) & (b.isNull() | (t <= b)) if strict else (a <= t) & (b.isNull() | (t < b))
+    return carried.join(dates.select("t").distinct(), seen).select("t", "ts_code", *names)
 
 
 def visible(fundamentals: DataFrame, dates: DataFrame, lookback: int = 90) -> DataFrame:

@@ -103,3 +103,14 @@ def test_range_overwrite(spark):
     old = spark.createDataFrame([("a", date(2024, 1, d), 1.0) for d in (1, 2, 3, 4)] + [("b", date(2024, 1, 2), 1.0)], "k string, d date, x double")
     new = spark.createDataFrame([("a", date(2024, 1, d), 2.0) for d in (2, 4)], "k string, d date, x double")
     assert sorted((r.k, r.d.day, r.x) for r in merge.overwrite_range(old, new, "k", "d").collect()) == [("a", 1, 1.0), ("a", 2, 2.0), ("a", 4, 2.0), ("b", 2, 1.0)]
+
+
+@pytest.mark.parametrize("strict,want", [(True, {2: None, 4: 1.0, 6: 1.0, 7: 3.0}), (False, {1: None, 2: 1.0, 4: 1.0, 6: 3.0, 7: 3.0})])
+def test_factors_carry_the_last_known_value(spark, strict, want):
+    from barloom.operators import pit
+
+    on = lambda n: date(2024, 1, n)
+    rows = [("a", on(1), on(1), 1, None), ("a", on(2), on(1), 2, 1.0), ("a", on(5), on(1), 3, None), ("a", on(6), on(1), 4, 2.0), ("a", on(6), on(2), 5, 3.0), ("a", None, on(9), 6, 9.0)]
+    f = spark.createDataFrame(rows, "ts_code string, ann_date date, end_date date, report int, roe double")
+    dates = spark.createDataFrame([(on(n),) for n in (1, 2, 4, 6, 7)], "t date")
+    assert {r.t.day: r.roe for r in pit.factors(f, dates, ["roe"], strict).collect()} == want
