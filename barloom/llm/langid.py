@@ -20,6 +20,9 @@ SAMPLE_ROWS = 192
 MARGIN = 0.005
 #: Texts are encoded in blocks of so many bytes, each with the dictionary, so that a long text's own repeats do not hide it.
 BLOCK, LEVEL = 4096, 6
+#: A text of fewer bytes would be stored unshortened, whatever the dictionary. It is encoded behind each of so many
+#: contexts of so many bytes from the dictionary's start instead, and its size is what it adds to theirs.
+SHORT, CONTEXTS, CONTEXT_BYTES = 256, 4, 512
 
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
@@ -52,17 +55,33 @@ def dictionaries(docs: DataFrame, fold: int | None = 2, folds: int = 4, text: st
     return out
 
 
-def _coders(name: str, contents: dict[str, bytes]) -> list:
-    if name not in _ready:
-        import zstandard as z
+class Coder:
+    """Sizes of texts under the dictionary of one language."""
+
+    def __init__(self, raw: bytes):
+        width = min(CONTEXT_BYTES, len(raw) // (2 * CONTEXTS))
+        self.whole, self.rest = _compressor(raw), _compressor(raw[CONTEXTS * width :])
+        self.contexts = [raw[k * width : (k + 1) * width] + b" " for k in range(CONTEXTS)]
+        self.base = sum(len(self.rest.compress(c)) for c in self.contexts)
+
+    def size(self, raw: bytes) -> int:
+        if len(raw) < SHORT:
+            return sum(len(self.rest.compress(c + raw)) for c in self.contexts) - self.base
+        return sum(len(self.whole.compress(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK))
+
 
+def _compressor(raw: bytes):
+    import zstandard as z
+
+    d = z.ZstdCompressionDict(raw.ljust(8), dict_type=z.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def _coders(name: str, contents: dict[str, bytes]) -> list[tuple[str, Coder]]:
+    if name not in _ready:
         _ready.clear()
-        made = []
-        for lang, raw in sorted(contents.items()):
-            d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            made.append((lang, z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
-        _ready[name] = made
+        _ready[name] = [(lang, Coder(raw)) for lang, raw in sorted(contents.items())]
     return _ready[name]
 
 
@@ -83,8 +102,7 @@ def verdict(text: str | None, coders: list) -> tuple[str, float, float]:
     if not text or not coders or not any(map(str.isalpha, text)):
         return "und", 0.0, 0.0
     raw = normalise(text).encode()
-    blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-    sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in coders)
+    sizes = sorted((c.size(raw), lang) for lang, c in coders)
     best, lang = sizes[0]
     if len(sizes) == 1:
         return lang, 1.0, 1.0

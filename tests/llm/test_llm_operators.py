@@ -296,6 +296,14 @@ def test_language(spark, odd):
     assert langid.classify(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred != 'und'").count() == 0
 
 
+def test_language_of_short_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang is not null and length(text) < 64 and text rlike '[a-z]'")
+    rows = langid.classify(docs, spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("lang", "lang_pred", "rejected").collect()
+    assert len(rows) > 20
+    assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.9
+    assert sum(r.rejected for r in rows) / len(rows) < 0.05
+
+
 def print_of(text):
     w = (text or "").translate(LOWER)
     w = re.findall(r"[^\x20\x09-\x0D]+", w)
