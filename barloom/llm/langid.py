@@ -20,9 +20,10 @@ SAMPLE_ROWS = 192
 MARGIN = 0.005
 #: Texts are encoded in blocks of so many bytes, each with the dictionary, so that a long text's own repeats do not hide it.
 BLOCK, LEVEL = 4096, 6
-#: A text of fewer bytes would be stored unshortened, whatever the dictionary. It is encoded behind each of so many
-#: contexts of so many bytes from the dictionary's start instead, and its size is what it adds to theirs.
-SHORT, CONTEXTS, CONTEXT_BYTES = 256, 4, 512
+#: A frame of so few bytes would be stored unshortened, whatever the dictionary. Such a text is encoded behind a filler, the
+#: same for every language, at a level that looks harder for matches; its size is what it adds to the filler's.
+SHORT, SHORT_LEVEL = 256, 12
+_FILLER = bytes(256)
 
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
@@ -59,23 +60,21 @@ class Coder:
     """Sizes of texts under the dictionary of one language."""
 
     def __init__(self, raw: bytes):
-        width = min(CONTEXT_BYTES, len(raw) // (2 * CONTEXTS))
-        self.whole, self.rest = _compressor(raw), _compressor(raw[CONTEXTS * width :])
-        self.contexts = [raw[k * width : (k + 1) * width] + b" " for k in range(CONTEXTS)]
-        self.base = sum(len(self.rest.compress(c)) for c in self.contexts)
+        self.long, self.short = _compressor(raw, LEVEL), _compressor(raw, SHORT_LEVEL)
+        self.base = len(self.short.compress(_FILLER))
 
     def size(self, raw: bytes) -> int:
         if len(raw) < SHORT:
-            return sum(len(self.rest.compress(c + raw)) for c in self.contexts) - self.base
-        return sum(len(self.whole.compress(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK))
+            return len(self.short.compress(_FILLER + b" " + raw + b" ")) - self.base
+        return sum(len(self.long.compress(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK))
 
 
-def _compressor(raw: bytes):
+def _compressor(raw: bytes, level: int):
     import zstandard as z
 
-    d = z.ZstdCompressionDict(raw.ljust(8), dict_type=z.DICT_TYPE_RAWCONTENT)
-    d.precompute_compress(level=LEVEL)
-    return z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+    d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=level)
+    return z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 def _coders(name: str, contents: dict[str, bytes]) -> list[tuple[str, Coder]]:
