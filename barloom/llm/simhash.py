@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints, BK-trees in shards, connected components."""
+"""SimHash near-duplicates and verified near copies: fingerprints, BK-trees in shards, connected components."""
 
 from __future__ import annotations
 
@@ -18,22 +18,31 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a shard from which it is dealt out anew by bands of the bits that its members may differ in.
 SHARD_LIMIT = 4096
 _CHUNK = 1 << 16
+#: Near copies: words of a shingle, least Jaccard similarity, differing bits up to which sets are compared.
+COPY_SHINGLE, COPY_LEAST, COPY_RADIUS = 5, 0.8, 24
+#: Min-hash bands that deal texts into shards, and rows of a band; a pair at 0.8 meets in none with probability 4e-4.
+COPY_BANDS, COPY_ROWS = 20, 5
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
     import xxhash
 
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and splits at 20 and 09-0D only
-    if not words:
-        return 0
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        line, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words)) + 1
-        start = np.cumsum(size) - size
-        stop = (start[shingle - 1 :] + size[shingle - 1 :] - 1).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[i:j], seed) for i, j in zip(start.tolist(), stop)]
+        return [xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else []
+    line, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words)) + 1
+    start = np.cumsum(size) - size
+    stop = (start[shingle - 1 :] + size[shingle - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[i:j], seed) for i, j in zip(start.tolist(), stop)]
+
+
+def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def majority(hashes: list[int]) -> int:
+    """Signed integer of the bits that are set in more than half of the hashes; zero if there are none."""
     n, ones = len(hashes), np.zeros(64, np.int64)
     for k in range(0, n, _CHUNK):
         part = np.array(hashes[k : k + _CHUNK], dtype=">u8")
@@ -180,3 +189,103 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     names = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = grouped.join(names, "root").select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def sketch_of(text: str | None, shingle: int = COPY_SHINGLE) -> tuple[int, int, list[int], bytes]:
+    """(fp, sig, keys, grams): SimHash, a hash of the set of shingles, its min-hash bands, the sorted set itself."""
+    import xxhash
+
+    hashes = shingle_hashes(text, shingle)
+    grams = np.unique(np.array(hashes, np.uint64))
+    low = np.full(len(_MIXERS), np.iinfo(np.uint64).max)
+    for k in range(0, len(grams), 1024):
+        low = np.minimum(low, ((grams[k : k + 1024, None] ^ _MASKS) * _MIXERS).min(axis=0))
+    raw, signed = low.reshape(COPY_BANDS, COPY_ROWS), lambda b, k: xxhash.xxh64_intdigest(b, k) - (1 << 63)
+    return majority(hashes), signed(grams.tobytes(), 0), [signed(r.tobytes(), k) for k, r in enumerate(raw)], grams.tobytes()
+
+
+_MASKS, _MIXERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, COPY_BANDS * COPY_ROWS), np.uint64, endpoint=False) | np.array([[0], [1]], np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def copy_links(members: list[tuple[int, int, bytes]], radius: int, least: float) -> list[tuple[int, int]]:
+    """Links between (sig, unsigned fp, grams) of a shard: a BK-tree proposes, the sets decide; none inside a group."""
+    tree, at, root, out, groups = BKTree(), {}, {}, [], 0
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for sig, fp, raw in members:
+        grams, root[sig], groups = np.frombuffer(raw, np.uint64), sig, groups + 1
+        for other, theirs in (m for near in tree.near(fp, radius) for m in at[near]):
+            if groups == 1:
+                break
+            if find(other) != find(sig) and alike(grams, theirs, least):
+                root[find(sig)], groups = find(other), groups - 1
+                out.append((sig, other))
+        tree.add(fp)
+        at.setdefault(fp, []).append((sig, grams))
+    return out
+
+
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = COPY_LEAST, radius: int = COPY_RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and component_id, the smallest doc_id that links lead to; texts link if their sets of shingles are alike.
+
+    Bands of the bits would be some four bits wide at this radius, so min-hash bands of the shingles deal the shards;
+    equal shards are searched once. One row for each input row; null and empty texts are one group; a component of
+    rows without doc_id alone has component_id null.
+    """
+    bound_batches(docs.sparkSession)
+
+    @F.pandas_udf("fp long, sig long, keys array<long>, grams binary")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([sketch_of(t, shingle) for t in texts], columns=["fp", "sig", "keys", "grams"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for values in _runs(batches, ["key"]):
+            if len(found := np.unique(np.array(values, np.uint64))) > 1:
+                shard = xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), shard, np.int64)), pa.array(found.view(np.int64))], names=["shard", "sig"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for members in _shards(batches):
+            if found := copy_links(members, radius, least):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = staged(docs.select(F.col(doc_id).alias("doc_id"), sketch(F.col(text)).alias("x")).select("doc_id", "x.*"), "sketches")
+    rows = each.select(F.col("sig").alias("fp"), F.explode("keys").alias("key")).repartition(width, "key").sortWithinPartitions("key")
+    shards = staged(rows.mapInArrow(meet, "shard long, sig long").distinct(), "shards")
+    sets = each.select("sig", "fp", "grams").join(shards.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
+    dealt = shards.join(sets, "sig").select("shard", "sig", "fp", "grams").repartition(width, "shard").sortWithinPartitions("shard", "sig")
+    roots = connected_components(dealt.mapInArrow(search, "a long, b long").distinct())
+    first = each.groupBy("sig").agg(F.min("doc_id").alias("first_id"))
+    grouped = first.join(roots, first.sig == roots.node, "left").select("sig", F.coalesce("root", "sig").alias("root"), "first_id")
+    names = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return each.select("doc_id", "sig").join(grouped.join(names, "root").select("sig", "component_id"), "sig").select("doc_id", "component_id")
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(sig, unsigned fp, grams) of each run of equal shard in sorted batches."""
+    last, kept = None, []
+    for batch in batches:
+        for shard, sig, fp, grams in zip(*[batch.column(k).to_pylist() for k in ("shard", "sig", "fp", "grams")]):
+            if shard != last and kept:
+                yield kept
+                kept = []
+            last = shard
+            kept.append((sig, fp & (1 << 64) - 1, grams))
+    if kept:
+        yield kept

@@ -19,11 +19,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id in each SimHash group; documents without an id all stay.
+    """Keeps the document of the smallest id in each group of near copies; documents without an id all stay.
 
-    Rows that repeat a kept doc_id are the same document and stay together.
+    Near copies share 0.8 of their five-word shingles. Rows that repeat a kept doc_id are the same document and stay together.
     """
-    found = simhash.near_duplicates(docs).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    found = simhash.near_copies(docs).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(found, docs.doc_id == F.col("_keep"), "left_semi")
     return kept.unionByName(docs.where("doc_id is null"))
 

@@ -340,6 +340,36 @@ def test_simhash_links_are_complete(spark):
         assert got == truth
 
 
+def test_near_copies_by_similarity(spark):
+    """Texts with one word in 100 to 30 replaced: the groups are those of all pairs at 0.8, which 4 of 64 bits can't find."""
+    import corpus_pipeline
+
+    rng, rows = random.Random(11), []
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for c in range(3):
+            rows.append((3 * k + c, " ".join(f"x{rng.randrange(5000)}" if c and rng.random() < k / 2000 else w for w in words)))
+    rows += [(None, rows[0][1]), (200, None), (201, ""), (202, "A few words"), (203, "a few  words")]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for d, t in rows if d is not None}
+    links = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = roots(sets, links)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(table).where("doc_id is not null").collect()} == want
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, table, "").collect()]
+    assert sorted(d for d in kept if d is not None) == sorted(set(want.values())) and kept.count(None) == 1
+    assert simhash.near_copies(table.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_one_of_near_copies(spark, small):
+    """The stage on the given texts, against five-word sets of all pairs."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id is not null and text rlike '[a-z]'")
+    sets = {r.doc_id: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for r in docs.collect() if (w := re.findall(r"[^\x20\x09-\x0D]+", r.text.translate(LOWER)))}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, small).collect()} == set(roots(sets, links).values())
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
