@@ -14,7 +14,7 @@ from barloom.llm.common import bound_batches, fold_of
 
 #: Bounded sample that the dictionaries are made of: bytes of a dictionary, bytes of one text in it, languages.
 DICTIONARY_BYTES, TEXT_BYTES, LANGUAGES = 32 << 10, 1 << 10, 512
-#: Rows of a language that are looked at for its dictionary.
+#: Distinct texts of a language that are looked at for its dictionary.
 SAMPLE_ROWS = 192
 #: A text is rejected if its best two languages differ by less than this share of the best size.
 MARGIN = 0.005
@@ -38,16 +38,18 @@ def normalise(text: str) -> str:
 def dictionaries(docs: DataFrame, fold: int | None = 2, folds: int = 4, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
     """Raw content of one dictionary for each language, from a bounded sample of labelled rows outside the fold.
 
-    The sample: for each language the SAMPLE_ROWS distinct texts of the smallest hash, TEXT_BYTES of each. Spark keeps
-    that many for each language and partition before anything moves.
+    The sample: for each language the SAMPLE_ROWS distinct texts of the smallest hash, TEXT_BYTES of each. Distinct hashes
+    are ranked first, so copies take one place and only the sampled texts move.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     if fold is not None:
         rows = rows.where(F.coalesce(fold_of(doc_id, folds) != fold, F.lit(False)))
     rows = rows.select(F.col(lang).alias("lang"), F.substring(text, 1, TEXT_BYTES).alias("text")).withColumn("h", F.xxhash64("text"))
-    ranked = rows.selectExpr("lang", "text", "row_number() over (partition by lang order by h, text) as n").where(F.col("n") <= SAMPLE_ROWS)
+    ranked = lambda r: r.selectExpr("*", "row_number() over (partition by lang order by {}) as n".format(", ".join(r.columns[1:]))).where(F.col("n") <= SAMPLE_ROWS)
+    low = ranked(rows.select("lang", "h").distinct()).drop("n")
+    texts = ranked(rows.join(F.broadcast(low), ["lang", "h"], "left_semi").select("lang", "h", "text").distinct())
     found: dict[str, dict[str, None]] = {}
-    for r in ranked.orderBy("lang", "n").limit(SAMPLE_ROWS * LANGUAGES).collect():
+    for r in texts.orderBy("lang", "n").limit(SAMPLE_ROWS * LANGUAGES).collect():
         found.setdefault(r.lang, {})[r.text] = None
     out = {}
     for name, texts in sorted(found.items()):

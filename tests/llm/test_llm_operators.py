@@ -305,6 +305,15 @@ def test_language_of_short_texts(spark):
     assert sum(r.rejected for r in several) / len(several) < 0.05
 
 
+def test_language_sample_of_copies(spark):
+    """A text repeated a thousand times takes one place of the sample."""
+    rows = [(k, f"text {chr(97 + k % 26)}{chr(97 + k // 26)} of many", "en") for k in range(300)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    often = spark.createDataFrame(rows + [(1000 + k, rows[k % 40][1], "en") for k in range(40_000)], once.schema)
+    assert langid.dictionaries(often, None) == langid.dictionaries(once, None)
+    assert len(langid.dictionaries(often, None)["en"].split(b"text")) == langid.SAMPLE_ROWS + 1
+
+
 def print_of(text):
     w = (text or "").translate(LOWER)
     w = re.findall(r"[^\x20\x09-\x0D]+", w)
