@@ -20,9 +20,21 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?
 IPV4 = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?![\w-])|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])"
+#: A space inside a phone number is not one before an IP address, a date, an SSN, a card or a bracket of the next number.
+_APART = r"(?! (?:\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)|\d{4}-\d\d-\d\d(?!\d)|\d{1,2}[./]\d{1,2}[./]\d{4}(?!\d)|\d{3}-\d\d-\d{4}(?!\d)|\d{3}-\d{3}-\d{4}(?!\d)|[2-6]\d{3}(?:[ -]\d{4}){3}(?![ -]\d{4}(?![ -]?\d))|3\d{3}[ -]\d{6}[ -]\d{4,5}(?!\d)|\d{13,}))"
+_DIGIT = r"[ .()-]{0,2}\d"
+_LENGTH = rf"(?<=\+{_DIGIT * 8}{f'(?:{_DIGIT})?' * 7})(?!\w)"
+#: Numbers of +1 have ten more digits; others 8 to 15 in all, counted backwards so that a longer run gives its tail back.
+PHONE = (
+    r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}(?!\w)|"
+    + "|".join(rf"(?<![\w+])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,5}}(?:{apart}[ .-]?\d{{2,5}}){{1,4}}{_LENGTH}" for apart in (_APART, ""))
+    + r"|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?![\w-])|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])"
+)
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"
-ANY = "|".join((EMAIL, IBAN, IPV4, DATE, SSN, PHONE, CARD))
+FIXED = "|".join((EMAIL, IBAN, IPV4, DATE, SSN, PHONE))
+#: Where a card may begin and end inside a longer run of digits, and how it is written there.
+_CARD_START, _CARD_END = r"(?<![\w.+]|(?<!\d)-)", r"(?!\w|-(?!\d)|\.\d)"
+_CARD_INSIDE = r"^(?=\d{4})(?:4|5[0-8]|2[2-7]|3[04-9]|6)\d+(?:[ -]\d{4,})*(?:[ -]\d+)?$"
 #: Days in a block of dates, which is permuted in itself: 270 x 270 days from 1900-01-01 and from each block after it.
 BLOCK_SIDE, FIRST_DAY = 270, "1900-01-01"
 
@@ -74,10 +86,29 @@ def _luhn(digits: Column) -> Column:
     return ((F.lit(10) - total % 10) % 10).cast("string")
 
 
+def _is_card(x: Column) -> Column:
+    d = _only_digits(x)
+    return (_luhn(F.substr(d, F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1))) & ~d.rlike(r"^(\d)\1*$")
+
+
+def _formats(text: Column) -> Column:
+    """The formats to look for in a text: the fixed ones, then its own valid card numbers, longest first.
+
+    A run of digits that is no card as a whole is not one to skip: cards are looked for at each group in it.
+    """
+    at = lambda n: F.regexp_extract_all(text, F.lit(rf"{_CARD_START}(?=(\d(?:[ -]?\d){{{n - 1}}}){_CARD_END})"), F.lit(1))
+    whole = F.regexp_extract_all(text, F.lit(CARD), F.lit(0))
+    inside = F.filter(F.concat(*[at(n) for n in range(13, 20)]), lambda c: c.rlike(_CARD_INSIDE))
+    cards = F.filter(F.array_distinct(F.concat(whole, inside)), _is_card)
+    longest = F.transform(F.sort_array(F.transform(cards, lambda c: F.struct(F.length(_only_digits(c)).alias("n"), c.alias("c"))), asc=False), lambda s: s["c"])
+    own = F.concat(F.lit(f"{FIXED}|{_CARD_START}(?:"), F.array_join(longest, "|"), F.lit(f"){_CARD_END}"))
+    return F.when(text.rlike(r"\d(?:[ -]?\d){12}") & (F.size(cards) > 0), own).otherwise(F.lit(FIXED))
+
+
 def _card(x: Column, key: str) -> Column:
     d = _only_digits(x)
     body = F.substr(d, F.lit(1), F.length(d) - 1)
-    valid = (_luhn(body) == F.right(d, F.lit(1))) & ~d.rlike(r"^(\d)\1*$")
+    valid = _is_card(x)
     new = F.concat(F.left(d, F.lit(1)), _digits(F.substr(body, F.lit(2), F.length(body) - 1), "card", key))
     return F.when(valid, _fill(x, F.concat(new, _luhn(new))))
 
@@ -188,9 +219,10 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     their validation (Luhn, mod 97, octets, calendar, number ranges) stay. Repeated rows get equal results. A column
     n_values of docs is replaced.
     """
-    found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
-    out = docs.drop("n_values").withColumn("_values", F.when(F.col(text).rlike("[0-9@]"), F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))))
+    found = F.regexp_extract_all(F.col(text), F.col("_formats"), F.lit(0))
+    out = docs.drop("n_values").withColumn("_formats", _formats(F.col(text)))
+    out = out.withColumn("_values", F.when(F.col(text).rlike("[0-9@]"), F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))))
     out = out.withColumn("n_values", F.coalesce(F.size(F.filter("_values", lambda v: v["new"].isNotNull())), F.lit(0)).cast("long"))
-    between = F.split(F.col(text), ANY, -1)
+    between = F.split(F.col(text), F.col("_formats"), -1)
     pieces = F.zip_with(between, "_values", lambda p, v: F.concat(p, F.coalesce(v["new"], v["old"], F.lit(""))))
-    return out.withColumn(text, F.when(F.col("n_values") > 0, F.array_join(pieces, "")).otherwise(F.col(text))).drop("_values")
+    return out.withColumn(text, F.when(F.col("n_values") > 0, F.array_join(pieces, "")).otherwise(F.col(text))).drop("_values", "_formats")

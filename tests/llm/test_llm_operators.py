@@ -404,6 +404,28 @@ def test_pii(spark):
     assert pii.pseudonymise(table.limit(0)).count() == 0
 
 
+def test_pii_of_neighbours(spark):
+    """Values next to other numbers are replaced, and as they are alone."""
+    card, phone = "4111 1111 1111 1111", "+1 (826) 555-4081"
+    rows = [
+        f"{phone} 190.137.223.204", f"{phone} 42", "+44 20 7946 0958 190.137.223.204", f"+44 20 7946 0958 {card}", f"{card} 123", "4111111111111111 12/27",
+        f"12 {card}", "4111-1111-1111-1111-123", f"{card} 5500 0000 0000 0004", f"123 456 {card}", f"{phone} 1983-02-28", "3782 822463 10005 1234",
+    ]
+    alone = [phone, "190.137.223.204", "+44 20 7946 0958", card, "4111111111111111", "4111-1111-1111-1111", "5500 0000 0000 0004", "1983-02-28", "3782 822463 10005"]
+    table = spark.createDataFrame(list(enumerate(rows + alone)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(table).collect()}
+    new = {a: got[len(rows) + k].text for k, a in enumerate(alone)}
+    assert all(a != b for a, b in new.items())
+    for k, text in enumerate(rows):
+        held = [a for a in alone if a in text]
+        for a in held:
+            text = text.replace(a, new[a])
+        assert (got[k].text, got[k].n_values) == (text, len(held))
+    kept = ["4111 1111 1111 1112 123", "1234 5678 9012 3456 789", "+12 345"]
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(kept)), table.schema)).orderBy("doc_id").collect()
+    assert [(r.text, r.n_values) for r in out] == [(t, 0) for t in kept]
+
+
 def test_pii_permutes(spark):
     """Each format's whole small domain maps onto itself; all days of a block do, too."""
     col = F.lpad(F.col("id").cast("string"), 4, "0")
