@@ -66,13 +66,29 @@ def as_of(log: DataFrame, key: list[str], at: Column, effective: str = "effectiv
     return latest(seen, key, F.col(effective).desc(), F.col("version").desc())
 
 
-def resolve_codes(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """(code, final): the end of each chain of code changes, at most depth changes long, in log2(depth) self-joins."""
-    now = edges.select(F.col("old").alias("code"), F.col("new").alias("final"))
-    for _ in range(max(1, (depth - 1).bit_length())):
+def resolve_codes(edges: DataFrame, at: Column | None = None, day: str = "day") -> DataFrame:
+    """(code, final): the end of each chain of code changes, however long; with at, of the changes whose day is not after it.
+
+    Chains double each round until no row changes. Each round runs at once and is checkpointed (locally where no folder
+    is set); a cycle of changes raises a ValueError.
+    """
+    spark = edges.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir() and (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        context.setCheckpointDir(folder)
+    kept = lambda df: df.checkpoint() if context.getCheckpointDir() else df.localCheckpoint()
+    seen = edges if at is None else edges.where(F.col(day) <= at)
+    now = kept(seen.select(F.col("old").alias("code"), F.col("new").alias("final")).distinct())
+    total, longest = now.count(), 1
+    while True:
         step = now.select(F.col("code").alias("_via"), F.col("final").alias("_next"))
-        now = now.join(step, F.col("final") == F.col("_via"), "left").select("code", F.coalesce("_next", "final").alias("final"))
-    return now
+        moved = kept(now.join(step, F.col("final") == F.col("_via"), "left").select("code", F.coalesce("_next", "final").alias("final"), F.col("_via").isNotNull().alias("_moved")).distinct())
+        now = moved.select("code", "final")
+        if moved.where("_moved").isEmpty():
+            return now
+        if longest > total:
+            raise ValueError("the code changes form a cycle")
+        longest *= 2
 
 
 def merged_payload(log: DataFrame, payload: str, added: Column) -> DataFrame:

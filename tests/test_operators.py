@@ -85,3 +85,14 @@ def test_stream_sync_is_idempotent(spark, tmp_path):
     got = sync.read_synced(spark, str(tmp_path / "out"))
     assert {r.ts_code: r.close for r in got.collect()} == {"a": 3.0, "b": 2.0, "c": 4.0}
     assert {r.ts_code: r.total_records for r in sync.progress(got).collect()} == {"a": 1, "b": 1, "c": 1}
+
+
+def test_long_chains_of_codes(spark):
+    """Chains beyond eight changes, their end on a date, and cycles."""
+    rows = [(f"a{k}", f"a{k + 1}", k) for k in range(100)] + [("b0", "b1", 3)]
+    edges = spark.createDataFrame(rows, "old string, new string, day int")
+    ends = lambda df: {r.code: r.final for r in df.collect()}
+    assert ends(pit.resolve_codes(edges)) == {f"a{k}": "a100" for k in range(100)} | {"b0": "b1"}
+    assert ends(pit.resolve_codes(edges, F.lit(49))) == {f"a{k}": "a50" for k in range(50)} | {"b0": "b1"}
+    with pytest.raises(ValueError):
+        pit.resolve_codes(edges.union(spark.createDataFrame([("a100", "a0", 1)], edges.schema)))
