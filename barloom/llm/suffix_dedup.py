@@ -1,11 +1,12 @@
-"""Removal of long repeated substrings by prefix doubling over sampled positions.
+"""Removal of long repeated substrings by distributed prefix doubling over sampled positions.
 
 Ranking every position would move some twenty times the input, so positions are sampled first: of the gram starts
-inside any window of the threshold's length, the one with the smallest hash is an anchor. Equal windows have equal
-anchors at equal places, so no repeat is missed. Ranks grow by doubling: a gram of half the threshold is ranked from
-halves of halves inside the task; Spark then groups rank pairs (gram, whole context on both sides), keeps only anchors
-whose gram is not unique, and settles those whose context, three times as long, repeats. What is left differs from
-all others within reach of its anchor; its windows are ranked by pairs of left and right extensions at each offset.
+inside any window of the least length asked for, the one with the smallest hash is an anchor. Equal windows have equal
+anchors at equal places, so no repeat is missed. Spark then ranks the anchors in rounds, each over strings that reach
+further: round 1 sorts the pairs of ranks at offset 0 and at half a gram, and drops anchors whose gram is unique;
+round 2 pairs what is left with its whole context (past the threshold on both sides), which settles those that repeat;
+round 3 takes those still unique among equal grams and ranks, for each offset, the pair of what lies left of the gram
+and right of it. Strings are compared by ranks of 64 bits in each half of a pair; names of strings come from hashes.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import bound_batches, staged
 
-THRESHOLD = 400
+#: Bytes of a string that goes if it repeats; bytes and words of a repeated passage that is counted, though it stays.
+THRESHOLD, PASSAGE, PASSAGE_WORDS = 400, 300, 50
 #: Contexts of one gram that are compared in one task; those of a more common gram are ranked window by window in a shuffle.
 GROUP_LIMIT = 20_000
 #: Bytes that are hashed at once, and rows that are compared at once.
@@ -65,104 +67,122 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def anchors(b: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, gram ranks and context ranks of the anchors of a text."""
-    gram = threshold // 2
-    reach, n = threshold - gram, len(b)
+def gram_of(least: int) -> int:
+    """Bytes of a gram; longer ones are rarer, shorter ones leave wider windows and so fewer anchors."""
+    return 2 * least // 5
+
+
+def anchors(b: np.ndarray, threshold: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the anchors of a text, with names of their gram's two halves and of their context."""
+    gram = gram_of(least)
+    half, reach, right, n = gram // 2, least - gram, threshold - gram, len(b)
     width = reach + 1
-    at, grams, contexts = [], [], []
-    for s in range(0, max(1, n - threshold + 1), _CHUNK):
+    at, first, second, contexts = [], [], [], []
+    for s in range(0, n - least + 1, _CHUNK):
         part = b[max(0, s - reach) : s + _CHUNK + threshold - 1 + reach]
         shift = s - max(0, s - reach)
-        r = ranks(part, [gram, gram + 2 * reach])
+        r = ranks(part, sorted({half, gram - half, gram, reach + threshold}))
         g = r[gram][shift : shift + _CHUNK + reach]
-        least = _slide(g, width, np.minimum)
+        low = _slide(g, width, np.minimum)
         zero = np.zeros(width - 1, np.uint64)
-        here = np.flatnonzero(_slide(np.concatenate((zero, least, zero)), width, np.maximum) == g)
+        here = np.flatnonzero(_slide(np.concatenate((zero, low, zero)), width, np.maximum) == g)
         pos = here + s
-        whole = r[gram + 2 * reach]
+        whole = r[reach + threshold]
         inner = here + shift - reach
-        known = (pos >= reach) & (pos + gram + reach <= n) & (inner >= 0) & (inner < len(whole))
+        known = (pos >= reach) & (pos + threshold <= n) & (inner >= 0) & (inner < len(whole))
         c = np.zeros(len(here), np.uint64)
         c[known] = whole[inner[known]]
         for k in np.flatnonzero(~known).tolist():
-            i, left, right = int(pos[k]), min(reach, int(pos[k])), min(reach, n - gram - int(pos[k]))
-            raw = b[i - left : i + gram + right].tobytes() + f"|{left}|{right}".encode()
+            i, before, after = int(pos[k]), min(reach, int(pos[k])), min(right, n - gram - int(pos[k]))
+            raw = b[i - before : i + gram + after].tobytes() + f"|{before}|{after}".encode()
             c[k] = np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), np.uint64)[0]
         at.append(pos)
-        grams.append(g[here])
+        first.append(r[half][here + shift])
+        second.append(r[gram - half][here + shift + half])
         contexts.append(c)
     pos = np.concatenate(at)
-    _, first = np.unique(pos, return_index=True)
-    return pos[first], np.concatenate(grams)[first], np.concatenate(contexts)[first]
+    _, once = np.unique(pos, return_index=True)
+    return pos[once], np.concatenate(first)[once], np.concatenate(second)[once], np.concatenate(contexts)[once]
 
 
-def repeated_windows(gram: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, copies: np.ndarray) -> np.ndarray:
-    """For each anchor and offset, whether the window that starts so far before the anchor starts elsewhere too."""
+def repeated_windows(gram: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, copies: np.ndarray, beyond: int) -> np.ndarray:
+    """For each anchor and offset, whether the window that starts so far before the anchor starts elsewhere too.
+
+    Windows are beyond bytes longer than a gram. The gram is a rank, left runs backwards.
+    """
     reach = left.shape[1]
-    tail = np.empty((reach + 1, len(gram)), np.uint64)
+    tail = np.empty((beyond + 1, len(gram)), np.uint64)
     tail[0] = gram
-    for j in range(reach):
+    for j in range(beyond):
         tail[j + 1] = pair(tail[j], right[:, j].astype(np.uint64) + np.uint64(1))
     head, out = gram.copy(), np.zeros((len(gram), reach + 1), bool)
     for o in range(reach + 1):
         if o:
             head = pair(head, left[:, o - 1].astype(np.uint64) + np.uint64(1))
-        ok = np.flatnonzero((n_left >= o) & (n_right >= reach - o))
-        _, which, count = np.unique(pair(head[ok], tail[reach - o][ok]), return_inverse=True, return_counts=True)
+        ok = np.flatnonzero((n_left >= o) & (n_right >= beyond - o))
+        _, which, count = np.unique(pair(head[ok], tail[beyond - o][ok]), return_inverse=True, return_counts=True)
         out[ok, o] = (count[which] > 1) | (copies[ok] > 1)
     return out
 
 
-def _spans(pos: np.ndarray, dup: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spans(pos: np.ndarray, dup: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of the bytes under runs of repeated windows."""
     edge = np.diff(np.pad(dup.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, low = np.nonzero(edge == 1)
     _, high = np.nonzero(edge == -1)
-    return row, pos[row] - (high - 1), pos[row] - low + threshold
+    return row, pos[row] - (high - 1), pos[row] - low + size
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, group_limit: int = GROUP_LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes), one row for each input row.
+def reranked(pairs: DataFrame, first: str, second: str) -> DataFrame:
+    """Rank of each pair of ranks that more than one position has, in the order of the pairs, with the number of its contexts."""
+    found = pairs.groupBy(first, second).agg(F.sum("n").alias("total"), F.count("*").alias("n_ctx")).where("total > 1").drop("total")
+    return found.orderBy(first, second).withColumn("gram", F.monotonically_increasing_id())
+
+
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, group_limit: int = GROUP_LIMIT, doc_id: str = "doc_id", text: str = "text", passage: int | None = PASSAGE, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages and kept (the remaining bytes), one row for each input row.
 
     A byte goes if it lies in a string of threshold bytes that also starts elsewhere in docs, the same document included;
-    matches stay inside documents. Null texts are empty; texts shorter than the threshold keep all. Repeated rows are
-    each other's copies, so both lose what is long enough. doc_id may be null or shared by different texts.
+    matches stay inside documents. n_passages counts the maximal runs under strings of passage bytes (threshold bytes, if
+    that is less or passage is None) that also start elsewhere and that hold more than passage_words words; they stay where
+    they are shorter than the threshold. Null texts are empty; texts shorter than the threshold keep all. Repeated rows are
+    each other's copies, so both lose what is long enough. doc_id may be null or shared by different texts. The threshold
+    is 5 bytes or more.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    gram_len = threshold // 2
-    reach = threshold - gram_len
+    sizes = sorted({threshold, min(threshold, passage or threshold)})
+    least = sizes[0]
+    if (gram_len := gram_of(least)) < 2:
+        raise ValueError("a threshold of 5 bytes or more is needed")
+    reach, right = least - gram_len, threshold - gram_len
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    none = (np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 3)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
-            at, grams, contexts, counts = [], [], [], []
-            for raw in texts:
-                pos, g, c = anchors(np.frombuffer(raw, np.uint8), threshold) if len(raw) >= threshold else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
-                n = len(raw)
-                at.append((pos << 20) | (np.minimum(pos, reach) << 10) | np.minimum(n - gram_len - pos, reach))
-                grams.append(g)
-                contexts.append(c)
-                counts.append(len(pos))
+            made = [anchors(np.frombuffer(raw, np.uint8), threshold, least) if len(raw) >= least else none for raw in texts]
+            counts = [len(m[0]) for m in made]
             index = pa.array(np.repeat(np.arange(len(texts)), counts))
+            pos, first, second, contexts = (np.concatenate(x) for x in zip(*made)) if made else none
+            size = np.repeat(np.array([len(raw) for raw in texts], np.int64), counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(contexts).view(np.int64)), b.column("doc_id").take(index), b.column("th").take(index), pa.array(np.concatenate(at).astype(np.int64))],
-                ["gram", "ctx", "doc_id", "th", "at"],
+                [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(contexts.view(np.int64)), b.column("doc_id").take(index), b.column("th").take(index), pa.array(pos.astype(np.int64)), pa.array(size)],
+                ["first", "second", "ctx", "doc_id", "th", "pos", "size"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    long_texts = rows.where(F.octet_length("text") >= threshold)
-    found = staged(long_texts.select("doc_id", "th", "text").mapInArrow(sample, f"gram long, ctx long, doc_id {kind}, th long, at long"), "anchors")
-    contexts = found.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("at").alias("at"))
-    grams = contexts.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("n_ctx")).where("total > 1")
-    shared = staged(contexts.join(grams, "gram").drop("total"), "anchor-ranks")
-    start = F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(F.lit(1023))
-    end = F.shiftright("at", 20) + gram_len + F.col("at").bitwiseAND(F.lit(1023))
-    settled = found.join(shared.where("n > 1").select("gram", "ctx"), ["gram", "ctx"]).select("doc_id", "th", start.alias("start"), end.alias("end"))
-
-    asked = shared.where("n_ctx > 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "at", "n", "n_ctx")).alias("asked"))
+    long_texts = rows.where(F.octet_length("text") >= least)
+    found = staged(long_texts.select("doc_id", "th", "text").mapInArrow(sample, f"first long, second long, ctx long, doc_id {kind}, th long, pos long, size long"), "anchors")
+    halves = ["first", "second"]
+    contexts = found.groupBy(*halves, "ctx").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "th", "pos", "size")])
+    shared = staged(contexts.join(reranked(contexts, *halves), halves), "anchor-ranks")
+    start, end = F.greatest(F.col("pos") - reach, F.lit(0)), F.least(F.col("pos") + threshold, "size")
+    settled = found.join(shared.where("n > 1").select(*halves, "ctx"), [*halves, "ctx"]).select("doc_id", "th", start.alias("start"), end.alias("end"))
+    settled = settled.withColumn("of", F.when(F.col("end") - F.col("start") >= threshold, threshold).otherwise(least)).where("end - start >= of")
+
+    asked = shared.where("n_ctx > 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "pos", "n", "n_ctx")).alias("asked"))
     a = asked.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "asked")
     with_text = rows.join(a, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "th", "text", "asked")
     schema = f"gram long, doc_id {kind}, th long, pos long, n_left int, n_right int, n long, n_ctx long, head binary, tail binary"
@@ -173,8 +193,9 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, group_limit: int
             out = [[] for _ in range(9)]
             for k, (raw, ask) in enumerate(zip(texts, asks)):
                 for x in ask:
-                    pos, nl, nr = x["at"] >> 20, x["at"] >> 10 & 1023, x["at"] & 1023
-                    row = (k, x["gram"], pos, nl, nr, x["n"], x["n_ctx"], raw[pos - nl : pos][::-1].ljust(reach, b"\0"), raw[pos + gram_len : pos + gram_len + nr].ljust(reach, b"\0"))
+                    pos = x["pos"]
+                    nl, nr = min(reach, pos), min(right, len(raw) - gram_len - pos)
+                    row = (k, x["gram"], pos, nl, nr, x["n"], x["n_ctx"], raw[pos - nl : pos][::-1].ljust(reach, b"\0"), raw[pos + gram_len : pos + gram_len + nr].ljust(right, b"\0"))
                     for c, v in zip(out, row):
                         c.append(v)
             index = pa.array(out[0], pa.int64())
@@ -183,19 +204,21 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, group_limit: int
             yield pa.RecordBatch.from_arrays([g, b.column("doc_id").take(index), b.column("th").take(index), pos, nl, nr, n, n_ctx, head, tail], ["gram", "doc_id", "th", "pos", "n_left", "n_right", "n", "n_ctx", "head", "tail"])
 
     open_rows = staged(with_text.mapInArrow(extend, schema), "anchor-contexts")
-    spans_kind = f"doc_id {kind}, th long, start long, end long"
+    spans_kind = f"doc_id {kind}, th long, start long, end long, of int"
 
-    def matrix(t: pa.Table, name: str) -> np.ndarray:
-        return np.frombuffer(b"".join(t.column(name).to_pylist()), np.uint8).reshape(-1, reach)
+    def matrix(t: pa.Table, name: str, width: int) -> np.ndarray:
+        return np.frombuffer(b"".join(t.column(name).to_pylist()), np.uint8).reshape(-1, width)
 
-    def settle(t: pa.Table) -> pa.RecordBatch:
+    def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
         col = lambda k: t.column(k).to_numpy()
-        dup = repeated_windows(col("gram").view(np.uint64), matrix(t, "head"), matrix(t, "tail"), col("n_left"), col("n_right"), col("n"))
-        dup[col("n") > 1] = False  # settled by their whole context
-        row, i, j = _spans(col("pos"), dup, threshold)
         t = t.combine_chunks()
-        at = pa.array(row)
-        return pa.RecordBatch.from_arrays([t.column("doc_id").take(at).combine_chunks(), t.column("th").take(at).combine_chunks(), pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64))], ["doc_id", "th", "start", "end"])
+        head, tail = matrix(t, "head", reach), matrix(t, "tail", right)
+        for size in sizes:
+            dup = repeated_windows(col("gram").view(np.uint64), head, tail, col("n_left"), col("n_right"), col("n"), size - gram_len)
+            dup[col("n") > 1] = False  # settled by their whole context
+            row, i, j = _spans(col("pos"), dup, size)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([t.column("doc_id").take(at).combine_chunks(), t.column("th").take(at).combine_chunks(), pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(np.full(len(i), size, np.int32))], ["doc_id", "th", "start", "end", "of"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -206,71 +229,79 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, group_limit: int
             cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
             if size + b.num_rows < _ROWS or not len(cuts):
                 if held and size >= _ROWS and held[-1].column("gram")[-1].as_py() != int(g[0]):
-                    yield settle(pa.Table.from_batches(held))
+                    yield from settle(pa.Table.from_batches(held))
                     held, size = [], 0
                 held.append(b)
                 size += b.num_rows
                 continue
             cut = int(cuts[-1])  # the last gram may go on in the next batch
-            yield settle(pa.Table.from_batches([*held, b.slice(0, cut)]))
+            yield from settle(pa.Table.from_batches([*held, b.slice(0, cut)]))
             held, size = [b.slice(cut)], b.num_rows - cut
         if held:
-            yield settle(pa.Table.from_batches(held))
+            yield from settle(pa.Table.from_batches(held))
 
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    few = open_rows.where(F.col("n_ctx") <= group_limit).repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(compare, spans_kind)
+    few = open_rows.where(F.col("n_ctx") <= group_limit).repartition("gram").sortWithinPartitions("gram").mapInArrow(compare, spans_kind)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 512):
-                t = pa.Table.from_batches([b.slice(k, 512)])
+                t = pa.Table.from_batches([b.slice(k, 512)]).combine_chunks()
                 if not t.num_rows:
                     continue
                 g, pos, nl, nr = (t.column(c).to_numpy() for c in ("gram", "pos", "n_left", "n_right"))
-                head, tail = matrix(t, "head").astype(np.uint64) + np.uint64(1), matrix(t, "tail").astype(np.uint64) + np.uint64(1)
+                head, tail = matrix(t, "head", reach).astype(np.uint64) + np.uint64(1), matrix(t, "tail", right).astype(np.uint64) + np.uint64(1)
                 ends = [g.view(np.uint64)]
-                for j in range(reach):
+                for j in range(right):
                     ends.append(pair(ends[-1], tail[:, j]))
-                now, row, at, key = g.view(np.uint64), [], [], []
+                now, row, at, key, of = g.view(np.uint64), [], [], [], []
                 for o in range(reach + 1):
                     now = pair(now, head[:, o - 1]) if o else now
-                    ok = np.flatnonzero((nl >= o) & (nr >= reach - o))
-                    row.append(ok)
-                    at.append(pos[ok] - o)
-                    key.append(pair(now[ok], ends[reach - o][ok]))
+                    for size in sizes:
+                        beyond = size - gram_len - o
+                        ok = np.flatnonzero((nl >= o) & (nr >= beyond))
+                        row.append(ok)
+                        at.append(pos[ok] - o)
+                        key.append(pair(now[ok], ends[beyond][ok]))
+                        of.append(np.full(len(ok), size, np.int32))
                 index = pa.array(np.concatenate(row))
-                t = t.combine_chunks()
                 take = lambda c: t.column(c).take(index).combine_chunks()  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([take("gram"), pa.array(np.concatenate(key).view(np.int64)), take("doc_id"), take("th"), pa.array(np.concatenate(at)), take("n")], ["gram", "win", "doc_id", "th", "start", "n"])
+                yield pa.RecordBatch.from_arrays([take("gram"), pa.array(np.concatenate(key).view(np.int64)), take("doc_id"), take("th"), pa.array(np.concatenate(at)), take("n"), pa.array(np.concatenate(of))], ["gram", "win", "doc_id", "th", "start", "n", "of"])
 
-    many = open_rows.where(F.col("n_ctx") > group_limit).select("gram", "doc_id", "th", "pos", "n_left", "n_right", "n", "head", "tail").mapInArrow(windows, f"gram long, win long, doc_id {kind}, th long, start long, n long")
-    again = many.groupBy("gram", "win").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "win")
-    common = many.where("n = 1").join(again, ["gram", "win"]).groupBy("doc_id", "th", "start").agg(F.lit(1)).select("doc_id", "th", "start", (F.col("start") + threshold).alias("end"))
+    many = open_rows.where(F.col("n_ctx") > group_limit).select("gram", "doc_id", "th", "pos", "n_left", "n_right", "n", "head", "tail").mapInArrow(windows, f"gram long, win long, doc_id {kind}, th long, start long, n long, of int")
+    again = many.groupBy("gram", "win", "of").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "win", "of")
+    common = many.where("n = 1").join(again, ["gram", "win", "of"]).select("doc_id", "th", "start", (F.col("start") + F.col("of")).alias("end"), "of")
 
-    spans = settled.unionByName(few).unionByName(common).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = settled.unionByName(few).unionByName(common).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end", "of")).alias("spans"))
     s = spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
     joined = rows.join(s, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [kept(raw, spans) for raw, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist())]
-            n_bytes, removed, runs, digest, left = zip(*out) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(left, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def kept(raw: bytes, spans: list[dict] | None) -> tuple[int, int, int, str, bytes]:
-    parts, done, removed, runs, end = [], 0, 0, 0, -1
-    for i, j in sorted((x["start"], x["end"]) for x in spans or ()):
-        if i > end or end < 0:
-            parts.append(raw[done:i])
-            runs += 1
-            removed += j - i
-            end = done = j
-        elif j > end:
-            removed += j - end
-            end = done = j
-    parts.append(raw[done:])
-    left = b"".join(parts)
-    return len(raw), removed, runs, hashlib.sha256(left).hexdigest(), left
+            out = [kept(raw, spans, threshold, passage_words) for raw, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist())]
+            n_bytes, removed, runs, digest, passages, left = zip(*out) if out else ((),) * 6
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(passages, pa.int64()), pa.array(left, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "kept"])
+
+    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, kept binary")
+
+
+def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The maximal runs of the bytes under some spans; adjoining ones are one."""
+    out: list[tuple[int, int]] = []
+    for i, j in sorted(spans):
+        if out and i <= out[-1][1]:
+            out[-1] = out[-1][0], max(j, out[-1][1])
+        else:
+            out.append((i, j))
+    return out
+
+
+def kept(raw: bytes, spans: list[dict] | None, threshold: int, passage_words: int) -> tuple[int, int, int, str, int, bytes]:
+    """Bytes, removed bytes and runs of them, digest of what is left, repeated passages, and what is left."""
+    gone = _runs([(x["start"], x["end"]) for x in spans or () if x["of"] == threshold])
+    passages = sum(len(raw[i:j].split()) > passage_words for i, j in _runs([(x["start"], x["end"]) for x in spans or ()]))
+    parts, done = [], 0
+    for i, j in gone:
+        parts.append(raw[done:i])
+        done = j
+    left = b"".join([*parts, raw[done:]])
+    return len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), passages, left

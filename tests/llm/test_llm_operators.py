@@ -144,20 +144,27 @@ def test_packing_balances_cost():
     assert max(full) < 1.35 * min(full) and n == len(spent)
 
 
-def repeats_truth(rows, T):
-    texts = [(t or "").encode() for _, t in rows]
+def repeated(texts, T):
+    """Which bytes of each text lie under a repeated string of T bytes."""
     seen = Counter(t[i : i + T] for t in texts for i in range(len(t) - T + 1))
-    out = []
-    for (d, _), t in zip(rows, texts):
-        gone = np.zeros(len(t) + 2, int)
+    for t in texts:
+        gone = np.zeros(len(t) + T + 1, int)
         for i in range(len(t) - T + 1):
             if seen[t[i : i + T]] > 1:
                 gone[i] += 1
                 gone[i + T] -= 1
-        hit = np.cumsum(gone[: len(t)]) > 0 if t else np.zeros(0, bool)
+        yield np.cumsum(gone[: len(t)]) > 0
+
+
+def repeats_truth(rows, T, passage=300, words=50):
+    texts = [(t or "").encode() for _, t in rows]
+    out = []
+    for (d, _), t, hit, near in zip(rows, texts, repeated(texts, T), repeated(texts, min(T, passage))):
         runs = int((np.diff(np.concatenate(([0], hit.astype(int)))) == 1).sum())
         left = np.frombuffer(t, np.uint8)[~hit].tobytes()
-        out.append((d, len(t), int(hit.sum()), runs, hashlib.sha256(left).hexdigest()))
+        turn = np.flatnonzero(np.diff(np.concatenate(([0], near.astype(int), [0]))))
+        passages = sum(len(t[i:j].split()) > words for i, j in zip(turn[::2], turn[1::2]))
+        out.append((d, len(t), int(hit.sum()), runs, hashlib.sha256(left).hexdigest(), passages))
     return sorted(out, key=str)
 
 
@@ -173,19 +180,31 @@ def test_repeats_odd(spark, odd):
     rows = [(i % 80, "".join(rng.choice([word(rng.randrange(0, 60)), *rng.sample(shared, 2)]) for _ in range(rng.randrange(8)))) for i in range(120)]
     rows += [(500, "z" * 333), (501, "ab" * 100), (502, None), (503, ""), (None, shared[0] * 2), (None, shared[0] * 2)]
     table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_bytes int")
-    for T, limit in ((40, 20_000), (40, 3), (41, 20_000), (100, 0)):
-        got = suffix_dedup.remove_repeats(table, threshold=T, group_limit=limit).drop("kept").collect()
-        assert sorted(map(tuple, got), key=str) == repeats_truth(rows, T), (T, limit)
+    for T, limit, passage, words in ((40, 20_000, 300, 6), (40, 3, 30, 6), (41, 20_000, 31, 2), (100, 0, 60, 8), (100, 20_000, 60, 8), (5, 20_000, 300, 50)):
+        got = suffix_dedup.remove_repeats(table, threshold=T, group_limit=limit, passage=passage, passage_words=words).drop("kept").collect()
+        assert sorted(map(tuple, got), key=str) == repeats_truth(rows, T, passage, words), (T, limit)
     assert sorted(map(tuple, suffix_dedup.remove_repeats(odd).drop("kept").collect()), key=str) == repeats_truth(ODD, 400)
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_repeats_of_long_thresholds(spark):
+    """Reaches beyond 1,023 bytes; a repeat whose ends differ is cut at its ends."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = word(6000)
+    rows = [(1, word(900) + shared + word(50)), (2, shared), (3, word(10) + shared[2000:5500] + word(3000)), (4, word(4000))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for T, limit in ((2047, 20_000), (3000, 20_000), (3000, 0), (5000, 20_000)):
+        got = suffix_dedup.remove_repeats(table, threshold=T, group_limit=limit).drop("kept").collect()
+        assert sorted(map(tuple, got), key=str) == repeats_truth(rows, T), (T, limit)
+
+
 def test_repeats_in_chunks(monkeypatch):
     rng = np.random.default_rng(4)
     b = rng.integers(97, 100, 5000).astype(np.uint8)
-    whole = suffix_dedup.anchors(b, 60)
+    whole = suffix_dedup.anchors(b, 60, 45)
     monkeypatch.setattr(suffix_dedup, "_CHUNK", 700)
-    parts = suffix_dedup.anchors(b, 60)
+    parts = suffix_dedup.anchors(b, 60, 45)
     assert all((x == y).all() for x, y in zip(whole, parts))
 
 
