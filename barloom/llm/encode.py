@@ -15,7 +15,6 @@ PIECES_A_CALL = 512
 
 _ODD_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_SPACES = re.compile(r"\s")
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
@@ -47,7 +46,7 @@ class PieceEncoder:
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
             and not any(" " in a["content"] or a.get("lstrip") or a.get("rstrip") or a.get("single_word") for a in added)
         )
-        self.added = [a["content"] for a in added]
+        self.odd = re.compile("|".join(["^$", r"\s", *(re.escape(a["content"]) for a in added)]))
         if self.by_piece:
             vocab = self.tokenizer.get_vocab()
             self.starts = np.zeros(max(vocab.values()) + 1, bool)
@@ -65,19 +64,17 @@ class PieceEncoder:
 
     def _learn(self, missing: list[str]) -> None:
         """Encodes pieces many at a time: a piece without white space begins at the one token that begins with a space."""
-        odd = [x for x in missing if not x or _SPACES.search(x) or any(a in x for a in self.added)]
+        odd = list(filter(self.odd.search, missing))
         if odd:
             self.memo.update(zip(odd, self._raw([" " + x for x in odd])))
             skip = set(odd)
             missing = [x for x in missing if x not in skip]
-        for k in range(0, len(missing), PIECES_A_CALL):
-            some = missing[k : k + PIECES_A_CALL]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            at = (np.flatnonzero(self.starts[ids]) * 4).tolist()
+        groups = [missing[k : k + PIECES_A_CALL] for k in range(0, len(missing), PIECES_A_CALL)]
+        for some, raw in zip(groups, self._raw([" " + " ".join(some) for some in groups])):
+            at = (np.flatnonzero(self.starts[np.frombuffer(raw, "<u4")]) * 4).tolist()
             if len(at) != len(some):
                 self.memo.update(zip(some, self._raw([" " + x for x in some])))
                 continue
-            raw = ids.tobytes()
             self.memo.update(zip(some, [raw[i:j] for i, j in zip(at, at[1:] + [len(raw)])]))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
@@ -87,19 +84,11 @@ class PieceEncoder:
         memo = self.memo
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
-        out, firsts, at = [b""] * len(texts), [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            cut = self.pieces(text)
-            firsts.append(cut[0])
-            at.append(i)
-            rest = cut[1:]
-            try:
-                out[i] = b"".join([memo[x] for x in rest])
-            except KeyError:
-                self._learn([x for x in dict.fromkeys(rest) if x not in memo])
-                out[i] = b"".join([memo[x] for x in rest])
-        for i, head in zip(at, self._raw(firsts)):
-            out[i] = head + out[i]
-        return out
+        cuts = [self.pieces(text) if text else [] for text in texts]
+        firsts = [cut[0] for cut in cuts if cut]
+        missing: set[str] = set()
+        for cut in cuts:
+            missing.update(set(cut[1:]).difference(memo))
+        self._learn(list(missing))
+        heads = iter(self._raw(firsts))
+        return [next(heads) + b"".join(map(memo.__getitem__, cut[1:])) if cut else b"" for cut in cuts]

@@ -39,7 +39,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-codes")
     token_codes.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), end_id=2)
-    return token_codes.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_codes.read_documents(spark, path, with_ids=False)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

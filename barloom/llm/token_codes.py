@@ -142,22 +142,24 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("first_start"))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids of each document, decoded from the files."""
+def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and (unless they aren't wanted) ids of each document, decoded from the files."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                ids = unpack(row["payload"])
-                at = np.concatenate(([0], np.cumsum(row["lengths"]))).astype(np.int64)
-                raw = ids.astype("<u4").tobytes()
+            for k in range(b.num_rows):
+                start, doc_ids, lengths, payload = (c[k] for c in b.columns)
+                ids = np.ascontiguousarray(unpack(memoryview(payload.as_buffer())), "<u4")
+                at = np.concatenate(([0], np.cumsum(np.asarray(lengths.values)))).astype(np.int64)
+                raw = memoryview(ids).cast("B")
                 crc = [crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + at[:-1]), pa.array(row["lengths"], pa.int64()), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                columns = {"doc_id": doc_ids.values, "start": pa.array(start.as_py() + at[:-1]), "n_tokens": lengths.values, "ids_crc32": pa.array(crc, pa.int64())}
+                if with_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return _segments(spark, path).select("start", "doc_ids", "lengths", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    return _segments(spark, path).select("start", "doc_ids", "lengths", "payload").mapInArrow(decode, schema)
 
 
 def token_at(spark: SparkSession, path: str, position: int) -> int:

@@ -297,6 +297,8 @@ def test_token_codes_round_trip(spark, docs, odd, tokenizer, monkeypatch):
             assert r.start == at and r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
             at += r.n_tokens
             flat += r.ids
+        bare = token_codes.read_documents(spark, path, with_ids=False)
+        assert bare.columns == got[0].__fields__[:-1] and sorted(map(tuple, bare.collect()), key=str) == sorted((tuple(r)[:-1] for r in got), key=str)
         for i in (0, len(flat) // 2, len(flat) - 1):
             assert token_codes.token_at(spark, path, i) == flat[i]
     path = scratch(spark, "codes")
