@@ -69,11 +69,11 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
 
 def gram_of(least: int) -> int:
     """Bytes of a gram; longer ones are rarer, shorter ones leave wider windows and so fewer anchors."""
-    return 2 * least // 5
+    return least // 4
 
 
 def anchors(b: np.ndarray, threshold: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the anchors of a text, with names of their gram's two halves and of their context."""
+    """Positions of the anchors of a text, with names of their gram's two halves (32 bits each) and of their context."""
     gram = gram_of(least)
     half, reach, right, n = gram // 2, least - gram, threshold - gram, len(b)
     width = reach + 1
@@ -102,7 +102,8 @@ def anchors(b: np.ndarray, threshold: int, least: int) -> tuple[np.ndarray, np.n
         contexts.append(c)
     pos = np.concatenate(at)
     _, once = np.unique(pos, return_index=True)
-    return pos[once], np.concatenate(first)[once], np.concatenate(second)[once], np.concatenate(contexts)[once]
+    short = lambda x: (np.concatenate(x)[once] >> np.uint64(32)).astype(np.uint32)
+    return pos[once], short(first), short(second), np.concatenate(contexts)[once]
 
 
 def repeated_windows(gram: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, copies: np.ndarray, beyond: int) -> np.ndarray:
@@ -133,10 +134,10 @@ def _spans(pos: np.ndarray, dup: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return row, pos[row] - (high - 1), pos[row] - low + size
 
 
-def reranked(pairs: DataFrame, first: str, second: str) -> DataFrame:
-    """Rank of each pair of ranks that more than one position has, in the order of the pairs, with the number of its contexts."""
-    found = pairs.groupBy(first, second).agg(F.sum("n").alias("total"), F.count("*").alias("n_ctx")).where("total > 1").drop("total")
-    return found.orderBy(first, second).withColumn("gram", F.monotonically_increasing_id())
+def reranked(pairs: DataFrame, first: str, second: str, name: str) -> DataFrame:
+    """Rank of each pair of ranks that more than one position has, in the order of the pairs."""
+    found = pairs.groupBy(first, second).count().where("count > 1").drop("count")
+    return found.orderBy(first, second).withColumn(name, F.monotonically_increasing_id())
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, group_limit: int = GROUP_LIMIT, doc_id: str = "doc_id", text: str = "text", passage: int | None = PASSAGE, passage_words: int = PASSAGE_WORDS) -> DataFrame:
@@ -147,45 +148,41 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, group_limit: int
     that is less or passage is None) that also start elsewhere and that hold more than passage_words words; they stay where
     they are shorter than the threshold. Null texts are empty; texts shorter than the threshold keep all. Repeated rows are
     each other's copies, so both lose what is long enough. doc_id may be null or shared by different texts. The threshold
-    is 5 bytes or more.
+    is 8 bytes or more.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     sizes = sorted({threshold, min(threshold, passage or threshold)})
     least = sizes[0]
     if (gram_len := gram_of(least)) < 2:
-        raise ValueError("a threshold of 5 bytes or more is needed")
+        raise ValueError("a threshold of 8 bytes or more is needed")
     reach, right = least - gram_len, threshold - gram_len
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    none = (np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 3)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumns({"row": F.xxhash64("doc_id", "text"), "size": F.octet_length("text")})
+    none = np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, np.uint64)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
             made = [anchors(np.frombuffer(raw, np.uint8), threshold, least) if len(raw) >= least else none for raw in texts]
-            counts = [len(m[0]) for m in made]
-            index = pa.array(np.repeat(np.arange(len(texts)), counts))
+            index = pa.array(np.repeat(np.arange(len(texts)), [len(m[0]) for m in made]))
             pos, first, second, contexts = (np.concatenate(x) for x in zip(*made)) if made else none
-            size = np.repeat(np.array([len(raw) for raw in texts], np.int64), counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(contexts.view(np.int64)), b.column("doc_id").take(index), b.column("th").take(index), pa.array(pos.astype(np.int64)), pa.array(size)],
-                ["first", "second", "ctx", "doc_id", "th", "pos", "size"],
-            )
+            columns = [pa.array(first.view(np.int32)), pa.array(second.view(np.int32)), pa.array(contexts.view(np.int64)), b.column("row").take(index), pa.array(pos.astype(np.int32)), b.column("size").take(index)]
+            yield pa.RecordBatch.from_arrays(columns, ["first", "second", "ctx", "row", "pos", "size"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    long_texts = rows.where(F.octet_length("text") >= least)
-    found = staged(long_texts.select("doc_id", "th", "text").mapInArrow(sample, f"first long, second long, ctx long, doc_id {kind}, th long, pos long, size long"), "anchors")
-    halves = ["first", "second"]
-    contexts = found.groupBy(*halves, "ctx").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "th", "pos", "size")])
-    shared = staged(contexts.join(reranked(contexts, *halves), halves), "anchor-ranks")
+    found = staged(rows.where(F.col("size") >= least).select("row", "size", "text").mapInArrow(sample, "first int, second int, ctx long, row long, pos int, size int"), "anchors")
+    halves, whole = ["first", "second"], ["gram", "ctx"]
+    held = staged(found.join(reranked(found, *halves, "gram"), halves).drop(*halves), "anchor-ranks")
+    contexts = held.groupBy(*whole).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("row", "pos", "size")])
+    shared = staged(contexts.join(contexts.groupBy("gram").agg(F.count("*").alias("n_ctx")), "gram"), "context-ranks")
     start, end = F.greatest(F.col("pos") - reach, F.lit(0)), F.least(F.col("pos") + threshold, "size")
-    settled = found.join(shared.where("n > 1").select(*halves, "ctx"), [*halves, "ctx"]).select("doc_id", "th", start.alias("start"), end.alias("end"))
+    settled = held.join(shared.where("n > 1").select(*whole), whole).select("row", "size", start.alias("start"), end.alias("end"))
     settled = settled.withColumn("of", F.when(F.col("end") - F.col("start") >= threshold, threshold).otherwise(least)).where("end - start >= of")
 
-    asked = shared.where("n_ctx > 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "pos", "n", "n_ctx")).alias("asked"))
-    a = asked.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "asked")
-    with_text = rows.join(a, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "th", "text", "asked")
-    schema = f"gram long, doc_id {kind}, th long, pos long, n_left int, n_right int, n long, n_ctx long, head binary, tail binary"
+    asked = shared.where("n_ctx > 1").groupBy("row", "size").agg(F.collect_list(F.struct("gram", "pos", "n", "n_ctx")).alias("asked"))
+    with_text = rows.join(asked, ["row", "size"]).select("row", "size", "text", "asked")
+    schema = "gram long, row long, size int, pos int, n_left int, n_right int, n long, n_ctx long, head binary, tail binary"
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,12 +196,12 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, group_limit: int
                     for c, v in zip(out, row):
                         c.append(v)
             index = pa.array(out[0], pa.int64())
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             g, pos, nl, nr, n, n_ctx, head, tail = [pa.array(c, t) for c, t in zip(out[1:], kinds)]
-            yield pa.RecordBatch.from_arrays([g, b.column("doc_id").take(index), b.column("th").take(index), pos, nl, nr, n, n_ctx, head, tail], ["gram", "doc_id", "th", "pos", "n_left", "n_right", "n", "n_ctx", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([g, b.column("row").take(index), b.column("size").take(index), pos, nl, nr, n, n_ctx, head, tail], ["gram", "row", "size", "pos", "n_left", "n_right", "n", "n_ctx", "head", "tail"])
 
     open_rows = staged(with_text.mapInArrow(extend, schema), "anchor-contexts")
-    spans_kind = f"doc_id {kind}, th long, start long, end long, of int"
+    spans_kind = "row long, size int, start int, end int, of int"
 
     def matrix(t: pa.Table, name: str, width: int) -> np.ndarray:
         return np.frombuffer(b"".join(t.column(name).to_pylist()), np.uint8).reshape(-1, width)
@@ -218,7 +215,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, group_limit: int
             dup[col("n") > 1] = False  # settled by their whole context
             row, i, j = _spans(col("pos"), dup, size)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([t.column("doc_id").take(at).combine_chunks(), t.column("th").take(at).combine_chunks(), pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(np.full(len(i), size, np.int32))], ["doc_id", "th", "start", "end", "of"])
+            yield pa.RecordBatch.from_arrays([t.column("row").take(at).combine_chunks(), t.column("size").take(at).combine_chunks(), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(np.full(len(i), size, np.int32))], ["row", "size", "start", "end", "of"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -265,15 +262,14 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, group_limit: int
                         of.append(np.full(len(ok), size, np.int32))
                 index = pa.array(np.concatenate(row))
                 take = lambda c: t.column(c).take(index).combine_chunks()  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([take("gram"), pa.array(np.concatenate(key).view(np.int64)), take("doc_id"), take("th"), pa.array(np.concatenate(at)), take("n"), pa.array(np.concatenate(of))], ["gram", "win", "doc_id", "th", "start", "n", "of"])
+                yield pa.RecordBatch.from_arrays([take("gram"), pa.array(np.concatenate(key).view(np.int64)), take("row"), take("size"), pa.array(np.concatenate(at).astype(np.int32)), take("n"), pa.array(np.concatenate(of))], ["gram", "win", "row", "size", "start", "n", "of"])
 
-    many = open_rows.where(F.col("n_ctx") > group_limit).select("gram", "doc_id", "th", "pos", "n_left", "n_right", "n", "head", "tail").mapInArrow(windows, f"gram long, win long, doc_id {kind}, th long, start long, n long, of int")
+    many = open_rows.where(F.col("n_ctx") > group_limit).select("gram", "row", "size", "pos", "n_left", "n_right", "n", "head", "tail").mapInArrow(windows, "gram long, win long, row long, size int, start int, n long, of int")
     again = many.groupBy("gram", "win", "of").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "win", "of")
-    common = many.where("n = 1").join(again, ["gram", "win", "of"]).select("doc_id", "th", "start", (F.col("start") + F.col("of")).alias("end"), "of")
+    common = many.where("n = 1").join(again, ["gram", "win", "of"]).select("row", "size", "start", (F.col("start") + F.col("of")).alias("end"), "of")
 
-    spans = settled.unionByName(few).unionByName(common).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end", "of")).alias("spans"))
-    s = spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
-    joined = rows.join(s, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left").select("doc_id", "text", "spans")
+    spans = settled.unionByName(few).unionByName(common).groupBy("row", "size").agg(F.collect_set(F.struct("start", "end", "of")).alias("spans"))
+    joined = rows.join(spans, ["row", "size"], "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
