@@ -42,10 +42,21 @@ def limit_hit(pct: Column, limit: Column) -> Column:
     return F.when(pct >= limit * 100 - 0.01, "up").when(pct <= -limit * 100 + 0.01, "down").otherwise("none")
 
 
+# Endings and marks of names that say nothing about likeness, taken out in this order.
+NAME_SUFFIXES = ("股份", "集团", "有限", "公司", "ST", "*ST", "退市")
+
+
+def name_chars(name: Column) -> Column:
+    """The distinct characters of a name without suffixes and marks."""
+    for s in NAME_SUFFIXES:
+        name = F.replace(name, F.lit(s), F.lit(""))
+    return F.filter(F.array_distinct(F.split(name, "")), lambda c: c != "")
+
+
 def name_similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the characters of two names."""
-    chars = lambda c: F.array_distinct(F.split(c, ""))
-    return F.try_divide(F.size(F.array_intersect(chars(a), chars(b))), F.size(F.array_union(chars(a), chars(b))))
+    """Jaccard similarity of the characters of two names without suffixes; 0 where one has none left."""
+    chars = name_chars
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(chars(a), chars(b))), F.size(F.array_union(chars(a), chars(b)))), F.lit(0.0))
 
 
 def stamp_tax(day: Column) -> Column:

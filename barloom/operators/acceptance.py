@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -58,8 +59,37 @@ def suspension(bars: DataFrame, most: int = 1000) -> DataFrame:
     return findings(bars, [("suspended_with_volume", "WARNING", F.col("is_suspend") & (F.col("volume") > most))])
 
 
-def full_check(bars: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [quality.price_logic(bars), volume_logic(bars), suspension(bars), statistical(bars)])
+def missing_days(bars: DataFrame, calendar: DataFrame, many: int = 5) -> DataFrame:
+    """A finding for each key that misses days of the calendar between its first and last bar: a warning where it is many."""
+    found = quality.completeness(bars, calendar)
+    return found.select(F.lit("missing_days").alias("alert_type"), F.when(F.col("missing") > many, "WARNING").otherwise("INFO").alias("severity"), "ts_code", F.col("first_missing").alias("trade_date"))
+
+
+def full_check(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Prices, volumes, suspensions, statistics and completeness."""
+    return reduce(DataFrame.unionByName, [quality.price_logic(bars), volume_logic(bars), suspension(bars), statistical(bars), missing_days(bars, calendar)])
+
+
+def data_quality(raw: DataFrame, adjusted: DataFrame, gone: DataFrame, membership: DataFrame, listed: DataFrame, first: str | None = None, last: str | None = None, keys: Callable[[Column], Column] | None = None, universe: tuple[int, int] = (1000, 6000)) -> DataFrame:
+    """Alerts (alert_type, ts_code, trade_date) of all fourteen checks, within a range of days and for the keys of a condition.
+
+    gone: ts_code, delist_date; listed: t, n (the size of the universe on a day). An alert about a whole key has no day, one
+    about a day's universe no key; with a range, alerts without a day are left out.
+    """
+    if keys is not None:
+        raw, adjusted, gone, membership = (df.where(keys(F.col("ts_code"))) for df in (raw, adjusted, gone, membership))
+    named = lambda df, name: df.select(F.lit(name).alias("alert_type"), *KEYS)
+    one = ["duplicate_rows", "ohlc_violation", "pct_chg_extreme", "adj_factor_jump", "zero_volume_non_suspend", "volume_amount_inconsistent", "adj_factor_invalid"]
+    no_day, no_key = F.lit(None).cast("date").alias("trade_date"), F.lit(None).cast("string").alias("ts_code")
+    found = [
+        quality.run(raw, one).drop("detail"), named(quality.after_delisting(raw, gone, 0), "delisted_with_future_data"), named(adjusted_ratio(raw, adjusted), "adj_raw_ratio_invalid"),
+        named(quality.index_dates(membership), "index_date_invalid"), named(universe_size(listed, *universe).select(no_key, F.col("t").alias("trade_date")), "pit_universe_size_suspicious"),
+        named(row_counts(raw, adjusted).select("ts_code", no_day), "raw_adj_row_count_mismatch"), named(quality.missing_keys(raw, adjusted, KEYS), "raw_adj_pk_missing"), named(adjusted_close(raw, adjusted), "qfq_close_mismatch"),
+    ]
+    out = reduce(DataFrame.unionByName, found)
+    for bound, inside in ((first, lambda d: F.col("trade_date") >= d), (last, lambda d: F.col("trade_date") <= d)):
+        out = out if bound is None else out.where(inside(F.lit(bound).cast("date")))
+    return out
 
 
 def verdict(found: DataFrame) -> DataFrame:
@@ -133,6 +163,25 @@ def acceptance(bars: DataFrame, low: float = 0.01, high: float = 10000.0) -> Dat
     return findings(rows, [("factor_falls", "WARNING", F.col("adj_factor") < F.col("_f")), ("close_out_of_range", "ERROR", ~F.col("close").between(low, high)), ("pct_chg_identity", "ERROR", drift)])
 
 
+def latest_factor(bars: DataFrame, most: float = 1e-6) -> DataFrame:
+    """Keys whose last adjustment factor isn't 1."""
+    last = bars.groupBy("ts_code").agg(F.max("trade_date").alias("trade_date"), F.max_by("adj_factor", "trade_date").alias("adj_factor"))
+    return last.where(F.abs(F.col("adj_factor") - 1) > most)
+
+
+def days_a_year(bars: DataFrame, low: int = 240, high: int = 250) -> DataFrame:
+    """Years with too few or too many trading days."""
+    return bars.groupBy(F.year("trade_date").alias("year")).agg(F.countDistinct("trade_date").alias("days")).where(~F.col("days").between(low, high))
+
+
+def value_ranges(rows: DataFrame, bounds: dict[str, tuple[float, float]], key: list[str], profit: str | None = None, roe: str = "roe") -> DataFrame:
+    """(alert_type, *key): a row for each measure outside its range, and where the sign of roe isn't that of the profit."""
+    rules = [(f"{c}_out_of_range", ~F.col(c).between(*b)) for c, b in bounds.items()]
+    if profit is not None:
+        rules.append(("roe_sign", F.signum(roe) != F.signum(profit)))
+    return rows.select(*key, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))).alias("alert_type"))
+
+
 def key_count_swing(bars: DataFrame, most: float = 0.2) -> DataFrame:
     """Months whose number of codes swings by more than a share against the month before; a row a month."""
     from pyspark.sql import Window

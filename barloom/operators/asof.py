@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,12 +22,26 @@ def join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right
     return out.select(*on, "_row.*", "_value.*")
 
 
+def on_days(intervals: DataFrame, dates: DataFrame, first: Column, last: Column) -> DataFrame:
+    """intervals once for each day t of dates from first to last, both inclusive; open where last is null, none where first is.
+
+    The days are gathered once in a sorted array, with a second one that says how many of them lie at or before each
+    calendar day between their ends. An interval finds its slice in them by arithmetic, so only rows that are returned are made.
+    """
+    days = dates.agg(F.array_sort(F.collect_set("t")).alias("days"))
+    each = F.transform(F.sequence(F.get("days", F.lit(0)), F.try_element_at("days", F.lit(-1))), lambda x: F.size(F.filter("days", lambda y: y <= x)))
+    known = days.select(F.struct("days", each.alias("upto")).alias("x")).scalar()
+    n, since = F.size(known["days"]), lambda x: F.datediff(x, F.get(known["days"], F.lit(0)))
+    before = lambda x: F.when(since(x) < 0, 0).when(since(x) >= F.size(known["upto"]), n).otherwise(F.get(known["upto"], since(x)))
+    low, high = before(F.date_sub(first, 1)), F.when(last.isNull(), n).otherwise(before(last))
+    return intervals.withColumn("t", F.explode(F.slice(known["days"], low + 1, F.greatest(high - low, F.lit(0)))))
+
+
 def active(versions: DataFrame, dates: DataFrame, day: str = "eff_date", key: str = "ts_code", until: str = "valid_to") -> DataFrame:
     """Every date with the version of each key that holds on it. dates is a list of days, small by nature."""
-    hit = (F.col(day) <= F.col("t")) & (F.col(until).isNull() | (F.col("t") < F.col(until)))
-    return versions.join(dates, hit)
+    return on_days(versions, dates, F.col(day), F.date_sub(F.col(until), 1))
 
 
 def members(membership: DataFrame, dates: DataFrame) -> DataFrame:
     """Members on each date; out_date is inclusive and open where null."""
-    return membership.join(dates, (F.col("in_date") <= F.col("t")) & (F.col("t") <= F.coalesce("out_date", F.lit("9999-12-31").cast("date"))))
+    return on_days(membership, dates, F.col("in_date"), F.col("out_date"))

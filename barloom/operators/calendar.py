@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 HOLIDAYS = ("01-01", "05-01", "10-01")
 
 
-def build(bounds: DataFrame, holidays: tuple[str, ...] = HOLIDAYS, first: str = "a", last: str = "b") -> DataFrame:
-    """One row for each day between the two dates of the one-row frame, with trading and period-end flags."""
+def build(bounds: DataFrame, holidays: DataFrame | tuple[str, ...] = HOLIDAYS, first: str = "a", last: str = "b") -> DataFrame:
+    """One row for each day between the two dates of the one-row frame, with trading and period-end flags.
+
+    holidays is a table of the exchange's closed days (cal_date), or days (month-day) that are closed in every year.
+    """
     days = bounds.select(F.explode(F.sequence(first, last)).alias("cal_date"))
-    trading = F.dayofweek("cal_date").between(2, 6) & ~F.date_format("cal_date", "MM-dd").isin(*holidays)
+    if isinstance(holidays, DataFrame):
+        days = days.join(holidays.select("cal_date").distinct().withColumn("_closed", F.lit(True)), "cal_date", "left").withColumn("_closed", F.coalesce("_closed", F.lit(False)))
+    else:
+        days = days.withColumn("_closed", F.date_format("cal_date", "MM-dd").isin(*holidays))
+    trading = F.dayofweek("cal_date").between(2, 6) & ~F.col("_closed")
     month = F.last_day("cal_date") == F.col("cal_date")
-    return days.withColumns({"is_trading_day": trading, "month_end_flag": month, "quarter_end_flag": month & (F.month("cal_date") % 3 == 0), "year_end_flag": month & (F.month("cal_date") == 12)})
+    return days.withColumns({"is_trading_day": trading, "month_end_flag": month, "quarter_end_flag": month & (F.month("cal_date") % 3 == 0), "year_end_flag": month & (F.month("cal_date") == 12)}).drop("_closed")
 
 
 def neighbours(calendar: DataFrame) -> DataFrame:

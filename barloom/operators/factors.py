@@ -56,14 +56,15 @@ def neutralize(df: DataFrame, column: str, size: str, industry: str) -> DataFram
     return rows.withColumn(column, F.col("_y") - F.coalesce(slope, F.lit(0.0)) * F.col("_x")).drop("_i", "_x", "_y")
 
 
-def rank_ic(df: DataFrame, factor: str, ret: str) -> DataFrame:
-    """Correlation of average ranks, date by date."""
+def rank_ic(df: DataFrame, factor: str, ret: str, group: list[str] | None = None) -> DataFrame:
+    """Correlation of average ranks, date by date (or group by group)."""
+    group = group or ["trade_date"]
 
     def rank(c):
-        return F.rank().over(each_date().orderBy(c)) + (F.count("*").over(Window.partitionBy("trade_date", c)) - 1) / 2
+        return F.rank().over(Window.partitionBy(*group).orderBy(c)) + (F.count("*").over(Window.partitionBy(*group, c)) - 1) / 2
 
     both = df.where(F.col(factor).isNotNull() & F.col(ret).isNotNull())
-    return both.select("trade_date", rank(factor).alias("a"), rank(ret).alias("b")).groupBy("trade_date").agg(F.corr("a", "b").alias("ic"), F.count("*").alias("n"))
+    return both.select(*group, rank(factor).alias("a"), rank(ret).alias("b")).groupBy(*group).agg(F.corr("a", "b").alias("ic"), F.count("*").alias("n"))
 
 
 def quantile_returns(df: DataFrame, factor: str, ret: str, n: int = 5) -> DataFrame:
@@ -71,6 +72,23 @@ def quantile_returns(df: DataFrame, factor: str, ret: str, n: int = 5) -> DataFr
     return q.groupBy("trade_date", "quantile").agg(F.avg(ret).alias("mean_ret"), F.count("*").alias("n"))
 
 
+def long_short(df: DataFrame, factor: str, ret: str, n: int = 5) -> DataFrame:
+    """Each date's mean return of the highest quantile less that of the lowest."""
+    leg = lambda q: F.max(F.when(F.col("quantile") == q, F.col("mean_ret")))
+    return quantile_returns(df, factor, ret, n).groupBy("trade_date").agg((leg(n) - leg(1)).alias("long_short"))
+
+
+def ic_decay(bars: DataFrame, factor: str, horizons: tuple[int, ...] = (1, 2, 3, 4, 5), price: str = "close", least: int = 5) -> DataFrame:
+    """Mean rank IC, its ratio to its deviation (ICIR) and the number of dates, for returns 1 to 5 rows ahead.
+
+    Dates with fewer than least codes don't count.
+    """
+    ahead = [F.struct(F.lit(h).alias("horizon"), (F.try_divide(F.lead(price, h).over(by()), price) - 1).alias("ret")) for h in horizons]
+    rows = bars.select("trade_date", F.col(factor).alias("_f"), F.array(*ahead).alias("_a")).select("trade_date", "_f", F.explode("_a").alias("x")).select("trade_date", "_f", "x.*")
+    ic = rank_ic(rows, "_f", "ret", ["trade_date", "horizon"]).where((F.col("n") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic"))
+    return ic.groupBy("horizon").agg(F.avg("ic").alias("mean_ic"), F.try_divide(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), F.count("*").alias("n"))
+
+
 def mean_turnover(bars: DataFrame, n: int = 20, column: str = "volume") -> DataFrame:
     return bars.select("ts_code", "trade_date", F.avg(column).over(by().rowsBetween(1 - n, 0)).alias(f"turnover_{n}"))
 

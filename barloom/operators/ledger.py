@@ -57,8 +57,7 @@ def valuation(held: DataFrame, prices: DataFrame, days: DataFrame, group: str =
     is a calendar, small by nature.
     """
     spans = held.withColumn("_until", F.lead("trade_date").over(Window.partitionBy(group, "ts_code").orderBy("trade_date"))).where("shares != 0")
-    on = (F.col("t") >= F.col("trade_date")) & (F.col("_until").isNull() | (F.col("t") < F.col("_until")))
-    rows = spans.join(F.broadcast(days), on).select(group, "ts_code", "t", "shares")
+    rows = asof.on_days(spans, days, F.col("trade_date"), F.date_sub("_until", 1)).select(group, "ts_code", "t", "shares")
     priced = asof.join(rows, prices, ["ts_code"], "t", "trade_date", ["close"])
     return priced.groupBy(group, "t").agg(F.sum(F.col("shares") * F.col("close")).alias("value"), F.count("*").alias("positions"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import codes
+from barloom.operators import asof
 from barloom.operators.windows import by, latest
 
 
@@ -18,13 +19,13 @@ def nested(history: DataFrame) -> DataFrame:
 def status_on(lifetimes: DataFrame, dates: DataFrame) -> DataFrame:
     """Every security on every date with its status (not_listed, delisted, or the last event's) and whether it may trade.
 
-    dates gives the days as t; they are gathered in one array, small by nature, and each event array is looked up in place.
+    dates gives the days as t; they are gathered in one array, small by nature. Events meet them in one as-of window.
     """
-    days = dates.agg(F.collect_set("t").alias("_days"))
-    rows = lifetimes.join(F.broadcast(days)).withColumn("t", F.explode("_days")).drop("_days")
-    seen = F.element_at(F.filter("events", lambda e: e["day"] <= F.col("t")), -1)["status"]
-    status = F.when(F.col("t") < F.col("list_date"), "not_listed").when(F.col("delist_date") <= F.col("t"), "delisted").otherwise(seen)
-    out = rows.withColumn("status", status)
+    rows = lifetimes.select("ts_code", "list_date", "delist_date", F.explode(dates.agg(F.collect_set("t")).scalar()).alias("t"))
+    events = lifetimes.select("ts_code", F.explode("events").alias("_e")).select("ts_code", F.col("_e.day").alias("_day"), F.col("_e.status").alias("_seen"))
+    out = asof.join(rows, events, ["ts_code"], "t", "_day", ["_seen"])
+    status = F.when(F.col("t") < F.col("list_date"), "not_listed").when(F.col("delist_date") <= F.col("t"), "delisted").otherwise(F.col("_seen"))
+    out = out.withColumn("status", status).drop("_seen")
     return out.withColumn("is_tradable", ~F.col("status").isin("not_listed", "delisted"))
 
 
@@ -44,7 +45,7 @@ def transitions(log: DataFrame, column: str, key: str = "ts_code", day: str = "e
 def warnings(latest_rows: DataFrame, dates: DataFrame, days: int = 30) -> DataFrame:
     """Securities that leave within some days of a date, and how urgent that is."""
     left = F.datediff("delist_date", "t")
-    out = latest_rows.where("delist_date is not null").join(F.broadcast(dates), left.between(0, days))
+    out = asof.on_days(latest_rows.where("delist_date is not null"), dates, F.date_sub("delist_date", days), F.col("delist_date"))
     return out.select("t", "ts_code", "delist_date", left.alias("days_remaining"), F.when(left <= 10, "high").when(left <= 20, "medium").otherwise("low").alias("urgency"))
 
 
@@ -58,11 +59,15 @@ def final_state(bars: DataFrame, ends: DataFrame, days: int = 30, rows: int = 5)
 def successors(gone: DataFrame, listed: DataFrame, days: int = 60, least: float = 0.5) -> DataFrame:
     """For each delisted name the first listing within some days whose name is similar; (old, new, similarity).
 
-    gone: ts_code, name, delist_date; listed: ts_code, name, list_date. Both are met in buckets of `days` days.
+    gone: ts_code, name, delist_date; listed: ts_code, name, list_date. Both are met in buckets of `days` days. Of the
+    listings of a day with the same characters only the two of smallest code can be the first, so a name meets distinct
+    sets of characters, not every listing.
     """
     bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days)
     g = gone.select(F.col("ts_code").alias("old"), F.col("name").alias("_a"), "delist_date").withColumn("_b", F.explode(F.array(bucket(F.col("delist_date")), bucket(F.col("delist_date")) + 1)))
     n = listed.select(F.col("ts_code").alias("new"), F.col("name").alias("_n"), "list_date").withColumn("_b", bucket(F.col("list_date")))
+    alike = Window.partitionBy("list_date", F.array_join(F.array_sort(codes.name_chars(F.col("_n"))), "")).orderBy("new")
+    n = n.withColumn("_rn", F.row_number().over(alike)).where("_rn <= 2").drop("_rn")
     near = F.datediff("list_date", "delist_date").between(0, days) & (F.col("old") != F.col("new"))
     pairs = g.join(n, "_b").where(near).withColumn("similarity", codes.name_similarity(F.col("_a"), F.col("_n"))).where(F.col("similarity") > least)
     return latest(pairs, ["old"], F.col("list_date"), F.col("new")).select("old", "new", "similarity")

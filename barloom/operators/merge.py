@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.codes import liability_ratio
 from barloom.operators.windows import latest
 
 
@@ -13,6 +14,15 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+def derived_factors(statements: DataFrame) -> DataFrame:
+    """The factors of financial statements, by (ts_code, end_date): saved with the statements, under the same keys.
+
+    statements: ts_code, end_date, roe_avg, asset_to_equity, net_profit; roic and gross_margin are taken over where they are there.
+    """
+    also = [c for c in ("roic", "gross_margin") if c in statements.columns]
+    return statements.select("ts_code", "end_date", F.col("roe_avg").alias("roe"), *also, liability_ratio(F.col("asset_to_equity")).alias("asset_liability_ratio"), "net_profit")
+
+
 def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*keys).distinct(), keys, "left_anti"))
 
@@ -52,9 +62,8 @@ def merge_progress(progress: DataFrame, batch: DataFrame, batch_id: str) -> Data
 
 
 def write_by_year(df: DataFrame, path: str, day: str = "trade_date", codec: str = "zstd") -> None:
-    """A folder for each year; each year's rows are dealt to a few tasks, so files stay few and large."""
-    year = F.year(day).alias("year")
-    df.withColumn("year", year).repartition("year", F.pmod(F.xxhash64("ts_code"), F.lit(4))).write.mode("overwrite").option("compression", codec).partitionBy("year").parquet(path)
+    """A folder for each year; rows are dealt by year to as many tasks as their bytes need, so files stay few and large."""
+    df.withColumn("year", F.year(day)).hint("rebalance", "year").write.mode("overwrite").option("compression", codec).partitionBy("year").parquet(path)
 
 
 def read_years(spark, path: str, first: str, last: str, day: str = "trade_date") -> DataFrame:

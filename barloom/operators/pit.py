@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import asof
+from barloom.operators.storage import ready
 from barloom.operators.windows import latest, validity
 
 
-def universe(history: DataFrame, dates: DataFrame, min_days: int = 0, include_delisted: bool = False, inclusive: bool = False) -> DataFrame:
-    """Version of each listed key on each date; the delist day itself is out unless inclusive."""
-    out = asof.active(validity(history), dates).where(F.datediff("t", "list_date") >= min_days)
+def universe(history: DataFrame, dates: DataFrame, min_days: int = 0, include_delisted: bool = False, inclusive: bool = False, exchanges: list[str] | None = None, exchange: str = "exchange") -> DataFrame:
+    """Version of each listed key on each date, with is_tradable; the delist day itself is out unless inclusive.
+
+    is_tradable is true until the delist day; with exchanges, only keys whose exchange column holds one of them.
+    """
+    listed = history if exchanges is None else history.where(F.col(exchange).isin(exchanges))
+    out = asof.active(validity(listed), dates).where(F.datediff("t", "list_date") >= min_days)
+    out = out.withColumn("is_tradable", F.col("delist_date").isNull() | (F.col("delist_date") > F.col("t")))
     if include_delisted:
         return out
     end = F.col("delist_date") >= F.col("t") if inclusive else F.col("delist_date") > F.col("t")
@@ -26,26 +32,25 @@ def factors(fundamentals: DataFrame, dates: DataFrame, names: list[str], strict:
     known = fundamentals.where("ann_date is not null")
     w = Window.partitionBy("ts_code").orderBy("ann_date", "end_date", "report")
     carried = known.select("ts_code", "ann_date", F.lead("ann_date").over(w).alias("_next"), *[F.last(n, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in names])
-    t, a, b = F.col("t"), F.col("ann_date"), F.col("_next")
-    seen = (a < t) & (b.isNull() | (t <= b)) if strict else (a <= t) & (b.isNull() | (t < b))
-    return carried.join(dates.select("t").distinct(), seen).select("t", "ts_code", *names)
+    a, b = F.col("ann_date"), F.col("_next")
+    span = (F.date_add(a, 1), b) if strict else (a, F.date_sub(b, 1))
+    return asof.on_days(carried, dates, *span).select("t", "ts_code", *names)
 
 
 def visible(fundamentals: DataFrame, dates: DataFrame, lookback: int = 90) -> DataFrame:
     """The newest period announced within the lookback, for each key and date."""
-    near = fundamentals.join(dates, F.col("ann_date").between(F.date_sub("t", lookback), F.date_sub("t", 1)))
+    near = asof.on_days(fundamentals, dates, F.date_add("ann_date", 1), F.date_add("ann_date", lookback))
     return latest(near, ["t", "ts_code"], F.col("end_date").desc(), F.col("ann_date").desc(), F.col("report").desc())
 
 
 def diff_snapshots(members: DataFrame, snapshot: DataFrame, day: str) -> DataFrame:
     """Membership after a snapshot: members that are absent end the day before, new ones begin on the day."""
-    at = F.lit(day).cast("date")
-    now = members.where("out_date is null")
-    gone = now.join(snapshot, ["index_code", "ts_code"], "left_anti").withColumn("out_date", F.date_sub(at, 1))
-    stay = now.join(snapshot, ["index_code", "ts_code"], "left_semi")
-    new = snapshot.join(now, ["index_code", "ts_code"], "left_anti").select("index_code", "ts_code", at.alias("in_date"), F.lit(None).cast("date").alias("out_date"))
-    columns = ["index_code", "ts_code", "in_date", "out_date"]
-    return members.where("out_date is not null").select(columns).unionByName(gone.select(columns)).unionByName(stay.select(columns)).unionByName(new)
+    at, key = F.lit(day).cast("date"), ["index_code", "ts_code"]
+    both = members.select(*key, "in_date", "out_date", F.col("out_date").isNull().alias("_open"), F.lit(True).alias("_member")).join(
+        snapshot.select(*key, F.lit(True).alias("_there"), F.lit(True).alias("_open")).distinct(), [*key, "_open"], "full_outer"
+    )
+    out_date = F.when(F.col("_open") & F.col("_member") & F.col("_there").isNull(), F.date_sub(at, 1)).otherwise(F.col("out_date"))
+    return both.select(*key, F.when(F.col("_member"), F.col("in_date")).otherwise(at).alias("in_date"), out_date.alias("out_date"))
 
 
 def payload_hash(fields: list[str]) -> Column:
@@ -69,14 +74,11 @@ def as_of(log: DataFrame, key: list[str], at: Column, effective: str = "effectiv
 def resolve_codes(edges: DataFrame, at: Column | None = None, day: str = "day") -> DataFrame:
     """(code, final): the end of each chain of code changes, however long; with at, of the changes whose day is not after it.
 
-    Chains double each round until no row changes. Each round runs at once and is checkpointed (locally where no folder
-    is set); a cycle of changes raises a ValueError.
+    Chains double each round until no row changes. Each round runs at once and is checkpointed in the shared folder; a
+    cycle of changes raises a ValueError.
     """
-    spark = edges.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir() and (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        context.setCheckpointDir(folder)
-    kept = lambda df: df.checkpoint() if context.getCheckpointDir() else df.localCheckpoint()
+    ready(edges.sparkSession)
+    kept = lambda df: df.checkpoint()
     seen = edges if at is None else edges.where(F.col(day) <= at)
     now = kept(seen.select(F.col("old").alias("code"), F.col("new").alias("final")).distinct())
     total, longest = now.count(), 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +24,16 @@ def equal_weight(scores: DataFrame, n: int = 50) -> DataFrame:
 
 
 def costs(trades: DataFrame) -> DataFrame:
-    """Commission of 0.03 % (5 at least), stamp tax on sales by date, slippage of 0.1 %."""
-    amount = F.col("amount")
-    tax = F.when(F.col("side") == "sell", amount * stamp_tax(F.col("trade_date"))).otherwise(0.0)
-    out = trades.withColumns({"commission": F.greatest(amount * 0.0003, F.lit(5.0)), "tax": tax, "slippage": amount * 0.001})
-    return out.withColumn("total_cost", F.col("commission") + F.col("tax") + F.col("slippage"))
+    """Commission of 0.03 % (5 at least), stamp tax on sales by date, slippage of 0.1 %, their total and the net amount.
+
+    Money is decimal: the amount in hundredths, the costs exact until they are rounded. A buyer pays the costs on top of the
+    amount, a seller gets what they leave of it.
+    """
+    amount, rate = F.col("amount").cast("decimal(18,2)"), lambda r: F.lit(Decimal(r))
+    tax = F.when(F.col("side") == "sell", amount * stamp_tax(F.col("trade_date")).cast("decimal(6,4)")).otherwise(rate("0"))
+    out = trades.withColumns({"commission": F.greatest(amount * rate("0.0003"), rate("5")), "tax": tax, "slippage": amount * rate("0.001")})
+    total = F.col("commission") + F.col("tax") + F.col("slippage")
+    return out.withColumn("total_cost", total).withColumn("net_amount", F.when(F.col("side") == "sell", amount - total).otherwise(amount + total))
 
 
 def nav(returns: DataFrame, group: str = "portfolio", day: str = "trade_date") -> DataFrame:
@@ -49,12 +55,12 @@ def metrics(returns: DataFrame, group: str = "portfolio", periods: int = 252, ri
 
 
 def brinson(weights: DataFrame, returns: DataFrame) -> DataFrame:
-    """Allocation, selection and interaction of each sector, from (side, sector, asset, weight) and (side, asset, ret)."""
-    each = weights.join(returns, ["side", "asset"]).groupBy("sector", "side").agg(F.sum("weight").alias("w"), F.avg(F.when(F.col("weight") > 0, F.col("ret"))).alias("r"))
+    """Allocation, selection and interaction of each date's sectors, from (trade_date, side, sector, asset, weight) and (trade_date, side, asset, ret)."""
+    each = weights.join(returns, ["trade_date", "side", "asset"]).groupBy("trade_date", "sector", "side").agg(F.sum("weight").alias("w"), F.avg(F.when(F.col("weight") > 0, F.col("ret"))).alias("r"))
     at = lambda side, c: F.coalesce(F.max(F.when(F.col("side") == side, F.col(c))), F.lit(0.0))
-    s = each.groupBy("sector").agg(at("portfolio", "w").alias("pw"), at("portfolio", "r").alias("pr"), at("benchmark", "w").alias("bw"), at("benchmark", "r").alias("br"))
-    total = F.sum(F.col("bw") * F.col("br")).over(Window.partitionBy())
-    return s.select("sector", ((F.col("pw") - F.col("bw")) * (F.col("br") - total)).alias("allocation"), (F.col("bw") * (F.col("pr") - F.col("br"))).alias("selection"), ((F.col("pw") - F.col("bw")) * (F.col("pr") - F.col("br"))).alias("interaction"))
+    s = each.groupBy("trade_date", "sector").agg(at("portfolio", "w").alias("pw"), at("portfolio", "r").alias("pr"), at("benchmark", "w").alias("bw"), at("benchmark", "r").alias("br"))
+    total = F.sum(F.col("bw") * F.col("br")).over(Window.partitionBy("trade_date"))
+    return s.select("trade_date", "sector", ((F.col("pw") - F.col("bw")) * (F.col("br") - total)).alias("allocation"), (F.col("bw") * (F.col("pr") - F.col("br"))).alias("selection"), ((F.col("pw") - F.col("bw")) * (F.col("pr") - F.col("br"))).alias("interaction"))
 
 
 def turnover(weights: DataFrame, group: str = "portfolio") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.codes import limit_pct
+from barloom.operators import asof
 from barloom.operators.windows import by, ratio_to_previous
 
 CHECKS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -120,14 +121,14 @@ def cross_validate(a: DataFrame, b: DataFrame, tolerance: float = 0.005, column:
 def completeness(bars: DataFrame, calendar: DataFrame, day: str = "trade_date") -> DataFrame:
     """Trading days that each key misses between its first and last bar; the calendar is a row a day."""
     span = bars.groupBy("ts_code").agg(F.min(day).alias("a"), F.max(day).alias("b"))
-    expected = span.join(F.broadcast(calendar), F.col("cal_date").between(F.col("a"), F.col("b"))).select("ts_code", F.col("cal_date").alias(day))
+    expected = asof.on_days(span, calendar.select(F.col("cal_date").alias("t")), F.col("a"), F.col("b")).select("ts_code", F.col("t").alias(day))
     return expected.join(bars.select("ts_code", day), ["ts_code", day], "left_anti").groupBy("ts_code").agg(F.count("*").alias("missing"), F.min(day).alias("first_missing"))
 
 
 def fill_missing(bars: DataFrame, calendar: DataFrame, day: str = "trade_date") -> DataFrame:
     """Bars with a suspended row, at the last close, for each expected day that is missing after a key's first bar."""
     span = bars.groupBy("ts_code").agg(F.min(day).alias("a"), F.max(day).alias("b"))
-    expected = span.join(F.broadcast(calendar), F.col("cal_date").between(F.col("a"), F.col("b"))).select("ts_code", F.col("cal_date").alias(day))
+    expected = asof.on_days(span, calendar.select(F.col("cal_date").alias("t")), F.col("a"), F.col("b")).select("ts_code", F.col("t").alias(day))
     rows = expected.join(bars.select("ts_code", day, "close", "volume", "is_suspend"), ["ts_code", day], "full_outer")
     w = by().rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("ts_code", day, F.last("close", True).over(w).alias("close"), F.coalesce("volume", F.lit(0)).alias("volume"), F.coalesce("is_suspend", F.lit(True)).alias("is_suspend"), F.col("close").isNull().alias("filled"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -14,10 +17,39 @@ from barloom.operators.merge import keep_last
 EXPORTABLE = ("bars", "security_history", "calendar", "index_membership", "fundamentals", "factors_fin", "valuation", "corporate_actions")
 
 
+def ready(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, set for checkpoints; a temporary one in local mode only."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-barloom-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors see."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors see; it goes when the driver ends."""
+    path = f"{ready(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def remove():
+        with contextlib.suppress(Exception):  # the session may be gone already
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    atexit.register(remove)
+    return path
+
+
+def sized(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt by the columns for a partitioned write: Spark splits and unites what it deals by bytes, at run time.
+
+    A value with much data is written by many tasks, values with little share one; the size is
+    spark.sql.adaptive.advisoryPartitionSizeInBytes.
+    """
+    return df.hint("rebalance", *columns)
 
 
 def export(df: DataFrame, table: str, folder: str) -> str:
@@ -31,7 +63,7 @@ def export(df: DataFrame, table: str, folder: str) -> str:
 def write_new_partitions(df: DataFrame, path: str, column: str, existing: DataFrame | None = None, codec: str = "zstd") -> None:
     """Writes only those partitions that are not there yet; what existing holds stays as it is."""
     rows = df if existing is None else df.join(existing.select(column).distinct(), column, "left_anti")
-    rows.repartition(column).write.mode("append").option("compression", codec).partitionBy(column).parquet(path)
+    sized(rows, column).write.mode("append").option("compression", codec).partitionBy(column).parquet(path)
 
 
 def write_incremental(spark: SparkSession, new: DataFrame, path: str, partition: str, keys: list[str]) -> None:
@@ -40,10 +72,10 @@ def write_incremental(spark: SparkSession, new: DataFrame, path: str, partition:
     The merged rows are staged before they replace the old ones, since a folder can't be read while it is overwritten.
     """
     old = spark.read.parquet(path)
-    touched = old.join(F.broadcast(new.select(partition).distinct()), partition, "left_semi")
+    touched = old.join(new.select(partition).distinct(), partition, "left_semi")
     staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
     keep_last([touched, new.select(*old.columns)], keys).write.parquet(staged)
-    spark.read.parquet(staged).repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    sized(spark.read.parquet(staged), partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def archive(df: DataFrame, path: str, today: str, years: int = 5, day: str = "trade_date") -> None:
@@ -53,7 +85,7 @@ def archive(df: DataFrame, path: str, today: str, years: int = 5, day: str = "tr
     past = df.withColumns({"year": F.year(day), "_tier": tier(F.col(day), today)}).where(F.col("year").between(int(today[:4]) - years, int(today[:4]) - 1))
     for codec, cold in (("zstd", True), ("snappy", False)):
         part = past.where((F.col("_tier") == "cold") == F.lit(cold)).drop("_tier")
-        part.repartition("year").write.mode("append").option("compression", codec).partitionBy("year").parquet(path)
+        sized(part, "year").write.mode("append").option("compression", codec).partitionBy("year").parquet(path)
 
 
 def file_sizes(files: DataFrame) -> DataFrame:
@@ -63,8 +95,7 @@ def file_sizes(files: DataFrame) -> DataFrame:
 
 def compact(spark: SparkSession, path: str, out: str, column: str, target_rows: int = 5_000_000, level: int = 9) -> None:
     """Rewrites a partitioned table with files of about target_rows rows at a higher zstd level."""
-    rows = spark.read.parquet(path)
-    rows.repartition(column, F.pmod(F.xxhash64(*[c for c in rows.columns if c != column]), F.lit(64))).write.mode("overwrite").option("maxRecordsPerFile", target_rows).option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).partitionBy(column).parquet(out)
+    sized(spark.read.parquet(path), column).write.mode("overwrite").option("maxRecordsPerFile", target_rows).option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).partitionBy(column).parquet(out)
 
 
 def snapshot_upsert(master: DataFrame, snapshot: DataFrame, day: Column) -> DataFrame:

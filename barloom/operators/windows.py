@@ -100,9 +100,10 @@ def stratified(df: DataFrame, stratum: str, key: str, share: int = 10) -> DataFr
 
 
 def sampled(df: DataFrame, share: float, *keys: str) -> DataFrame:
-    """Rows whose keys' MD5 is in the lowest share of all; the same rows every time."""
+    """Rows whose keys' MD5 is in the lowest share of all, or the lowest, so there is one at least; the same rows every time."""
     edge = f"{int(share * 16**32):032x}"
-    return df.where(F.md5(F.concat(*[F.col(k).cast("string") for k in keys]).cast("binary")) < edge)
+    digest = F.md5(F.concat(*[F.col(k).cast("string") for k in keys]).cast("binary"))
+    return df.where((digest < edge) | (digest == df.agg(F.min(digest)).scalar()))
 
 
 def trailing(bars: DataFrame, end: str, n: int, step: int = 1) -> DataFrame:

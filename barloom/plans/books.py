@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import codes, rules
-from barloom.operators import calendar, factors, ledger, pit, portfolio, windows
+from barloom.operators import asof, calendar, factors, ledger, pit, portfolio, windows
 from barloom.plans.catalog import RET, WEIGHTS, at, plain, query, r6, returns, weights
 from barloom.plans.rule_tables import BOARD, LIMIT, board
 from barloom.sources import derived as d
@@ -111,23 +111,29 @@ PREV = "(SELECT t, (SELECT max(cal_date) FROM calendar WHERE is_trading_day AND
 
 
 def dates_and_before(spark, sf_dir) -> DataFrame:
-    days = d.calendar(spark, sf_dir).where("is_trading_day").select("cal_date")
-    return d.dates(spark, sf_dir).join(F.broadcast(days), F.col("cal_date") < F.col("t"), "left").groupBy("t").agg(F.max("cal_date").alias("before"))
+    """The last trading day before each date; both lists are small, so one window without a key is right."""
+    days = d.calendar(spark, sf_dir).where("is_trading_day").select(F.col("cal_date").alias("before"))
+    return asof.join(d.dates(spark, sf_dir), days, [], "t", "before", ["before"], strict=True)
+
+
+def bars_of_week_before(spark, sf_dir) -> DataFrame:
+    """For each date t the bars in the week up to the trading day before it."""
+    days = dates_and_before(spark, sf_dir)
+    near = asof.on_days(d.bars(spark, sf_dir), days.select(F.col("before").alias("t")), F.col("trade_date"), F.date_add("trade_date", 6))
+    return near.withColumnRenamed("t", "before").join(days, "before")
 
 
 @query("R-16", "bars calendar dates", f"SELECT t, b.ts_code, b.trade_date, b.close, b.amount FROM {PREV} p JOIN bars b ON b.trade_date BETWEEN before - 6 AND before QUALIFY row_number() OVER (PARTITION BY t, b.ts_code ORDER BY b.trade_date DESC) = 1")
 def cross_section(spark, sf_dir):
-    """The last bar of each code in the week up to the trading day before each date; both lists of days are small."""
-    days, b = dates_and_before(spark, sf_dir), d.bars(spark, sf_dir)
-    rows = b.join(F.broadcast(days), F.col("trade_date").between(F.date_sub("before", 6), F.col("before")))
-    return windows.latest(rows, ["t", "ts_code"], F.col("trade_date").desc()).select("t", "ts_code", "trade_date", "close", "amount")
+    """The last bar of each code in the week up to the trading day before each date."""
+    return windows.latest(bars_of_week_before(spark, sf_dir), ["t", "ts_code"], F.col("trade_date").desc()).select("t", "ts_code", "trade_date", "close", "amount")
 
 
 @query("R-17", "fundamentals calendar dates", f"SELECT t, ts_code, arg_max(roe, (ann_date, end_date, report)) FILTER (roe IS NOT NULL) AS roe FROM fundamentals JOIN {PREV} p ON ann_date < before GROUP BY t, ts_code")
 def factor_section(spark, sf_dir):
     days = dates_and_before(spark, sf_dir)
     seen = pit.factors(d.fundamentals(spark, sf_dir), days.select(F.col("before").alias("t")).where("t is not null"), ["roe"])
-    return seen.withColumnRenamed("t", "before").join(F.broadcast(days), "before").select("t", "ts_code", "roe")
+    return seen.withColumnRenamed("t", "before").join(days, "before").select("t", "ts_code", "roe")
 
 
 plain("K-03", "bars", "bars", f"SELECT ts_code, trade_date, round({ADV}, 4) AS turnover_20 FROM bars", lambda b: factors.mean_turnover(b).withColumn("turnover_20", F.round("turnover_20", 4)))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import codes
-from barloom.operators import asof, calendar, factors, merge, pit, portfolio, quality, windows
+from barloom.operators import acceptance, asof, calendar, factors, merge, pit, portfolio, quality, storage, windows
 from barloom.sources import derived as d
 from barloom.sources.derived import sql
 
@@ -48,8 +46,7 @@ plain("S-10", "bars", "bars", "SELECT ts_code, count(*) AS n, min(trade_date) AS
 
 @query("S-03", "bars", "SELECT ts_code, trade_date, close FROM bars WHERE trade_date BETWEEN '1997-03-01' AND '1998-02-28'")
 def year_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}"
-    path = f"{folder.rstrip('/')}/bars-by-year-{uuid.uuid4().hex}"
+    path = storage.shared_folder(spark, "bars-by-year")
     merge.write_by_year(d.bars(spark, sf_dir), path)
     return merge.read_years(spark, path, "1997-03-01", "1998-02-28").select("ts_code", "trade_date", "close")
 
@@ -93,7 +90,7 @@ plain("P-02", "bars", "bars", "SELECT ts_code, trade_date, round(close * adj_fac
 plain("P-03", "bars", "bars", "SELECT ts_code, left(ts_code, 6) AS symbol, close FROM bars WHERE trade_date = '1998-06-01'", lambda b: b.where(F.col("trade_date") == at("1998-06-01")).select("ts_code", F.left("ts_code", F.lit(6)).alias("symbol"), "close"))
 plain("P-04", "bars", "bars", f"SELECT {BAR} FROM bars QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY trade_date DESC) = 1", lambda b: windows.latest(b.select(bar), ["ts_code"], F.col("trade_date").desc()))
 plain("P-05", "bars", "bars", "SELECT ts_code, max(trade_date) AS last_day FROM bars GROUP BY ts_code", lambda b: b.groupBy("ts_code").agg(F.max("trade_date").alias("last_day")))
-plain("P-08", "bars", "bars", "SELECT ts_code FROM bars GROUP BY ts_code HAVING max(trade_date) < '2001-06-01'", lambda b: b.groupBy("ts_code").agg(F.max("trade_date").alias("m")).where(F.col("m") < at("2001-06-01")).select("ts_code"))
+plain("P-08", "bars", "bars", "SELECT ts_code FROM bars WHERE ts_code NOT LIKE '6%' OR year(trade_date) < 1998 GROUP BY ts_code HAVING max(trade_date) < '1998-06-01'", lambda b: b.where(~F.startswith("ts_code", F.lit("6")) | (F.year("trade_date") < 1998)).groupBy("ts_code").agg(F.max("trade_date").alias("m")).where(F.col("m") < at("1998-06-01")).select("ts_code"))
 plain("P-12", "history", "history", "SELECT ts_code FROM history QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY eff_date DESC) = 1 AND (delist_date IS NULL OR delist_date > '2000-01-01')", lambda h: windows.latest(h, ["ts_code"], F.col("eff_date").desc()).where("delist_date is null or delist_date > '2000-01-01'").select("ts_code"))
 plain("P-24", "history", "history", "SELECT ts_code, eff_date FROM history WHERE eff_date = (SELECT max(eff_date) FROM history)", lambda h: h.join(F.broadcast(h.agg(F.max("eff_date").alias("eff_date"))), "eff_date").select("ts_code", "eff_date"))
 plain("P-18", "calendar", "calendar", "SELECT cal_date FROM calendar WHERE is_trading_day AND cal_date BETWEEN '1998-01-01' AND '1998-12-31'", lambda c: c.where(F.col("is_trading_day") & F.col("cal_date").between("1998-01-01", "1998-12-31")).select("cal_date"))
@@ -162,15 +159,26 @@ plain("W-06", "history", "history", "SELECT ts_code, eff_date FROM history WINDO
 plain("L-05", "bars", "bars", "SELECT ts_code, trade_date, amount FROM bars QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY amount DESC, ts_code) <= 5", lambda b: b.withColumn("rn", F.row_number().over(Window.partitionBy("trade_date").orderBy(F.col("amount").desc(), "ts_code"))).where("rn <= 5").select("ts_code", "trade_date", "amount"))
 plain("F-01", "bars", "bars", "SELECT DISTINCT ts_code, CASE WHEN ts_code LIKE '688%' THEN 'STAR' WHEN ts_code LIKE '%.BJ' THEN 'BSE' WHEN ts_code LIKE '30%' THEN 'ChiNext' ELSE 'main' END AS board, right(ts_code, 2) AS exchange FROM bars", lambda b: b.select("ts_code").distinct().select("ts_code", codes.board(F.left("ts_code", F.lit(6))).alias("board"), codes.exchange(F.left("ts_code", F.lit(6))).alias("exchange")))
 plain("F-06", "bars", "bars", "SELECT ts_code, trade_date, CASE WHEN ts_code LIKE '688%' THEN 0.2 WHEN ts_code LIKE '%.BJ' THEN 0.3 ELSE 0.1 END::DOUBLE AS limit_pct FROM bars", lambda b: b.select("ts_code", "trade_date", codes.limit_pct(F.col("ts_code"), F.col("trade_date")).alias("limit_pct")))
-plain("F-07", "bars", "bars", "SELECT ts_code, trade_date, CASE WHEN pct_chg >= 9.99 THEN 'up' WHEN pct_chg <= -9.99 THEN 'down' ELSE 'none' END AS hit FROM bars WHERE ts_code LIKE '600%'", lambda b: b.where(F.startswith("ts_code", F.lit("600"))).select("ts_code", "trade_date", codes.limit_hit(F.col("pct_chg"), F.lit(0.1)).alias("hit")))
-plain("D-01", "calendar", "calendar", "SELECT cal_date, is_trading_day FROM calendar", lambda c: c.select("cal_date", "is_trading_day"))
+plain("F-07", "bars", "bars", "SELECT ts_code, trade_date, CASE WHEN pct_chg >= p - 0.01 THEN 'up' WHEN pct_chg <= 0.01 - p THEN 'down' ELSE 'none' END AS hit FROM (SELECT *, CASE WHEN ts_code LIKE '688%' THEN 20 WHEN ts_code LIKE '%.BJ' THEN 30 ELSE 10 END AS p FROM bars)", lambda b: b.select("ts_code", "trade_date", codes.limit_hit(F.col("pct_chg"), codes.limit_pct(F.col("ts_code"), F.col("trade_date"))).alias("hit")))
+
+
+@query("D-01", "bars", "SELECT cal_date, dayofweek(cal_date) BETWEEN 1 AND 5 AND NOT (strftime(cal_date, '%m-%d') BETWEEN '10-01' AND '10-07' OR strftime(cal_date, '%m-%d') BETWEEN '05-01' AND '05-03' OR strftime(cal_date, '%m-%d') = '01-01') AS is_trading_day FROM (SELECT unnest(generate_series(min(l_shipdate)::DATE::TIMESTAMP, max(l_shipdate)::DATE::TIMESTAMP, INTERVAL 1 DAY))::DATE AS cal_date FROM lineitem)")
+def with_holidays(spark, sf_dir):
+    """A calendar with a table of holidays: here weeks and days of every year, as a rule; a user gives the exchange's own."""
+    bounds = d.read(spark, sf_dir, "lineitem").agg(F.to_date(F.min("l_shipdate")).alias("a"), F.to_date(F.max("l_shipdate")).alias("b"))
+    day = F.date_format("cal_date", "MM-dd")
+    closed = bounds.select(F.explode(F.sequence("a", "b")).alias("cal_date")).where(day.between("10-01", "10-07") | day.between("05-01", "05-03") | (day == "01-01"))
+    return calendar.build(bounds, closed).select("cal_date", "is_trading_day")
+
+
 plain("D-02", "calendar", "calendar", "SELECT c.cal_date, (SELECT max(x.cal_date) FROM calendar x WHERE x.is_trading_day AND x.cal_date < c.cal_date) AS prev_trade_date, (SELECT min(x.cal_date) FROM calendar x WHERE x.is_trading_day AND x.cal_date > c.cal_date) AS next_trade_date FROM calendar c", lambda c: calendar.neighbours(c).select("cal_date", "prev_trade_date", "next_trade_date"))
 plain("D-05", "calendar", "calendar", "SELECT max(cal_date) AS cal_date FROM calendar WHERE is_trading_day GROUP BY date_trunc('month', cal_date)", lambda c: calendar.rebalance_days(c))
 
 
-@query("M-03", "history dates", "SELECT t, ts_code, board FROM (SELECT *, lead(eff_date) OVER (PARTITION BY ts_code ORDER BY eff_date) AS n FROM history) JOIN dates ON eff_date <= t AND (n IS NULL OR t < n) WHERE t - list_date >= 60 AND (delist_date IS NULL OR delist_date > t)")
+@query("M-03", "history dates", "SELECT t, ts_code, board, delist_date IS NULL OR delist_date > t AS is_tradable FROM (SELECT *, lead(eff_date) OVER (PARTITION BY ts_code ORDER BY eff_date) AS n FROM history WHERE board IN ('1-URGENT', '3-MEDIUM', '5-LOW')) JOIN dates ON eff_date <= t AND (n IS NULL OR t < n) WHERE t - list_date >= 60 AND (delist_date IS NULL OR delist_date >= t)")
 def universe(spark, sf_dir):
-    return pit.universe(d.history(spark, sf_dir), d.dates(spark, sf_dir), min_days=60).select("t", "ts_code", "board")
+    """Boards stand for exchanges here."""
+    return pit.universe(d.history(spark, sf_dir), d.dates(spark, sf_dir), min_days=60, inclusive=True, exchanges=["1-URGENT", "3-MEDIUM", "5-LOW"], exchange="board").select("t", "ts_code", "board", "is_tradable")
 
 
 @query("M-08", "fundamentals dates", "SELECT t, ts_code, report, end_date FROM fundamentals JOIN dates ON ann_date BETWEEN t - 90 AND t - 1 QUALIFY row_number() OVER (PARTITION BY t, ts_code ORDER BY end_date DESC, ann_date DESC, report DESC) = 1")
@@ -203,18 +211,67 @@ def snapshot_diff(spark, sf_dir):
     return pit.diff_snapshots(m, m.where("out_date is null and length(ts_code) % 2 = 1").select("index_code", "ts_code"), "2002-01-01")
 
 
-for _name, _where in {
+#: Bars with faults of every kind, by the volume; each check finds its own.
+FLAWED = "flawed AS (SELECT * REPLACE (CASE WHEN volume % 11 = 0 THEN low - 1 ELSE high END AS high, CASE WHEN volume % 13 = 0 THEN -open ELSE open END AS open, CASE WHEN volume % 17 = 0 THEN NULL WHEN volume % 19 = 0 THEN adj_factor * 1000 ELSE adj_factor END AS adj_factor, CASE WHEN volume % 23 = 0 THEN 0 WHEN volume % 7 = 0 THEN volume * 1000 ELSE volume END AS volume) FROM bars)"
+
+
+def flawed(b):
+    v, c = F.col("volume"), F.col
+    return b.withColumns({
+        "high": F.when(v % 11 == 0, c("low") - 1).otherwise(c("high")), "open": F.when(v % 13 == 0, -c("open")).otherwise(c("open")),
+        "adj_factor": F.when(v % 17 == 0, None).when(v % 19 == 0, c("adj_factor") * 1000).otherwise(c("adj_factor")), "volume": F.when(v % 23 == 0, 0).when(v % 7 == 0, v * 1000).otherwise(v),
+    })
+
+
+WHERE = {
     "DQ-02": ("ohlc_violation", "high < low OR open NOT BETWEEN low * 0.999 AND high * 1.001 OR close NOT BETWEEN low * 0.999 AND high * 1.001"),
     "DQ-03": ("pct_chg_extreme", "abs(pct_chg) > 60"), "DQ-05": ("zero_volume_non_suspend", "volume = 0 AND NOT is_suspend"),
     "DQ-08": ("volume_amount_inconsistent", "abs((amount - volume * close) / nullif(volume * close, 0)) > 0.2"), "DQ-14": ("adj_factor_invalid", "adj_factor IS NULL OR adj_factor <= 0 OR adj_factor > 100"),
     "DQ-19": ("suspended_with_volume", "is_suspend AND volume > 1000"), "DQ-20": ("over_limit", "abs(pct_chg) > CASE WHEN ts_code LIKE '688%' THEN 21 WHEN ts_code LIKE '%.BJ' THEN 31 ELSE 11 END"),
-}.items():
-    plain(_name, "bars", "bars", f"SELECT '{_where[0]}' AS alert_type, ts_code, trade_date FROM bars WHERE {_where[1]}", lambda b, n=_where[0]: quality.CHECKS[n](b).drop("detail"))
+}
+for _name, _where in WHERE.items():
+    plain(_name, "bars", "bars", f"WITH {FLAWED} SELECT '{_where[0]}' AS alert_type, ts_code, trade_date FROM flawed WHERE {_where[1]}", lambda b, n=_where[0]: quality.CHECKS[n](flawed(b)).drop("detail"))
 
 plain("DQ-04", "bars", "bars", "SELECT ts_code, trade_date FROM bars WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date) QUALIFY abs(adj_factor / lag(adj_factor) OVER w - 1) > 0.05", lambda b: quality.adj_factor_jump(b).select("ts_code", "trade_date"))
-plain("DQ-09", "membership", "membership", "SELECT ts_code, in_date AS trade_date FROM membership WHERE out_date < in_date", lambda m: quality.index_dates(m).select("ts_code", "trade_date"))
-plain("DQ-16", "bars", "bars", "SELECT 'non_positive' AS alert_type, 'CRITICAL' AS severity, ts_code, trade_date FROM bars WHERE least(open, high, low, close) <= 0 UNION ALL SELECT 'high_low', 'ERROR', ts_code, trade_date FROM bars WHERE high < low", lambda b: quality.price_logic(b))
-plain("DQ-15", "bars", "bars", "SELECT 'pct_chg_extreme' AS alert_type, count(*) AS n, count(DISTINCT ts_code) AS keys FROM bars WHERE abs(pct_chg) > 60 HAVING count(*) > 0 UNION ALL SELECT 'volume_amount_inconsistent', count(*), count(DISTINCT ts_code) FROM bars WHERE abs((amount - volume * close) / nullif(volume * close, 0)) > 0.2 HAVING count(*) > 0", lambda b: quality.summary(quality.run(b, ["pct_chg_extreme", "volume_amount_inconsistent"])))
+BACKWARDS = "backwards AS (SELECT * REPLACE (CASE WHEN length(ts_code) % 2 = 0 THEN in_date - 5 ELSE out_date END AS out_date) FROM membership)"
+
+
+def backwards(m):
+    """Memberships of which some end before they begin."""
+    return m.withColumn("out_date", F.when(F.length("ts_code") % 2 == 0, F.date_sub("in_date", 5)).otherwise(F.col("out_date")))
+
+
+plain("DQ-09", "membership", "membership", f"WITH {BACKWARDS} SELECT ts_code, in_date AS trade_date FROM backwards WHERE out_date < in_date", lambda m: quality.index_dates(backwards(m)).select("ts_code", "trade_date"))
+PRICES = "SELECT * FROM (SELECT unnest([CASE WHEN high < low THEN 'high_low:ERROR' END, CASE WHEN high < open THEN 'high_open:ERROR' END, CASE WHEN high < close THEN 'high_close:ERROR' END, CASE WHEN low > open THEN 'low_open:ERROR' END, CASE WHEN low > close THEN 'low_close:ERROR' END, CASE WHEN least(open, high, low, close) <= 0 THEN 'non_positive:CRITICAL' END]) AS x, ts_code, trade_date FROM flawed) WHERE x IS NOT NULL"
+plain("DQ-16", "bars", "bars", f"WITH {FLAWED} SELECT split_part(x, ':', 1) AS alert_type, split_part(x, ':', 2) AS severity, ts_code, trade_date FROM ({PRICES})", lambda b: quality.price_logic(flawed(b)))
+
+#: Every check of the fourteen: bars with faults and repeated rows, adjusted bars that lack some, memberships, universe.
+FOURTEEN = f"""{FLAWED}, {BACKWARDS}, raw AS (SELECT * FROM flawed UNION ALL SELECT * FROM flawed WHERE volume % 29 = 0), adj AS (SELECT * REPLACE (close * adj_factor * CASE WHEN volume % 13 = 0 THEN 1.05 ELSE 1.0 END AS close) FROM flawed WHERE volume % 31 <> 0),
+  gone AS (SELECT ts_code, max(trade_date) - 10 AS delist_date FROM raw GROUP BY ts_code), listed AS (SELECT t, count(DISTINCT ts_code) AS n FROM (SELECT *, lead(eff_date) OVER (PARTITION BY ts_code ORDER BY eff_date) AS n FROM history) JOIN dates ON eff_date <= t AND (n IS NULL OR t < n) GROUP BY t),
+  alerts AS (SELECT 'duplicate_rows' AS alert_type, ts_code, trade_date FROM raw GROUP BY ts_code, trade_date HAVING count(*) > 1
+  {" ".join(f"UNION ALL SELECT '{n}', ts_code, trade_date FROM raw WHERE {w}" for k, (n, w) in WHERE.items() if k in ("DQ-02", "DQ-03", "DQ-05", "DQ-08", "DQ-14"))}
+  UNION ALL (SELECT 'adj_factor_jump', ts_code, trade_date FROM raw WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date) QUALIFY abs(adj_factor / nullif(lag(adj_factor) OVER w, 0) - 1) > 0.05)
+  UNION ALL SELECT 'delisted_with_future_data', ts_code, trade_date FROM raw JOIN gone USING (ts_code) WHERE trade_date > delist_date
+  UNION ALL SELECT 'adj_raw_ratio_invalid', ts_code, trade_date FROM raw JOIN adj USING (ts_code, trade_date) WHERE abs(adj.close / nullif(raw.close, 0) - raw.adj_factor) > raw.adj_factor * 0.01
+  UNION ALL SELECT 'index_date_invalid', ts_code, in_date FROM backwards WHERE out_date < in_date
+  UNION ALL SELECT 'pit_universe_size_suspicious', NULL, t FROM listed WHERE n NOT BETWEEN 100 AND 1200
+  UNION ALL SELECT 'raw_adj_row_count_mismatch', ts_code, NULL FROM (SELECT ts_code, count(*) AS a FROM raw GROUP BY 1) FULL JOIN (SELECT ts_code, count(*) AS b FROM adj GROUP BY 1) USING (ts_code) WHERE coalesce(a, 0) <> coalesce(b, 0)
+  UNION ALL SELECT 'raw_adj_pk_missing', ts_code, trade_date FROM raw ANTI JOIN adj USING (ts_code, trade_date)
+  UNION ALL SELECT 'qfq_close_mismatch', ts_code, trade_date FROM raw JOIN adj USING (ts_code, trade_date) WHERE abs((adj.close - raw.close * raw.adj_factor) / nullif(raw.close * raw.adj_factor, 0)) > 0.001)"""
+
+
+def fourteen(spark, sf_dir, **limits):
+    f = flawed(d.bars(spark, sf_dir))
+    raw = f.unionByName(f.where("volume % 29 = 0"))
+    adjusted = f.where("volume % 31 != 0").withColumn("close", F.col("close") * F.col("adj_factor") * F.when(F.col("volume") % 13 == 0, 1.05).otherwise(1.0))
+    gone = raw.groupBy("ts_code").agg(F.date_sub(F.max("trade_date"), 10).alias("delist_date"))
+    listed = active_versions(spark, sf_dir).groupBy("t").agg(F.countDistinct("ts_code").alias("n"))
+    return quality.summary(acceptance.data_quality(raw, adjusted, gone, backwards(d.membership(spark, sf_dir)), listed, universe=(100, 1200), **limits))
+
+
+TALLY = "SELECT alert_type, count(*) AS n, count(DISTINCT ts_code) AS keys FROM alerts"
+query("DQ-15", "bars history membership dates", f"WITH {FOURTEEN} {TALLY} GROUP BY alert_type")(fourteen)
+query("DQ-15-range", "bars history membership dates", f"WITH {FOURTEEN} {TALLY} WHERE trade_date BETWEEN '1996-01-01' AND '1997-12-31' AND (ts_code IS NULL OR ts_code LIKE '60%' OR ts_code IN ('c1', 'c10')) GROUP BY alert_type")(lambda spark, sf_dir: fourteen(spark, sf_dir, first="1996-01-01", last="1997-12-31", keys=lambda c: c.like("60%") | c.isin("c1", "c10")))
 
 
 @query("DQ-26", "bars", "SELECT count(*) AS compared, count(*) FILTER (volume % 9 = 0) AS mismatches, round(avg(CASE WHEN volume % 9 = 0 THEN 1.0 ELSE 0.0 END), 6) AS share, round(max(CASE WHEN volume % 9 = 0 THEN 0.01 ELSE 0 END), 6)::DOUBLE AS largest FROM bars")
@@ -236,7 +293,8 @@ def constrained(spark, sf_dir):
 
 
 plain("R-02", "bars", "bars", "SELECT ts_code, trade_date, round(1.0 / count(*) OVER (PARTITION BY trade_date), 6)::DOUBLE AS weight FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY amount DESC, ts_code) <= 10)", lambda b: portfolio.equal_weight(b.withColumn("score", F.col("amount")), 10).select("ts_code", "trade_date", r6("weight")))
-plain("R-06", "bars", "bars", "SELECT ts_code, trade_date, round(greatest(amount * 0.0003, 5) + CASE WHEN volume % 2 = 0 THEN amount * 0.001 ELSE 0 END + amount * 0.001, 4) AS total_cost FROM bars", lambda b: portfolio.costs(b.withColumn("side", F.when(F.col("volume") % 2 == 0, "sell").otherwise("buy"))).select("ts_code", "trade_date", F.round("total_cost", 4).alias("total_cost")))
+COSTS = "(SELECT ts_code, trade_date, volume % 2 = 0 AS sale, a, greatest(a * 0.0003, 5.0) + CASE WHEN volume % 2 = 0 THEN a * 0.001 ELSE 0 END + a * 0.001 AS c FROM (SELECT *, amount::DECIMAL(18,2) AS a FROM bars))"
+plain("R-06", "bars", "bars", f"SELECT ts_code, trade_date, round(c, 4)::DOUBLE AS total_cost, round(CASE WHEN sale THEN a - c ELSE a + c END, 4)::DOUBLE AS net_amount FROM {COSTS}", lambda b: portfolio.costs(b.withColumn("side", F.when(F.col("volume") % 2 == 0, "sell").otherwise("buy"))).select("ts_code", "trade_date", F.round("total_cost", 4).cast("double").alias("total_cost"), F.round("net_amount", 4).cast("double").alias("net_amount")))
 RET = "r AS (SELECT ts_code AS portfolio, trade_date, greatest(-0.5, least(0.5, pct_chg / 100)) AS ret, avg(greatest(-0.5, least(0.5, pct_chg / 100))) OVER (PARTITION BY trade_date) AS bench FROM bars WHERE pct_chg IS NOT NULL)"
 
 
@@ -250,15 +308,14 @@ def performance(spark, sf_dir):
     return portfolio.metrics(returns(spark, sf_dir)).select("portfolio", *map(r6, ("annual_vol", "sharpe", "tracking_error", "beta")))
 
 
-@query("R-13", "bars", """SELECT sector, round((pw - bw) * (br - total), 6) AS allocation, round(bw * (pr - br), 6) AS selection, round((pw - bw) * (pr - br), 6) AS interaction FROM (SELECT *, sum(bw * br) OVER () AS total FROM (
-  SELECT sector, coalesce(sum(pw), 0) AS pw, coalesce(avg(ret) FILTER (pw > 0), 0) AS pr, coalesce(sum(bw), 0) AS bw, coalesce(avg(ret) FILTER (bw > 0), 0) AS br FROM (
-    SELECT left(ts_code, 3) AS sector, coalesce(pct_chg, 0) / 100 AS ret, amount / sum(amount) OVER () AS pw, 1.0::DOUBLE / count(*) OVER () AS bw FROM bars WHERE trade_date = '1998-06-01') GROUP BY sector))""")
+@query("R-13", "bars", """SELECT trade_date, sector, round((pw - bw) * (br - total), 6) AS allocation, round(bw * (pr - br), 6) AS selection, round((pw - bw) * (pr - br), 6) AS interaction FROM (SELECT *, sum(bw * br) OVER (PARTITION BY trade_date) AS total FROM (
+  SELECT trade_date, sector, coalesce(sum(pw), 0) AS pw, coalesce(avg(ret) FILTER (pw > 0), 0) AS pr, coalesce(sum(bw), 0) AS bw, coalesce(avg(ret) FILTER (bw > 0), 0) AS br FROM (
+    SELECT trade_date, left(ts_code, 3) AS sector, coalesce(pct_chg, 0) / 100 AS ret, amount / sum(amount) OVER (PARTITION BY trade_date) AS pw, 1.0::DOUBLE / count(*) OVER (PARTITION BY trade_date) AS bw FROM bars) GROUP BY trade_date, sector))""")
 def attribution(spark, sf_dir):
-    b = d.bars(spark, sf_dir).where(F.col("trade_date") == at("1998-06-01"))
-    all_rows = Window.partitionBy("trade_date")
-    side = lambda name, w: b.select(F.lit(name).alias("side"), F.left("ts_code", F.lit(3)).alias("sector"), F.col("ts_code").alias("asset"), w.alias("weight"), (F.coalesce("pct_chg", F.lit(0.0)) / 100).alias("ret"))
-    rows = side("portfolio", F.col("amount") / F.sum("amount").over(all_rows)).unionByName(side("benchmark", F.lit(1.0) / F.count("*").over(all_rows)))
-    return portfolio.brinson(rows.drop("ret"), rows.select("side", "asset", "ret")).select("sector", *map(r6, ("allocation", "selection", "interaction")))
+    b, day = d.bars(spark, sf_dir), Window.partitionBy("trade_date")
+    side = lambda name, w: b.select("trade_date", F.lit(name).alias("side"), F.left("ts_code", F.lit(3)).alias("sector"), F.col("ts_code").alias("asset"), w.alias("weight"), (F.coalesce("pct_chg", F.lit(0.0)) / 100).alias("ret"))
+    rows = side("portfolio", F.col("amount") / F.sum("amount").over(day)).unionByName(side("benchmark", F.lit(1.0) / F.count("*").over(day)))
+    return portfolio.brinson(rows.drop("ret"), rows.select("trade_date", "side", "asset", "ret")).select("trade_date", "sector", *map(r6, ("allocation", "selection", "interaction")))
 
 
 plain("K-01", "bars", "bars", "SELECT * FROM (SELECT ts_code, trade_date, round(close * adj_factor / nullif(lag(close * adj_factor, 20) OVER (PARTITION BY ts_code ORDER BY trade_date), 0) - 1, 6) AS momentum FROM bars) WHERE momentum IS NOT NULL", lambda b: factors.momentum(b).withColumn("momentum", F.round("momentum", 6)))
@@ -267,3 +324,6 @@ plain("K-05", "bars", "bars", "SELECT ts_code, trade_date, round(greatest(least(
 plain("K-07", "bars", "bars", "SELECT ts_code, trade_date, round((close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0), 6) AS close FROM bars WINDOW w AS (PARTITION BY trade_date)", lambda b: factors.zscore(b.select("ts_code", "trade_date", "close"), "close").withColumn("close", F.round("close", 6)))
 plain("K-08", "bars", "bars", "SELECT trade_date, round(corr(a, b), 6) AS ic, count(*) AS n FROM (SELECT trade_date, rank() OVER (PARTITION BY trade_date ORDER BY close) + (count(*) OVER (PARTITION BY trade_date, close) - 1) / 2 AS a, rank() OVER (PARTITION BY trade_date ORDER BY pct_chg) + (count(*) OVER (PARTITION BY trade_date, pct_chg) - 1) / 2 AS b FROM bars WHERE pct_chg IS NOT NULL) GROUP BY trade_date HAVING count(*) > 4", lambda b: factors.rank_ic(b, "close", "pct_chg").where("n > 4").select("trade_date", r6("ic"), "n"))
 plain("K-09", "bars", "bars", "SELECT trade_date, quantile, round(avg(pct_chg), 6) AS mean_ret, count(*) AS n FROM (SELECT *, ntile(5) OVER (PARTITION BY trade_date ORDER BY close, ts_code) AS quantile FROM bars) GROUP BY 1, 2", lambda b: factors.quantile_returns(b, "close", "pct_chg").select("trade_date", "quantile", r6("mean_ret"), "n"))
+RANKS = "rank() OVER (PARTITION BY trade_date, h ORDER BY close) + (count(*) OVER (PARTITION BY trade_date, h, close) - 1) / 2 AS a, rank() OVER (PARTITION BY trade_date, h ORDER BY r) + (count(*) OVER (PARTITION BY trade_date, h, r) - 1) / 2 AS b"
+plain("K-08-decay", "bars", "bars", f"SELECT h AS horizon, round(avg(ic), 4) AS mean_ic, round(avg(ic) / nullif(stddev_samp(ic), 0), 4) AS icir, count(*) AS n FROM (SELECT trade_date, h, corr(a, b) AS ic FROM (SELECT trade_date, h, {RANKS} FROM (SELECT trade_date, close, h, lead(close, h) OVER (PARTITION BY ts_code, h ORDER BY trade_date) / nullif(close, 0) - 1 AS r FROM bars, unnest([1, 2, 3, 4, 5]) x(h)) WHERE r IS NOT NULL) GROUP BY trade_date, h HAVING count(*) > 4) WHERE NOT isnan(ic) GROUP BY h", lambda b: factors.ic_decay(b, "close", least=5).select(F.col("horizon").cast("int").alias("horizon"), F.round("mean_ic", 4).alias("mean_ic"), F.round("icir", 4).alias("icir"), "n"))
+plain("K-09-long-short", "bars", "bars", "SELECT trade_date, round(avg(pct_chg) FILTER (quantile = 5) - avg(pct_chg) FILTER (quantile = 1), 6) AS long_short FROM (SELECT *, ntile(5) OVER (PARTITION BY trade_date ORDER BY close, ts_code) AS quantile FROM bars) GROUP BY 1", lambda b: factors.long_short(b, "close", "pct_chg").select("trade_date", r6("long_short")))

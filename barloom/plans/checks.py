@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import acceptance, quality
-from barloom.plans.catalog import active_versions, plain, query, r6
+from barloom.plans.catalog import FLAWED, PRICES, active_versions, flawed, plain, query, r6
 from barloom.plans.lifetimes import ACTIVE, ENDS, ends
 from barloom.plans.rule_tables import BOARD
 from barloom.sources import derived as d
@@ -52,10 +52,11 @@ def complete(spark, sf_dir):
     return found.select("ts_code", "missing", F.when(F.col("missing") > 5, "WARNING").otherwise("INFO").alias("severity"))
 
 
-FULL = f"""found AS (SELECT 'CRITICAL' AS severity FROM quiet WHERE least(open, high, low, close) <= 0 UNION ALL SELECT 'ERROR' FROM quiet WHERE high < low UNION ALL SELECT severity FROM ({VOLUME})
+FULL = f"""found AS (SELECT split_part(x, ':', 2) AS severity FROM ({PRICES}) UNION ALL SELECT severity FROM ({VOLUME})
+  UNION ALL SELECT CASE WHEN count(*) > 5 THEN 'WARNING' ELSE 'INFO' END FROM (SELECT ts_code, min(trade_date) a, max(trade_date) b FROM quiet GROUP BY ts_code) s JOIN (SELECT DISTINCT trade_date AS w FROM bars) g ON g.w BETWEEN a AND b ANTI JOIN quiet x ON x.ts_code = s.ts_code AND x.trade_date = g.w GROUP BY s.ts_code
   UNION ALL SELECT 'WARNING' FROM quiet WHERE is_suspend AND volume > 1000 UNION ALL SELECT 'ERROR' FROM quiet WHERE abs(pct_chg) > {OVER} + 1
   UNION ALL (SELECT 'INFO' FROM quiet WINDOW v AS (PARTITION BY ts_code ORDER BY trade_date ROWS 19 PRECEDING) QUALIFY count(*) OVER v = 20 AND volume > 10 * avg(volume) OVER v))"""
-plain("DQ-21", "bars", "bars", f"WITH {QUIET}, {FULL} SELECT *, CASE WHEN critical + errors > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'WARNING' ELSE 'PASS' END AS verdict, greatest(100 - (critical + errors) * 30 - warnings * 10 - infos * 2, 0) AS score FROM (SELECT count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings, count(*) FILTER (severity = 'INFO') AS infos FROM found)", lambda b: acceptance.verdict(acceptance.full_check(quiet(b))))
+plain("DQ-21", "bars", "bars", f"WITH {FLAWED}, {QUIET.replace('FROM bars', 'FROM flawed')}, {FULL} SELECT *, CASE WHEN critical + errors > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'WARNING' ELSE 'PASS' END AS verdict, greatest(100 - (critical + errors) * 30 - warnings * 10 - infos * 2, 0) AS score FROM (SELECT count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings, count(*) FILTER (severity = 'INFO') AS infos FROM found)", lambda b: acceptance.verdict(acceptance.full_check(quiet(flawed(b)), b.select(F.col("trade_date").alias("cal_date")).distinct())))
 plain("A-10", "bars", "bars", f"WITH {QUIET} SELECT 0::BIGINT AS critical, 0::BIGINT AS errors, count(*) AS warnings, 0::BIGINT AS infos, CASE WHEN count(*) > 0 THEN 'WARNING' ELSE 'PASS' END AS verdict, greatest(100 - count(*) * 10, 0) AS score FROM ({VOLUME})", lambda b: acceptance.verdict(acceptance.volume_logic(quiet(b))))
 plain("A-11", "bars", "bars", "SELECT ts_code, greatest(100 - count(*) FILTER (abs(pct_chg) > 80) * 30 - count(*) FILTER (abs(pct_chg) > 60) * 10 - count(*) FILTER (abs(pct_chg) > 40) * 2, 0) AS score FROM bars GROUP BY ts_code", lambda b: b.groupBy("ts_code").agg(quality.score(F.count_if(F.abs("pct_chg") > 80), F.count_if(F.abs("pct_chg") > 60), F.count_if(F.abs("pct_chg") > 40)).alias("score")))
 plain("DQ-22", "bars", "bars", f"SELECT 'over_limit' AS alert_type, 'WARNING' AS severity, ts_code, trade_date FROM bars WHERE abs(pct_chg) > {OVER} UNION ALL SELECT 'non_positive', 'ERROR', ts_code, trade_date FROM bars WHERE least(open, high, low, close) <= 0", lambda b: acceptance.basic(b))
@@ -77,3 +78,6 @@ plain("DQ-32", "bars", "bars", "SELECT count(*) AS total, count(DISTINCT ts_code
 plain("DQ-33", "bars", "bars", "SELECT 'close_out_of_range' AS alert_type, 'ERROR' AS severity, ts_code, trade_date FROM bars WHERE NOT close BETWEEN 1000 AND 1800", lambda b: acceptance.acceptance(b, 1000.0, 1800.0))
 plain("DQ-33-swing", "bars", "bars", "SELECT * FROM (SELECT month, n, round(abs(n / lag(n) OVER (ORDER BY month) - 1), 6) AS swing FROM (SELECT date_trunc('month', trade_date)::DATE AS month, count(DISTINCT ts_code) AS n FROM bars GROUP BY 1)) WHERE swing > 0.005", lambda b: acceptance.key_count_swing(b, 0.005).withColumn("swing", F.round("swing", 6)))
 plain("X-02", "bars", "bars", f"SELECT 'over_limit' AS alert_type, count(*) AS n, count(DISTINCT ts_code) AS keys FROM bars WHERE abs(pct_chg) > {OVER} + 1 HAVING count(*) > 0 UNION ALL SELECT 'pct_chg_extreme', count(*), count(DISTINCT ts_code) FROM bars WHERE abs(pct_chg) > 60 HAVING count(*) > 0", lambda b: quality.summary(quality.run(b, ["over_limit", "pct_chg_extreme"])))
+plain("DQ-33-factor", "bars", "bars", "SELECT ts_code, max(trade_date) AS trade_date, round(arg_max(adj_factor, trade_date), 6) AS adj_factor FROM bars GROUP BY ts_code HAVING abs(arg_max(adj_factor, trade_date) - 1) > 1e-6", lambda b: acceptance.latest_factor(b).select(*KEYS, r6("adj_factor")))
+plain("DQ-33-days", "bars", "bars", "SELECT year(trade_date)::BIGINT AS year, count(DISTINCT trade_date) AS days FROM bars GROUP BY 1 HAVING count(DISTINCT trade_date) NOT BETWEEN 52 AND 53", lambda b: acceptance.days_a_year(b, 52, 53).withColumn("year", F.col("year").cast("long")))
+plain("DQ-33-ranges", "fundamentals", "fundamentals", "SELECT report, unnest([x FOR x IN [CASE WHEN NOT revenue / 5000 BETWEEN 0 AND 30 THEN 'pe_out_of_range' END, CASE WHEN NOT roe BETWEEN 0.1 AND 30 THEN 'roe_out_of_range' END, CASE WHEN sign(roe) <> sign(revenue - 100000) THEN 'roe_sign' END] IF x IS NOT NULL]) AS alert_type FROM fundamentals", lambda f: acceptance.value_ranges(f.withColumns({"pe": F.col("revenue") / 5000, "profit": F.col("revenue") - 100000}), {"pe": (0.0, 30.0), "roe": (0.1, 30.0)}, ["report"], "profit"))

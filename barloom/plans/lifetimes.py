@@ -50,7 +50,7 @@ plain("M-09", "fundamentals", "fundamentals", "SELECT report, CASE WHEN roe > 1
 @query("M-11", "fundamentals dates", "SELECT t, ts_code, max(ann_date) AS newest FROM fundamentals JOIN dates ON ann_date BETWEEN t - 90 AND t GROUP BY 1, 2 HAVING max(ann_date) >= t")
 def violations(spark, sf_dir):
     """What an inclusive bound would let through: announcements on the very day."""
-    near = d.fundamentals(spark, sf_dir).join(d.dates(spark, sf_dir), F.col("ann_date").between(F.date_sub("t", 90), F.col("t")))
+    near = asof.on_days(d.fundamentals(spark, sf_dir), d.dates(spark, sf_dir), F.col("ann_date"), F.date_add("ann_date", 90))
     return lifetimes.pit_violations(near)
 
 
@@ -141,19 +141,19 @@ def names(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ts_code"), F.col("c_name").alias("name"), day(7).alias("list_date"), day(11).alias("delist_date"))
 
 
-@query("J-19", "dates", f"WITH {NAMES} SELECT o.ts_code AS old, n.ts_code AS new, round(len(list_intersect(list_distinct(string_split(o.name, '')), list_distinct(string_split(n.name, '')))) / len(list_distinct(list_concat(string_split(o.name, ''), string_split(n.name, '')))), 6) AS similarity FROM names o JOIN names n ON n.list_date - o.delist_date BETWEEN 0 AND 60 AND n.ts_code <> o.ts_code WHERE o.ts_code::INT % 10 = 0 AND len(list_intersect(list_distinct(string_split(o.name, '')), list_distinct(string_split(n.name, '')))) / len(list_distinct(list_concat(string_split(o.name, ''), string_split(n.name, '')))) > 0.5 QUALIFY row_number() OVER (PARTITION BY o.ts_code ORDER BY n.list_date, n.ts_code) = 1")
+@query("J-19", "dates", f"WITH {NAMES} SELECT o.ts_code AS old, n.ts_code AS new, round(len(list_intersect(list_distinct(string_split(o.name, '')), list_distinct(string_split(n.name, '')))) / len(list_distinct(list_concat(string_split(o.name, ''), string_split(n.name, '')))), 6) AS similarity FROM names o JOIN names n ON n.list_date - o.delist_date BETWEEN 0 AND 60 AND n.ts_code <> o.ts_code WHERE len(list_intersect(list_distinct(string_split(o.name, '')), list_distinct(string_split(n.name, '')))) / len(list_distinct(list_concat(string_split(o.name, ''), string_split(n.name, '')))) > 0.5 QUALIFY row_number() OVER (PARTITION BY o.ts_code ORDER BY n.list_date, n.ts_code) = 1")
 def succeeded(spark, sf_dir):
     n = names(spark, sf_dir)
-    gone = n.where(F.col("ts_code").cast("long") % 10 == 0)
-    return lifetimes.successors(gone, n).select("old", "new", r6("similarity"))
+    return lifetimes.successors(n, n).select("old", "new", r6("similarity"))
 
 
-CHAIN = "edges AS (SELECT c_custkey AS o, c_custkey + 1 AS n FROM customer WHERE c_custkey % 6 <> 0)"
+#: Chains between square numbers, so the longest grow with the table.
+CHAIN = "edges AS (SELECT c_custkey AS o, c_custkey + 1 AS n FROM customer WHERE floor(sqrt(c_custkey)) ** 2 <> c_custkey)"
 
 
 @query("J-20", "dates", f"WITH RECURSIVE {CHAIN}, walk(code, final) AS (SELECT o, n FROM edges UNION ALL SELECT w.code, e.n FROM walk w JOIN edges e ON e.o = w.final) SELECT code, max(final) AS final FROM walk GROUP BY code")
 def resolved(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").where("c_custkey % 6 != 0")
+    c = read(spark, sf_dir, "customer").where("pow(floor(sqrt(c_custkey)), 2) != c_custkey")
     return pit.resolve_codes(c.select(F.col("c_custkey").alias("old"), (F.col("c_custkey") + 1).alias("new")))
 
 

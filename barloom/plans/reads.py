@@ -26,10 +26,9 @@ plain("P-22", "bars", "bars", "SELECT ts_code, trade_date FROM bars WHERE right(
 
 @query("P-23", "bars calendar dates", "SELECT t, ts_code, trade_date, amount FROM (SELECT t, (SELECT max(cal_date) FROM calendar WHERE is_trading_day AND cal_date < t) AS before FROM dates) JOIN bars ON trade_date BETWEEN before - 6 AND before")
 def market_value(spark, sf_dir):
-    from barloom.plans.books import dates_and_before
+    from barloom.plans.books import bars_of_week_before
 
-    days = F.broadcast(dates_and_before(spark, sf_dir))
-    return d.bars(spark, sf_dir).join(days, F.col("trade_date").between(F.date_sub("before", 6), F.col("before"))).select("t", *KEYS, "amount")
+    return bars_of_week_before(spark, sf_dir).select("t", *KEYS, "amount")
 
 
 plain("P-25", "bars", "bars", f"WITH {ENDS} SELECT b.ts_code, b.trade_date, b.close FROM bars b JOIN ends e ON b.ts_code = e.ts_code AND b.trade_date <= least(DATE '2001-06-30', delist_date) AND b.trade_date >= '1998-01-01'", lambda b: b.join(ends(b), "ts_code").where((F.col("trade_date") >= at("1998-01-01")) & (F.col("trade_date") <= F.least(at("2001-06-30"), F.col("delist_date")))).select(*KEYS, "close"))
@@ -52,7 +51,7 @@ plain("A-05", "bars", "bars", "SELECT year(trade_date)::BIGINT AS year, count(*)
 plain("A-07", "fundamentals", "fundamentals", "SELECT ts_code, arg_max(roe, (ann_date, end_date, report)) FILTER (roe IS NOT NULL) AS roe, arg_max(revenue, (ann_date, end_date, report)) AS revenue FROM fundamentals GROUP BY 1", lambda f: f.groupBy("ts_code").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ann_date", "end_date", "report"))).alias(c) for c in ("roe", "revenue")]))
 plain("A-13", "bars", "bars", "SELECT count(*) AS n, count(*) FILTER (abs(close - open) > open * 0.05) AS mismatches, round(avg(CASE WHEN abs(close - open) > open * 0.05 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS share, round(max(abs(close - open)), 6) AS largest FROM bars", lambda b: b.withColumn("x", F.abs(F.col("close") - F.col("open")) > F.col("open") * 0.05).agg(F.count("*").alias("n"), F.count_if("x").alias("mismatches"), F.round(F.avg(F.col("x").cast("double")), 6).alias("share"), F.round(F.max(F.abs(F.col("close") - F.col("open"))), 6).alias("largest")))
 plain("A-14", "history", "history", f"WITH {LATEST} SELECT ts_code, board FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY md5(ts_code), ts_code) AS rn, count(*) OVER (PARTITION BY board) AS n FROM latest) WHERE rn <= greatest(1, least(n, n // 10 + 1))", lambda h: windows.stratified(last_versions(h), "board", "ts_code").select("ts_code", "board"))
-plain("A-15", "bars", "bars", "SELECT ts_code, trade_date FROM bars WHERE md5(ts_code || trade_date) < '0ccccccccccccccccccccccccccccccc'", lambda b: windows.sampled(b, 0.05, *KEYS).select(KEYS))
+plain("A-15", "bars", "bars", "SELECT ts_code, trade_date FROM bars WHERE md5(ts_code || trade_date) < '0ccccccccccccccccccccccccccccccc' OR md5(ts_code || trade_date) = (SELECT min(md5(ts_code || trade_date)) FROM bars)", lambda b: windows.sampled(b, 0.05, *KEYS).select(KEYS))
 plain("A-16", "bars", "bars", "SELECT ts_code, count(*) AS n, printf('%.2f~%.2f', min(low), max(high)) AS price_range FROM bars GROUP BY 1", lambda b: b.groupBy("ts_code").agg(F.count("*").alias("n"), F.format_string("%.2f~%.2f", F.min("low"), F.max("high")).alias("price_range")))
 
 plain("W-04", "bars", "bars", f"SELECT ts_code, trade_date, row_number() OVER {W} AS rn FROM bars", lambda b: b.select(*KEYS, F.row_number().over(windows.by()).cast("long").alias("rn")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import codes, rules
-from barloom.operators import calendar
+from barloom.operators import asof, calendar
 from barloom.plans.catalog import at, plain, query, r6
 from barloom.sources import derived as d
 from barloom.sources import fields
@@ -46,7 +46,16 @@ plain("F-16", "bars", "bars", "SELECT ts_code, strftime(trade_date, '%Y-%m-%d')
 plain("F-17", "fundamentals", "fundamentals", "SELECT report, CASE WHEN roe / 10 > 1 THEN round(1 - 1 / (roe / 10), 6) END AS ratio FROM fundamentals", lambda f: f.select("report", F.round(codes.liability_ratio(F.col("roe") / 10), 6).alias("ratio")))
 plain("F-18", "bars", "bars", "SELECT ts_code, trade_date, 'volume=' || volume || ', suspended=' || is_suspend AS detail FROM bars", lambda b: b.select("ts_code", "trade_date", F.format_string("volume=%d, suspended=%s", "volume", F.col("is_suspend").cast("string")).alias("detail")))
 plain("F-19", "history", "history", "SELECT ts_code, bool_or(board = '1-URGENT') AS was_urgent FROM history GROUP BY ts_code", lambda h: h.groupBy("ts_code").agg(F.collect_set("board").alias("b")).select("ts_code", F.array_contains("b", "1-URGENT").alias("was_urgent")))
-plain("F-14", "bars", "bars", "SELECT ts_code, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM (SELECT ts_code, list_distinct(string_split(ts_code, '')) AS a, list_distinct(string_split('600010.SZ', '')) AS b FROM (SELECT DISTINCT ts_code FROM bars))", lambda b: b.select("ts_code").distinct().select("ts_code", F.round(codes.name_similarity(F.col("ts_code"), F.lit("600010.SZ")), 6).alias("similarity")))
+STRIPPED = lambda x: f"[c FOR c IN list_distinct(string_split({'replace(' * len(codes.NAME_SUFFIXES)}{x}{''.join(f", '{w}', '')" for w in codes.NAME_SUFFIXES)}, '')) IF c <> '']"
+FULL_NAME = "CASE WHEN ts_code LIKE '60%' THEN '*ST' || left(ts_code, 6) WHEN ts_code LIKE '00%' THEN left(ts_code, 6) || '股份有限公司' WHEN ts_code LIKE '30%' THEN '集团公司' ELSE ts_code END"
+
+
+def full_name(code):
+    start = lambda p: F.startswith(code, F.lit(p))
+    return F.when(start("60"), F.concat(F.lit("*ST"), F.left(code, F.lit(6)))).when(start("00"), F.concat(F.left(code, F.lit(6)), F.lit("股份有限公司"))).when(start("30"), F.lit("集团公司")).otherwise(code)
+
+
+plain("F-14", "bars", "bars", f"SELECT ts_code, coalesce(round(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 6), 0) AS similarity FROM (SELECT ts_code, {STRIPPED(FULL_NAME)} AS a, {STRIPPED(chr(39) + '600010集团' + chr(39))} AS b FROM (SELECT DISTINCT ts_code FROM bars))", lambda b: b.select("ts_code").distinct().select("ts_code", F.round(codes.name_similarity(full_name(F.col("ts_code")), F.lit("600010集团")), 6).alias("similarity")))
 
 plain("T-01", "bars", "bars", f"WITH {LATER} SELECT ts_code, trade_date, {LIMIT} AS price_limit FROM bars2", lambda b: rules.with_price_limit(later(b)).select("ts_code", "trade_date", "price_limit"))
 plain("T-02", "bars", "bars", f"WITH {LATER} SELECT ts_code, trade_date, CASE WHEN v < least_lot THEN 0 ELSE v - v % step END::BIGINT AS shares FROM (SELECT ts_code, trade_date, volume * 3 AS v, CASE WHEN star THEN 200 ELSE 100 END AS least_lot, CASE WHEN star OR bse THEN 1 ELSE 100 END AS step FROM (SELECT *, {BOARD} = 'STAR' AND trade_date >= '2019-07-22' AS star, {BOARD} = 'BSE' AND trade_date >= '2021-11-15' AS bse FROM bars2))", lambda b: later(b).select("ts_code", "trade_date", rules.round_shares(F.col("volume") * 3, board(), F.col("trade_date")).alias("shares")))
@@ -70,9 +79,10 @@ plain("D-06", "calendar", "calendar", "SELECT cal_date FROM calendar WHERE is_tr
 
 @query("D-04", "calendar dates", "SELECT t, (SELECT max(cal_date) FROM calendar WHERE is_trading_day AND cal_date < t) AS prev_trade_date FROM dates")
 def previous_of_dates(spark, sf_dir):
-    """Days outside the calendar have no previous day of their own row, so the last one before them is looked up."""
-    days, open_days = d.dates(spark, sf_dir), d.calendar(spark, sf_dir).where("is_trading_day").select("cal_date")
-    return days.join(F.broadcast(open_days), F.col("cal_date") < F.col("t"), "left").groupBy("t").agg(F.max("cal_date").alias("prev_trade_date"))
+    """Days outside the calendar have no previous day of their own row, so the last one before them is carried to them."""
+    open_days = d.calendar(spark, sf_dir).where("is_trading_day").select(F.col("cal_date").alias("prev_trade_date"))
+    return asof.join(d.dates(spark, sf_dir), open_days, [], "t", "prev_trade_date", ["prev_trade_date"], strict=True)
+
 
 
 REQUEST = "SELECT ts_code, min(trade_date) AS a, max(trade_date) AS b FROM bars GROUP BY ts_code"
@@ -90,11 +100,7 @@ plain("P-15", "bars", "bars", "SELECT ts_code, close, 0::BIGINT AS volume, false
 plain("P-17", "bars", "bars", "SELECT ts_code, trade_date, NULL::DOUBLE AS open, NULL::DOUBLE AS high, NULL::DOUBLE AS low, close, CASE WHEN volume % 3 = 0 THEN 0 ELSE volume END AS volume FROM bars", lambda b: fields.standardize(b.select("ts_code", F.col("trade_date").cast("string").alias("date"), F.col("close").cast("string").alias("close"), F.when(F.col("volume") % 3 == 0, "?").otherwise(F.col("volume").cast("string")).alias("vol"))).select(*fields.REQUIRED))
 
 
-@query("P-16", "bars", "SELECT 'fundamentals' AS table_name, unnest(['trade_date', 'open', 'high', 'low', 'close', 'volume']) AS lacking FROM (SELECT 1 FROM bars LIMIT 1)")
-def lacking(spark, sf_dir):
-    """Required market fields that a table lacks; its schema alone decides."""
-    lacks = fields.missing(d.fundamentals(spark, sf_dir))
-    return d.bars(spark, sf_dir).select(F.explode(F.array(*map(F.lit, lacks))).alias("lacking")).distinct().select(F.lit("fundamentals").alias("table_name"), "lacking")
+plain("P-16", "bars", "bars", "SELECT * FROM (SELECT unnest(['open', 'close', 'turnover']) AS field, unnest([count(*) FILTER (volume % 5 = 0), count(*) FILTER (volume % 3 = 0), count(*)]) AS lacking, count(*) AS \"rows\" FROM bars)", lambda b: fields.lacking(b.withColumns({"open": F.when(F.col("volume") % 5 != 0, F.col("open")), "close": F.when(F.col("volume") % 3 != 0, F.col("close"))}), [*fields.REQUIRED, "turnover"]))
 
 
 @query("S-22", "bars", "SELECT ts_code, trade_date, close, lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date) AS pre_close, volume, volume = 0 AS is_suspend, 'vendor' AS data_source FROM (SELECT ts_code, trade_date, close, CASE WHEN volume % 5 = 0 THEN 0 ELSE volume END AS volume FROM bars)")

@@ -109,13 +109,35 @@ def calendar_loaded(spark, sf_dir):
 plain("S-23", "bars", "bars", "SELECT ts_code, trade_date, round(open * adj_factor, 6) AS open, round(high * adj_factor, 6) AS high, round(low * adj_factor, 6) AS low, round(close * adj_factor, 6) AS close, close AS raw_close FROM bars", lambda b: b.select("ts_code", "trade_date", *[F.round(F.col(c) * F.col("adj_factor"), 6).alias(c) for c in ("open", "high", "low", "close")], F.col("close").alias("raw_close")))
 plain("S-24", "history", "history", f"WITH {LATEST} SELECT ts_code, eff_date, status FROM latest WHERE delist_date IS NULL", lambda h: last_versions(h).where("delist_date is null").select("ts_code", "eff_date", "status"))
 plain("S-25-delete", "bars", "bars", "SELECT ts_code, trade_date FROM bars WHERE NOT (ts_code = '600000.SH' OR ts_code = '000002.SZ' AND trade_date BETWEEN '1997-01-01' AND '1997-12-31')", lambda b: storage.delete(storage.delete(b, ["600000.SH"]), ["000002.SZ"], first="1997-01-01", last="1997-12-31").select("ts_code", "trade_date"))
-plain("S-26", "bars", "bars", "SELECT ts_code, trade_date, close AS raw_close, round(close * adj_factor, 6) AS adj_close, true AS consistent FROM bars WHERE ts_code LIKE '%.SZ' AND trade_date IN (DATE '1997-06-02', DATE '1998-06-01')", lambda b: b.where(F.endswith("ts_code", F.lit(".SZ")) & F.col("trade_date").isin("1997-06-02", "1998-06-01")).withColumn("a", F.col("close") * F.col("adj_factor")).select("ts_code", "trade_date", F.col("close").alias("raw_close"), F.round("a", 6).alias("adj_close"), (F.abs(F.col("a") - F.col("close") * F.col("adj_factor")) < 0.01).alias("consistent")))
+ADJUSTED = "adjusted AS (SELECT ts_code, trade_date, close * adj_factor * CASE WHEN volume % 13 = 0 THEN 1.05 ELSE 1.0 END AS adj_close FROM bars WHERE volume % 17 <> 0)"
 
 
-@query("S-27", "bars", "SELECT ts_code, trade_date, CASE WHEN volume % 4 = 0 THEN close + 1 ELSE close END AS close FROM bars WHERE trade_date < '1996-01-01'")
+@query("S-26", "bars", f"WITH {ADJUSTED} SELECT b.ts_code, b.trade_date, close AS raw_close, round(adj_close, 6) AS adj_close, coalesce(abs(adj_close - close * adj_factor) < 0.01, false) AS consistent FROM bars b LEFT JOIN adjusted a USING (ts_code, trade_date)")
+def self_check(spark, sf_dir):
+    """Raw bars beside a table of adjusted ones, some of which are wrong and some missing."""
+    b = d.bars(spark, sf_dir)
+    wrong = F.when(F.col("volume") % 13 == 0, 1.05).otherwise(1.0)
+    adjusted = b.where("volume % 17 != 0").select("ts_code", "trade_date", (F.col("close") * F.col("adj_factor") * wrong).alias("adj_close"))
+    both = b.join(adjusted, ["ts_code", "trade_date"], "left")
+    ok = F.coalesce(F.abs(F.col("adj_close") - F.col("close") * F.col("adj_factor")) < 0.01, F.lit(False))
+    return both.select("ts_code", "trade_date", F.col("close").alias("raw_close"), F.round("adj_close", 6).alias("adj_close"), ok.alias("consistent"))
+
+
+@query("S-27", "bars", "SELECT ts_code, trade_date, CASE WHEN volume % 4 = 0 THEN close + 1 ELSE close END AS close FROM bars")
 def golden(spark, sf_dir):
-    b = d.bars(spark, sf_dir).where("trade_date < '1996-01-01'").select("ts_code", "trade_date", "close", "volume")
+    b = d.bars(spark, sf_dir).select("ts_code", "trade_date", "close", "volume")
     return merge.keep_last([b, b.where("volume % 4 = 0").withColumn("close", F.col("close") + 1)], ["ts_code", "trade_date"]).drop("volume")
 
 
+@query("S-13-factors", "fundamentals", "SELECT ts_code, end_date, roe, CASE WHEN revenue / 50000 > 1 THEN round(1 - 1 / (revenue / 50000), 6) END AS asset_liability_ratio, net_profit FROM (SELECT ts_code, end_date, roe, CASE WHEN report % 3 = 0 THEN revenue * 2 ELSE revenue END AS revenue, CASE WHEN report % 3 = 0 THEN revenue * 2 ELSE revenue END / 10 AS net_profit, report FROM fundamentals QUALIFY row_number() OVER (PARTITION BY ts_code, end_date ORDER BY report DESC) = 1)")
+def derived_factors(spark, sf_dir):
+    """Saved statements bring their derived factors: what is saved later replaces the factors of its period."""
+    f = windows.latest(d.fundamentals(spark, sf_dir), ["ts_code", "end_date"], F.col("report").desc())
+    full = lambda df: df.select("ts_code", "end_date", F.col("roe").alias("roe_avg"), (F.col("revenue") / 50000).alias("asset_to_equity"), (F.col("revenue") / 10).alias("net_profit"))
+    stored = merge.derived_factors(full(f))
+    again = full(f.where("report % 3 = 0").withColumn("revenue", F.col("revenue") * 2))
+    out = merge.upsert(stored, merge.derived_factors(again), ["ts_code", "end_date"])
+    return out.select("ts_code", "end_date", "roe", F.round("asset_liability_ratio", 6).alias("asset_liability_ratio"), "net_profit")
+
+
 plain("S-28", "bars", "bars", "SELECT 'bars' AS table_name, min(trade_date) AS first_day, max(trade_date) AS last_day, count(*) AS \"rows\", 'ok' AS status FROM bars", lambda b: storage.sync_log(b, "bars"))

@@ -64,6 +64,12 @@ def missing(df: DataFrame, required: Iterable[str] = REQUIRED) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
+def lacking(df: DataFrame, required: Iterable[str] = REQUIRED) -> DataFrame:
+    """(field, lacking, rows): the required fields that some rows lack, with how many do; all do where there is no such column."""
+    n = [F.count_if(F.col(c).isNull()).alias(c) if c in df.columns else F.count("*").alias(c) for c in required]
+    return df.agg(*n, F.count("*").alias("rows")).unpivot(["rows"], list(required), "field", "lacking").where("lacking > 0").select("field", "lacking", "rows")
+
+
 def project(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
     """Only the wanted columns; names that the table lacks are an error, not a guess."""
     if lacking := missing(df, wanted := list(wanted)):

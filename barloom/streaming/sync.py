@@ -2,33 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from barloom.operators import quality
+from barloom.operators import quality, storage
+from barloom.operators.merge import merge_progress
+from barloom.operators.windows import latest
 
+KEYS = ["ts_code", "trade_date"]
+PROGRESS = "ts_code string, last_date date, total_records long, last_batch string"
 
-def sync(stream: DataFrame, target: str, alerts: str, checkpoint: str) -> StreamingQuery:
-    """Writes each micro-batch's bars and alerts in folders named by batch, so a batch that comes again replaces itself.
 
-    read_synced() then lets the last batch of a key win: re-delivered rows are no-ops and progress never counts twice.
+def sync(stream: DataFrame, target: str, alerts: str, checkpoint: str, context: int = 20) -> StreamingQuery:
+    """Upserts each micro-batch's bars into the years that it touches, and logs alerts and progress.
+
+    A batch that comes again changes nothing: its rows replace themselves, its alerts their own folder, and its progress,
+    which is written before the rows, stays. The checks see, before each key's rows of the batch, its last earlier rows (context of them) from the target.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        rows.persist()
-        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        quality.run(rows).write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
-        rows.unpersist()
+        spark = rows.sparkSession
+        new = latest(rows, KEYS, F.struct(*[c for c in rows.columns if c not in KEYS]).desc()).withColumn("year", F.year("trade_date")).persist()
+        try:
+            there = _there(spark, target)
+            known = new if there is None else _earlier(there, new, context).unionByName(new)
+            found = quality.run(known.drop("year")).join(new.select(*KEYS), KEYS, "left_semi")
+            found.write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
+            if _there(spark, f"{target}-progress/batch={batch_id}/_SUCCESS") is None:  # else this batch came before, and its rows are no longer new
+                before = _there(spark, f"{target}-progress", PROGRESS)
+                last = spark.createDataFrame([], PROGRESS) if before is None else latest(before.where(F.col("batch") < batch_id), ["ts_code"], F.col("batch").desc()).drop("batch")
+                fresh = new if there is None else new.join(there.select(*KEYS), KEYS, "left_anti")
+                merge_progress(last, fresh, str(batch_id)).write.mode("overwrite").parquet(f"{target}-progress/batch={batch_id}")
+            if there is None:
+                storage.sized(new, "year").write.partitionBy("year").parquet(target)
+            else:
+                storage.write_incremental(spark, new, target, "year", KEYS)
+        finally:
+            new.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_synced(spark: SparkSession, target: str) -> DataFrame:
-    from barloom.operators.windows import latest
+def _there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.parquet(path) if schema is None else spark.read.schema(f"{schema}, batch int").parquet(path)
+
 
-    return latest(spark.read.parquet(target), ["ts_code", "trade_date"], F.col("batch").desc()).drop("batch")
+def _earlier(there: DataFrame, new: DataFrame, n: int) -> DataFrame:
+    """The last n stored rows of each key before its first row of the batch."""
+    first = new.groupBy("ts_code").agg(F.min("trade_date").alias("_first"))
+    old = there.join(first, "ts_code").where(F.col("trade_date") < F.col("_first")).select(*new.columns)
+    w = Window.partitionBy("ts_code").orderBy(F.col("trade_date").desc())
+    return old.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def read_synced(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(target).drop("year")
 
 
-def progress(synced: DataFrame) -> DataFrame:
-    return synced.groupBy("ts_code").agg(F.max("trade_date").alias("last_date"), F.count("*").alias("total_records"))
+def progress(spark: SparkSession, target: str) -> DataFrame:
+    """Last day and number of rows of each key, after the last batch."""
+    rows = spark.read.schema(f"{PROGRESS}, batch int").parquet(f"{target}-progress")
+    return latest(rows, ["ts_code"], F.col("batch").desc()).select("ts_code", "last_date", "total_records")

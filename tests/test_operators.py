@@ -1,6 +1,6 @@
 """Golden values of codes, costs, calendars, versions and streams."""
 
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,8 +23,8 @@ def test_limits_and_tax(spark):
 
 def test_costs(spark):
     t = spark.createDataFrame([("buy", 10_000.0), ("sell", 10_000.0), ("buy", 1e6)], "side string, amount double").withColumn("trade_date", F.lit("2020-01-02").cast("date"))
-    got = [(r.commission, r.tax, r.slippage) for r in portfolio.costs(t).collect()]
-    assert got == [(5.0, 0.0, 10.0), (5.0, 10.0, 10.0), (pytest.approx(300), 0.0, 1000.0)]
+    got = [tuple(map(float, (r.commission, r.tax, r.slippage, r.net_amount))) for r in portfolio.costs(t).collect()]
+    assert got == [(5.0, 0.0, 10.0, 10_015.0), (5.0, 10.0, 10.0, 9_975.0), (300.0, 0.0, 1000.0, 1_001_300.0)]
 
 
 def test_calendar(spark):
@@ -84,7 +84,35 @@ def test_stream_sync_is_idempotent(spark, tmp_path):
         sync.sync(spark.readStream.schema(schema).parquet(src), str(tmp_path / "out"), str(tmp_path / "alerts"), str(tmp_path / "cp")).awaitTermination()
     got = sync.read_synced(spark, str(tmp_path / "out"))
     assert {r.ts_code: r.close for r in got.collect()} == {"a": 3.0, "b": 2.0, "c": 4.0}
-    assert {r.ts_code: r.total_records for r in sync.progress(got).collect()} == {"a": 1, "b": 1, "c": 1}
+    totals = lambda: {r.ts_code: r.total_records for r in sync.progress(spark, str(tmp_path / "out")).collect()}
+    assert totals() == {"a": 1, "b": 1, "c": 1}
+    sync.sync(spark.readStream.schema(schema).parquet(src), str(tmp_path / "out"), str(tmp_path / "alerts"), str(tmp_path / "again")).awaitTermination()
+    assert totals() == {"a": 1, "b": 1, "c": 1} and sync.read_synced(spark, str(tmp_path / "out")).count() == 3
+
+
+def test_stream_checks_see_earlier_rows(spark, tmp_path):
+    """A factor that jumps between two micro-batches is found."""
+    schema = "ts_code string, trade_date date, open double, high double, low double, close double, volume long, amount double, adj_factor double, is_suspend boolean, pct_chg double"
+    src, out = str(tmp_path / "in"), str(tmp_path / "alerts")
+    for day, factor in ((2, 1.0), (3, 2.0)):
+        spark.createDataFrame([("a", date(2024, 1, day), 1.0, 1.0, 1.0, 1.0, 10, 10.0, factor, False, 0.0)], schema).write.mode("append").parquet(src)
+        sync.sync(spark.readStream.schema(schema).parquet(src), str(tmp_path / "out"), out, str(tmp_path / "cp")).awaitTermination()
+    assert [(r.alert_type, r.trade_date) for r in spark.read.parquet(out).collect()] == [("adj_factor_jump", date(2024, 1, 3))]
+
+
+def test_days_of_intervals(spark):
+    """Slices of a list of days, against a comparison of each interval with each day."""
+    import random
+
+    rng, start = random.Random(4), date(2020, 1, 1)
+    day = lambda n: start + timedelta(days=n)
+    days = [day(n) for n in rng.sample(range(400), 40)]
+    rows = [(k, day(rng.randrange(-50, 450)) if k % 9 else None, day(rng.randrange(-50, 450)) if k % 7 else None) for k in range(200)]
+    t = spark.createDataFrame(rows, "k int, a date, b date")
+    got = {(r.k, r.t) for r in asof.on_days(t, spark.createDataFrame([(x,) for x in days], "t date"), F.col("a"), F.col("b")).collect()}
+    assert got == {(k, x) for k, a, b in rows for x in days if a is not None and a <= x and (b is None or x <= b)}
+    none = spark.createDataFrame([], "t date")
+    assert asof.on_days(t, none, F.col("a"), F.col("b")).count() == 0
 
 
 def test_long_chains_of_codes(spark):
