@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -23,12 +25,14 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-barloom-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -36,7 +40,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the driver ends, or by remove()."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(lambda: [remove(spark, p) for p in [*_written]])
+    _written.append(path)
+    return path
+
+
+_written: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch path; at the driver's end the session may be gone already."""
+    with contextlib.suppress(Exception):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written.remove(path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -44,7 +64,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing will read again."""
+    remove(df.sparkSession, df._staged_at)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

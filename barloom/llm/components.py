@@ -32,3 +32,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def _mark(edges: DataFrame):
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return row[0], row[1]
+
+
+def node_of(name, mark):
+    """The node of a class: its smallest id, or a number from 2^62 on, drawn from its mark, where all its ids are null."""
+    return F.coalesce(name.cast("long"), mark.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+
+
+def with_component(classes: DataFrame, links: DataFrame, name: str, nameless: bool) -> DataFrame:
+    """classes (with node, and name, null where node isn't an id) with component_id, the smallest id that links lead to.
+
+    Null where no class of the component has an id; nameless says whether there may be classes without one. Where there
+    are, ids must be below 2^62.
+    """
+    rooted = classes.join(connected_components(links), "node", "left").withColumn("component_id", F.coalesce("root", "node")).drop("root")
+    if not nameless:
+        return rooted
+    without = classes.where(F.col(name).isNull()).select(F.col("node").alias("_nameless"))
+    found = rooted.join(without, F.col("component_id") == F.col("_nameless"), "left")
+    return found.withColumn("component_id", F.when(F.col("_nameless").isNull(), F.col("component_id"))).drop("_nameless")

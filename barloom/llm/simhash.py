@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import bound_batches, staged
-from barloom.llm.components import connected_components
+from barloom.llm.components import node_of, with_component
 
 #: Words of a shingle, seed of XXH64, differing bits of a link.
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a shard from which it is dealt out anew by bands of the bits that its members may differ in.
 SHARD_LIMIT = 4096
+#: Texts of a shard of near copies that are compared in one task; a larger shard is compared block by block.
+COPY_BLOCK = 2048
 _CHUNK = 1 << 16
 #: Near copies: words of a shingle, least Jaccard similarity, differing bits up to which sets are compared.
 COPY_SHINGLE, COPY_LEAST, COPY_RADIUS = 5, 0.8, 24
@@ -93,24 +95,26 @@ class BKTree:
             todo += [k for e, k in children.items() if d - radius <= e <= d + radius]
 
 
-def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """At most one link from each (unsigned) value to the root of its group in this shard: the groups, not all pairs."""
-    if len(values) == 2:
+def shard_links(values: list[int], radius: int, others: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links among (unsigned) values, or between them and others: at most one from each to the root of its group, not all pairs."""
+    if others is None and len(values) == 2:
         a, b = values
         return [(a, b)] if (a ^ b).bit_count() <= radius else []
-    tree, root, rank = BKTree(), {}, {}
+    tree, root = BKTree(), {x: x for x in [*values, *(others or ())]}
 
     def find(x):
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
+    for x in others or ():
+        tree.add(x)
     for x in values:
-        root[x] = x
         for y in tree.near(x, radius):
             root[find(y)] = find(x)
-        tree.add(x)
-    return [(x, r) for x in values if (r := find(x)) != x]
+        if others is None:
+            tree.add(x)
+    return [(x, r) for x in root if (r := find(x)) != x]
 
 
 def bands(n: int, count: int) -> list[tuple[int, int]]:
@@ -119,59 +123,73 @@ def bands(n: int, count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def deal(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
+    """Each row once for every one of count bands of its shard's free bits: its shard there, whose free bits are the others."""
+    mix, turn = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+    for b in batches:
+        fp, node, shard, free = (np.asarray(b.column(c)).view(np.uint64) for c in ("fp", "node", "shard", "free"))
+        for mask in np.unique(free):
+            at = np.flatnonzero(free == mask)
+            bits = [k for k in range(64) if int(mask) >> k & 1]
+            for j, (low, width) in enumerate(bands(len(bits), count)):
+                band = np.uint64(sum(1 << k for k in bits[low : low + width]))
+                with np.errstate(over="ignore"):
+                    h = (((shard[at] + np.uint64(j + 1)) * mix) ^ (fp[at] & band)) * turn
+                    h ^= h >> np.uint64(31)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fp[at], node[at], h * mix, np.full(len(at), mask & ~band))], names=["fp", "node", "shard", "free"])
+
+
 def links(prints: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) -> DataFrame:
-    """Links (a, b) that join all pairs of distinct fingerprints fp within the radius into the same groups.
+    """Links (a, b) between nodes that join all pairs of distinct fingerprints fp within the radius into the same groups.
 
-    Two such fingerprints agree in a whole band of any radius + 1 bands. A shard holds the fingerprints that
-    agree in a band; one of more than limit is dealt out by radius + 1 bands of its remaining bits, without loss.
+    Two such fingerprints agree in a whole band of any radius + 1 bands. A shard holds the fingerprints that agree in a
+    band. One of more than limit is dealt out again by radius + 1 bands of its other bits, without loss; what is still
+    larger is searched in pairs of blocks of limit fingerprints, so no task holds more than two blocks.
     """
-    flat = bands(64, radius + 1)
-    value = lambda fp, shift, width: F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
-    rows = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), value(F.col("fp"), s, w).alias("key")) for k, (s, w) in enumerate(flat)])).alias("x")).select("fp", "x.*")
-    sizes = rows.groupBy("band", "key").count().where("count > 1")
-    rows = rows.join(sizes, ["band", "key"])
-    finer = []
-    for k, (s, w) in enumerate(flat):
-        for j, (shift, width) in enumerate(bands(64 - w, radius + 1)):
-            low = F.col("fp").bitwiseAND(F.lit((1 << s) - 1))
-            high = F.shiftleft(F.shiftrightunsigned("fp", s + w), s) if s + w < 64 else F.lit(0).cast("long")
-            finer.append(F.when(F.col("band") == k, F.struct(F.lit(j).alias("part"), value(low.bitwiseOR(high), shift, width).alias("sub"))))
-    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("sub")))
-    rows = rows.withColumn("y", F.explode(F.when(F.col("count") > limit, F.array_compact(F.array(*finer))).otherwise(whole)))
-    rows = rows.select("fp", "band", "key", "y.part", "y.sub")
-    keys = ["band", "key", "part", "sub"]
-    width = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(width, *keys).sortWithinPartitions(*keys, "fp")
+    schema = "fp long, node long, shard long, free long"
+    rows = prints.select("fp", "node", F.lit(0).cast("long").alias("shard"), F.lit(-1).cast("long").alias("free"))
+    ready = []
+    for last in (False, True):
+        dealt = staged(rows.mapInArrow(lambda batches: deal(batches, radius + 1), schema), "shards")
+        sizes = dealt.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+        small = dealt.join(sizes if last else sizes.where(F.col("n") <= limit), "shard")
+        blocks = F.ceil(F.col("n") / limit).cast("int")
+        small = small.select("shard", "fp", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
+        small = small.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        ready.append(small.select("shard", "fp", "node", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")))
+        large = sizes.where(F.col("n") > limit).select("shard")
+        if last or large.isEmpty():
+            break
+        rows = dealt.join(large, "shard")
+    every = (ready[0] if len(ready) == 1 else ready[0].unionByName(ready[1])).withColumn("group", F.xxhash64("shard", "p", "q"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for values in _runs(batches, keys):
-            found = shard_links(values, radius) if len(values) > 1 else []
+        for fp, node, own, p, q in _runs(batches, "group", ["fp", "node", "own", "p", "q"]):
+            values, left = fp.view(np.uint64), own == p[0]
+            found = shard_links(values[left].tolist(), radius, None if p[0] == q[0] else values[~left].tolist())
             if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], schema=schema)
+                name = dict(zip(values.tolist(), node.tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([name[x] for x in c], pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    return dealt.mapInArrow(search, "a long, b long").distinct()
+    return every.repartition("group").sortWithinPartitions("group", "fp").mapInArrow(search, "a long, b long").distinct()
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[int]]:
-    """Unsigned fp values of each run of equal keys in sorted batches; runs may span batches."""
-    last, kept = None, []
-    for batch in batches:
-        if not batch.num_rows:
+def _runs(batches: Iterator[pa.RecordBatch], key: str, columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of equal keys in sorted batches; runs may span batches."""
+    last, held = None, []
+    for b in batches:
+        if not b.num_rows:
             continue
-        marks = np.stack([np.asarray(batch.column(k)) for k in keys], axis=1)
-        fp = np.asarray(batch.column("fp")).view(np.uint64)
-        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(fp)]
+        marks, data = np.asarray(b.column(key)), [np.asarray(b.column(c)) for c in columns]
+        cuts = [0, *(np.flatnonzero(marks[1:] != marks[:-1]) + 1).tolist(), len(marks)]
         for i, j in zip(cuts, cuts[1:]):
-            key = tuple(marks[i])
-            if key != last and kept:
-                yield kept
-                kept = []
-            last = key
-            kept = kept + fp[i:j].tolist()
-    if kept:
-        yield kept
+            if marks[i] != last and held:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            last = marks[i]
+            held.append([x[i:j] for x in data])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text", limit: int = SHARD_LIMIT) -> DataFrame:
@@ -183,11 +201,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     bound_batches(docs.sparkSession)
     each = staged(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")), "fingerprints")
-    prints = each.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(links(prints, radius, limit))
-    grouped = prints.join(roots, prints.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    names = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(names, "root").select("fp", "component_id")
+    prints = each.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", node_of(F.col("first_id"), F.xxhash64("fp")))
+    nameless = not each.where("doc_id is null").isEmpty()
+    named = with_component(prints, links(prints, radius, limit), "first_id", nameless).select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -215,34 +231,44 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def copy_links(members: list[tuple[int, int, bytes]], radius: int, least: float) -> list[tuple[int, int]]:
-    """Links between (sig, unsigned fp, grams) of a shard: a BK-tree proposes, the sets decide; none inside a group."""
-    tree, at, root, out, groups = BKTree(), {}, {}, [], 0
+def copy_links(members: list[tuple[int, int, bytes]], others: list[tuple[int, int, bytes]] | None, radius: int, least: float) -> list[tuple[int, int]]:
+    """Links between (node, unsigned fp, grams) of a block, or of one block and others: a BK-tree proposes, the sets decide.
+
+    None is looked for inside a group that earlier links have made.
+    """
+    tree, at, root, out = BKTree(), {}, {m[0]: m[0] for m in [*members, *(others or ())]}, []
+    groups = len(root)
 
     def find(x):
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    for sig, fp, raw in members:
-        grams, root[sig], groups = np.frombuffer(raw, np.uint64), sig, groups + 1
-        for other, theirs in (m for near in tree.near(fp, radius) for m in at[near]):
-            if groups == 1:
-                break
-            if find(other) != find(sig) and alike(grams, theirs, least):
-                root[find(sig)], groups = find(other), groups - 1
-                out.append((sig, other))
+    def hold(node, fp, grams):
         tree.add(fp)
-        at.setdefault(fp, []).append((sig, grams))
+        at.setdefault(fp, []).append((node, grams))
+
+    for node, fp, raw in others or ():
+        hold(node, fp, np.frombuffer(raw, np.uint64))
+    for node, fp, raw in members:
+        if groups == 1:
+            break
+        grams = np.frombuffer(raw, np.uint64)
+        for other, theirs in (m for near in tree.near(fp, radius) for m in at[near]):
+            if find(other) != find(node) and alike(grams, theirs, least):
+                root[find(node)], groups = find(other), groups - 1
+                out.append((node, other))
+        if others is None:
+            hold(node, fp, grams)
     return out
 
 
-def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = COPY_LEAST, radius: int = COPY_RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = COPY_LEAST, radius: int = COPY_RADIUS, doc_id: str = "doc_id", text: str = "text", block: int = COPY_BLOCK) -> DataFrame:
     """doc_id and component_id, the smallest doc_id that links lead to; texts link if their sets of shingles are alike.
 
     Bands of the bits would be some four bits wide at this radius, so min-hash bands of the shingles deal the shards;
-    equal shards are searched once. One row for each input row; null and empty texts are one group; a component of
-    rows without doc_id alone has component_id null.
+    equal shards are searched once, and one of more than block texts in pairs of blocks. One row for each input row;
+    null and empty texts are one group; a component of rows without doc_id alone has component_id null.
     """
     bound_batches(docs.sparkSession)
 
@@ -251,41 +277,43 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = COP
         for texts in batches:
             yield pd.DataFrame([sketch_of(t, shingle) for t in texts], columns=["fp", "sig", "keys", "grams"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for values in _runs(batches, ["key"]):
-            if len(found := np.unique(np.array(values, np.uint64))) > 1:
-                shard = xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), shard, np.int64)), pa.array(found.view(np.int64))], names=["shard", "sig"])
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for members in _shards(batches):
-            if found := copy_links(members, radius, least):
+        for own, across, members in _shards(batches):
+            if found := copy_links(own, members if across else None, radius, least):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = staged(docs.select(F.col(doc_id).alias("doc_id"), sketch(F.col(text)).alias("x")).select("doc_id", "x.*"), "sketches")
-    rows = each.select(F.col("sig").alias("fp"), F.explode("keys").alias("key")).repartition(width, "key").sortWithinPartitions("key")
-    shards = staged(rows.mapInArrow(meet, "shard long, sig long").distinct(), "shards")
-    sets = each.select("sig", "fp", "grams").join(shards.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
-    dealt = shards.join(sets, "sig").select("shard", "sig", "fp", "grams").repartition(width, "shard").sortWithinPartitions("shard", "sig")
-    roots = connected_components(dealt.mapInArrow(search, "a long, b long").distinct())
-    first = each.groupBy("sig").agg(F.min("doc_id").alias("first_id"))
-    grouped = first.join(roots, first.sig == roots.node, "left").select("sig", F.coalesce("root", "sig").alias("root"), "first_id")
-    names = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return each.select("doc_id", "sig").join(grouped.join(names, "root").select("sig", "component_id"), "sig").select("doc_id", "component_id")
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(sig, unsigned fp, grams) of each run of equal shard in sorted batches."""
-    last, kept = None, []
+    classes = each.groupBy("sig").agg(F.min("doc_id").alias("first_id")).withColumn("node", node_of(F.col("first_id"), F.col("sig")))
+    rows = each.select("sig", F.explode("keys").alias("key")).distinct()
+    shards = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y")).where("n > 1")
+    shards = shards.groupBy(F.xxhash64("n", "x", "y").alias("shard")).agg(F.min("key").alias("key"), F.first("n").alias("n"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    members = rows.join(shards, "key").select("shard", "sig", blocks.alias("blocks"), F.pmod(F.xxhash64("sig"), blocks).cast("int").alias("own"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = staged(members.select("shard", "sig", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")), "shards")
+    sets = each.select("sig", "fp", "grams").join(members.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]).join(classes.select("sig", "node"), "sig")
+    group = F.xxhash64("shard", "p", "q")
+    dealt = members.join(sets, "sig").select(group.alias("group"), "node", "fp", "grams", "own", "p", "q")
+    links = dealt.repartition("group").sortWithinPartitions("group", "node").mapInArrow(search, "a long, b long").distinct()
+    nameless = not each.where("doc_id is null").isEmpty()
+    named = with_component(classes, links, "first_id", nameless).select("sig", "component_id")
+    return each.select("doc_id", "sig").join(named, "sig").select("doc_id", "component_id")
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, bool, list]]:
+    """Of each run of equal groups in sorted batches: (node, unsigned fp, grams) of one block, whether there is another, and of that."""
+    last, kept = None, ([], [])
+
+    def block():
+        across = bool(last[1] != last[2])
+        return kept[0], across, kept[1]
+
     for batch in batches:
-        for shard, sig, fp, grams in zip(*[batch.column(k).to_pylist() for k in ("shard", "sig", "fp", "grams")]):
-            if shard != last and kept:
-                yield kept
-                kept = []
-            last = shard
-            kept.append((sig, fp & (1 << 64) - 1, grams))
-    if kept:
-        yield kept
+        for group, node, fp, grams, own, p, q in zip(*[batch.column(k).to_pylist() for k in ("group", "node", "fp", "grams", "own", "p", "q")]):
+            if last and group != last[0]:
+                yield block()
+                kept = [], []
+            last = group, p, q
+            kept[own != p].append((node, fp & (1 << 64) - 1, grams))
+    if last:
+        yield block()
