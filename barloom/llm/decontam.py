@@ -10,18 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bound_batches
+from barloom.llm.common import bound_batches, removed, staged
 
 #: Words of an item that make a window.
 WINDOW = 10
-#: Windows that one broadcast automaton holds at most (some 100 MB); a larger benchmark goes in several passes.
+#: Windows that one broadcast automaton holds at most (some 100 MB); a larger benchmark goes in passes, one after the other.
 WINDOWS_A_PASS = 500_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _built: dict[int, object] = {}
 
-HITS = "n_words long, hits array<struct<first:int,last:int,start:int,end:int>>, items array<bigint>"
+RUNS = "array<struct<first:int,last:int,start:int,end:int>>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -29,8 +29,8 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
-def windows(items: list[tuple[int, str | None]], size: int) -> dict[bytes, list[int]]:
-    out: dict[bytes, list[int]] = {}
+def windows(items: list[tuple], size: int) -> dict[bytes, list]:
+    out: dict[bytes, list] = {}
     for item, text in items:
         w = words(text)
         for k in range(max(1, len(w) - size + 1) if w else 0):
@@ -71,7 +71,7 @@ class _Shared:
         self.broadcast, self.id = state
 
 
-def scan(text: str | None, automaton) -> tuple[int, list[dict], list[int]]:
+def scan(text: str | None, automaton) -> tuple[int, list[dict], list]:
     """Number of words; maximal runs of hit words with their offsets in the original's characters; items."""
     w = words(text)
     if not w or not len(automaton):
@@ -98,23 +98,16 @@ def scan(text: str | None, automaton) -> tuple[int, list[dict], list[int]]:
     return len(w), runs, sorted(items)
 
 
-def benchmark_passes(benchmark: DataFrame, size: int = WINDOW, item: str = "item_id", text: str = "text") -> list[_Shared]:
-    """Broadcast windows of the benchmark, at most WINDOWS_A_PASS words' worth in each."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).where("text is not null")
+def passes_of(items: DataFrame) -> int:
+    """Passes in which no more than WINDOWS_A_PASS words of items stand, as far as their length tells."""
     n = items.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0))).first()[0]  # words, at most
-    passes = max(1, -(-int(n) // WINDOWS_A_PASS))
-    shared = []
-    for k in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).collect()
-        shared.append(_Shared(spark.sparkContext.broadcast(windows([(r.item, r.text) for r in rows], size))))
-    return shared
+    return max(1, -(-int(n) // WINDOWS_A_PASS))
 
 
-def find(text: Column, shared: _Shared) -> Column:
+def find(text: Column, shared: _Shared, item_kind: str) -> Column:
     """struct<n_words, hits, items> of a text."""
 
-    @F.pandas_udf(HITS)
+    @F.pandas_udf(f"n_words long, hits {RUNS}, items array<{item_kind}>")
     def contamination(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = _automaton(shared)
         for texts in batches:
@@ -123,33 +116,45 @@ def find(text: Column, shared: _Shared) -> Column:
     return contamination(text)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
+def united(one: Column, other: Column) -> Column:
+    """The runs of two passes, as maximal runs."""
+    last = lambda acc: F.element_at(acc, -1)
+    join = lambda acc, x: F.when(
+        (F.size(acc) > 0) & (x["first"] <= F.try_element_at(acc, F.lit(-1))["last"] + 1),
+        F.concat(
+            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
+            F.array(F.struct(last(acc)["first"].alias("first"), F.greatest(last(acc)["last"], x["last"]).alias("last"), last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"))),
+        ),
+    ).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(F.array_sort(F.concat(one, other)), F.expr(f"cast(array() as {RUNS})"), join)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with n_words, hits (runs of hit words, with offsets in the original text), n_hit, items and contaminated.
 
     A null or empty text has no words and no hits; an item without words (or null) has no windows; items of equal
-    text are all reported; a null item_id is left out of items but its words are hit; repeated rows each get
-    their own result. Columns of docs with one of these names are replaced.
+    text are all reported, in the type of their ids; a null id is left out of items but its words are hit; repeated rows
+    each get their own result. Columns of docs with one of these names are replaced.
     """
-    bound_batches(docs.sparkSession)
-    passes = benchmark_passes(benchmark, size)
-    out = docs.drop("n_words", "hits", "items", "n_hit", "contaminated")
-    for k, shared in enumerate(passes):
-        out = out.withColumn(f"_scan{k}", find(F.col(text), shared))
-    names = [f"_scan{k}" for k in range(len(passes))]
-    if len(passes) == 1:
-        hits = F.col("_scan0.hits")
-    else:  # runs of several passes are united
-        by_start = F.array_sort(F.concat(*[F.col(f"{n}.hits") for n in names]))
-        last = lambda acc: F.element_at(acc, -1)
-        join = lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["first"] <= F.try_element_at(acc, F.lit(-1))["last"] + 1),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(last(acc)["first"].alias("first"), F.greatest(last(acc)["last"], x["last"]).alias("last"), last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(x)))
-        hits = F.aggregate(by_start, F.expr("cast(array() as array<struct<first:int,last:int,start:int,end:int>>)"), join)
-    items = F.array_distinct(F.array_compact(F.concat(*[F.col(f"{n}.items") for n in names])))
-    out = out.withColumns({"n_words": F.col("_scan0.n_words"), "hits": hits, "items": items}).drop(*names)
+    spark = docs.sparkSession
+    bound_batches(spark)
+    kind = benchmark.schema[item].dataType.simpleString()
+    asked = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    out, before = docs.drop("n_words", "hits", "items", "n_hit", "contaminated"), None
+    passes = passes_of(asked)
+    for k in range(passes):
+        rows = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).collect()
+        shared = _Shared(spark.sparkContext.broadcast(windows([(r.item, r.text) for r in rows], size)))
+        out = out.withColumn("_scan", find(F.col(text), shared, kind))
+        hits, items = F.col("_scan.hits"), F.col("_scan.items")
+        if k:
+            hits, items = united(F.col("hits"), hits), F.array_distinct(F.concat("items", items))
+        out = out.withColumns({"n_words": F.col("_scan.n_words"), "hits": hits, "items": items}).drop("_scan")
+        if passes > 1:  # one automaton at a time: what it found is written before the next is made
+            done, out = before, staged(out, "leaks")
+            before = out
+            shared.broadcast.destroy()
+            if done is not None:
+                removed(done)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["last"] - x["first"] + 1)
     return out.withColumns({"n_hit": n_hit, "contaminated": n_hit > 0})
