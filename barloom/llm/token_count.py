@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bound_batches
+from barloom.llm.common import bound_batches, staged
 from barloom.llm.encode import encoder
 
 _models: dict[str, object] = {}
@@ -51,8 +51,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024,
 
     Content is normalised only as far as counts cannot change: null counts as empty. Each distinct content that the
     cache lacks is encoded once, however many rows hold it, and its count is appended to the cache as Parquet by
-    Spark's committer, so a lost executor leaves no half-written count. Counts are joined back on the digest, which
-    is unique on the cache's side, so the rows of a very common text can be split among tasks.
+    Spark's committer, so a lost executor leaves no half-written count. Counts are joined back on the digest. They are
+    written for that, each digest once: the join then shares its stage with no aggregate, and Spark splits the rows of a
+    very common text among tasks.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -61,9 +62,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024,
     each = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(content.cast("binary"), 256)).alias("digest"), F.octet_length(content).cast("long").alias("n_bytes"))
     texts = docs.select(F.unhex(F.sha2(content.cast("binary"), 256)).alias("digest"), content.alias("text"))
     stored = read_cache(spark, cache, version)
-    if stored is not None:
-        texts = texts.join(stored, "digest", "left_anti")
     misses = texts.groupBy("digest").agg(F.first("text").alias("text"))
+    if stored is not None:
+        misses = misses.join(stored, "digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,6 +73,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024,
 
     misses.mapInArrow(encode, "digest binary, n_tokens long").withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     found = read_cache(spark, cache, version)
-    if found is None:
-        found = spark.createDataFrame([], "digest binary, n_tokens long")
+    found = spark.createDataFrame([], "digest binary, n_tokens long") if found is None else staged(found, "counts")
     return each.join(found, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
