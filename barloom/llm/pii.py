@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: For demonstration; give your own key and keep it.
-KEY = "barloom-demonstration-key"
 ROUNDS = 8
 
 #: Fixed formats (Java regular expressions), tried in this order at each place.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: A local part has 64 characters at most; all repetitions are bounded or possessive, so an unbroken run is read once.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,10}[A-Za-z]{2,63}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)"
@@ -203,7 +202,7 @@ def _email(x: Column, key: str) -> Column:
     return F.get(F.transform(F.array(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)), lambda e: F.concat(e["a"], e["b"], F.lit("@"), domain)), 0)
 
 
-def pseudonym(x: Column, key: str = KEY) -> Column:
+def pseudonym(x: Column, key: str) -> Column:
     """The pseudonym of a matched value, null if it isn't valid in any format."""
     whole = lambda p: x.rlike(f"^(?:{p})$")
     return (
@@ -212,8 +211,8 @@ def pseudonym(x: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """docs with its texts' validated values replaced by pseudonyms, and n_values, how many were.
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """docs with its texts' validated values replaced by pseudonyms under your key, and n_values, how many were.
 
     Null texts stay null with n_values 0; empty texts and texts without such values stay as they are; numbers that fail
     their validation (Luhn, mod 97, octets, calendar, number ranges) stay. Repeated rows get equal results. A column
