@@ -19,7 +19,9 @@ BUCKETS = 1 << 18
 #: Labelled rows of each class that the model is fitted on (those of the smallest id hash), and the prior's weight against them.
 TRAIN_ROWS, PRIOR_SHARE = 20_000, 0.05
 #: Log-odds of a smaller z-score count as none; what each token costs a segment; the E-value of a significant segment.
-Z_LEAST, DRIFT, E_MOST = 3.5, 0.05, 0.3
+Z_LEAST, DRIFT, E_MOST = 3.0, 0.05, 0.3
+#: Steps of the log of the evidence in which calibration counts.
+STEPS = 16
 _EULER = 0.5772156649015329
 
 
@@ -149,11 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, folds: int = 5
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            x = [round(min(50.0, evidence(t, calibrated.value)[0]) * 4) for t in rows.text]
+            x = [round(math.log1p(evidence(t, calibrated.value)[0]) * STEPS) for t in rows.text]
             yield pd.DataFrame({"x": x, "toxic": rows.toxic})
 
     seen = train.mapInPandas(bins, "x int, toxic int").groupBy("x", "toxic").count().toPandas()
-    model["a"], model["b"] = logistic(seen.x.to_numpy(float) / 4, seen.toxic.to_numpy(float), seen["count"].to_numpy(float))
+    model["a"], model["b"] = logistic(seen.x.to_numpy(float) / STEPS, seen.toxic.to_numpy(float), seen["count"].to_numpy(float))
     return model
 
 
@@ -182,7 +184,7 @@ def score(text: Column, shared) -> Column:
             out = []
             for t in texts:
                 x, _, kept = evidence(t, model)
-                out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, model["a"] * min(50.0, x) + model["b"])))), kept))
+                out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, model["a"] * math.log1p(x) + model["b"])))), kept))
             yield pd.DataFrame(out, columns=["score", "segments"])
 
     return toxicity(text)
