@@ -12,17 +12,16 @@ from pyspark.sql import types as T
 
 from barloom.llm.common import bound_batches, fold_of
 
-#: Bounded sample that the dictionaries are made of: bytes of a dictionary, bytes of one text in it, languages.
-DICTIONARY_BYTES, TEXT_BYTES, LANGUAGES = 32 << 10, 1 << 10, 512
+#: Bounded sample that a language's dictionary is made of: bytes of a dictionary, bytes of one text in it.
+DICTIONARY_BYTES, TEXT_BYTES = 32 << 10, 1 << 10
 #: Distinct texts of a language that are looked at for its dictionary.
 SAMPLE_ROWS = 192
 #: A text is rejected if its best two languages differ by less than this share of the best size.
 MARGIN = 0.005
 #: Texts are encoded in blocks of so many bytes, each with the dictionary, so that a long text's own repeats do not hide it.
-BLOCK, LEVEL = 4096, 6
-#: A frame of so few bytes would be stored unshortened, whatever the dictionary. Such a text is encoded behind a filler, the
-#: same for every language, at a level that looks harder for matches; its size is what it adds to the filler's.
-SHORT, SHORT_LEVEL = 256, 12
+BLOCK, LEVEL = 4096, 12
+#: Each block is encoded behind this filler, the same for every language, since a frame of a few bytes would be stored
+#: unshortened; a block's size is what it adds to the filler's.
 _FILLER = bytes(256)
 
 _NO_LETTER = re.compile(r"[\W\d_]+")
@@ -49,7 +48,7 @@ def dictionaries(docs: DataFrame, fold: int | None = 2, folds: int = 4, text: st
     low = ranked(rows.select("lang", "h").distinct()).drop("n")
     texts = ranked(rows.join(F.broadcast(low), ["lang", "h"], "left_semi").select("lang", "h", "text").distinct())
     found: dict[str, dict[str, None]] = {}
-    for r in texts.orderBy("lang", "n").limit(SAMPLE_ROWS * LANGUAGES).collect():
+    for r in texts.orderBy("lang", "n").collect():  # SAMPLE_ROWS a language at most
         found.setdefault(r.lang, {})[r.text] = None
     out = {}
     for name, texts in sorted(found.items()):
@@ -62,13 +61,11 @@ class Coder:
     """Sizes of texts under the dictionary of one language."""
 
     def __init__(self, raw: bytes):
-        self.long, self.short = _compressor(raw, LEVEL), _compressor(raw, SHORT_LEVEL)
-        self.base = len(self.short.compress(_FILLER))
+        self.coder = _compressor(raw, LEVEL)
+        self.base = len(self.coder.compress(_FILLER))
 
     def size(self, raw: bytes) -> int:
-        if len(raw) < SHORT:
-            return len(self.short.compress(_FILLER + b" " + raw + b" ")) - self.base
-        return sum(len(self.long.compress(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK))
+        return sum(len(self.coder.compress(_FILLER + b" " + raw[i : i + BLOCK] + b" ")) - self.base for i in range(0, len(raw), BLOCK))
 
 
 def _compressor(raw: bytes, level: int):
