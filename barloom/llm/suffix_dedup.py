@@ -3,10 +3,11 @@
 Ranking every position would move some twenty times the input, so positions are sampled first: of the gram starts
 inside any window of the least length asked for, the one with the smallest hash is an anchor. Equal windows have equal
 anchors at equal places, so no repeat is missed. Spark then ranks the anchors in rounds, each over strings that reach
-further: round 1 sorts the pairs of ranks at offset 0 and at half a gram, and drops anchors whose gram is unique;
-round 2 pairs what is left with its whole context (past the threshold on both sides), which settles those that repeat;
-round 3 takes those still unique among equal grams and ranks, for each offset, the pair of what lies left of the gram
-and right of it. Strings are compared by ranks of 64 bits in each half of a pair; names of strings come from hashes.
+further: round 1 sorts the pairs of ranks at offset 0 and at half a gram, and drops anchors whose gram is unique; round 2
+pairs what is left with its whole context (past the threshold on both sides), which settles those that repeat; round 3
+takes those still unique among equal grams and ranks, for each offset, the pair of what lies left of the gram and right
+of it. Runs of a short period are told by their first and last gram and by the phases of the windows that they fill.
+Strings are compared by ranks of 64 bits in each half of a pair; names of strings come from hashes.
 """
 
 from __future__ import annotations
@@ -75,25 +76,25 @@ def gram_of(least: int) -> int:
 def anchors(b: np.ndarray, threshold: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the anchors of a text, with names of their gram's two halves (32 bits each) and of their context."""
     gram = gram_of(least)
-    half, reach, right, n = gram // 2, least - gram, threshold - gram, len(b)
-    width = reach + 1
+    half, beyond, n = gram // 2, threshold - gram, len(b)
+    width = least - gram + 1
     at, first, second, contexts = [], [], [], []
     for s in range(0, n - least + 1, _CHUNK):
-        part = b[max(0, s - reach) : s + _CHUNK + threshold - 1 + reach]
-        shift = s - max(0, s - reach)
-        r = ranks(part, sorted({half, gram - half, gram, reach + threshold}))
-        g = r[gram][shift : shift + _CHUNK + reach]
+        part = b[max(0, s - beyond) : s + _CHUNK + threshold - 1 + width]
+        shift = s - max(0, s - beyond)
+        r = ranks(part, sorted({half, gram - half, gram, beyond + threshold}))
+        g = r[gram][shift : shift + _CHUNK + width - 1]
         low = _slide(g, width, np.minimum)
         zero = np.zeros(width - 1, np.uint64)
         here = np.flatnonzero(_slide(np.concatenate((zero, low, zero)), width, np.maximum) == g)
         pos = here + s
-        whole = r[reach + threshold]
-        inner = here + shift - reach
-        known = (pos >= reach) & (pos + threshold <= n) & (inner >= 0) & (inner < len(whole))
+        whole = r[beyond + threshold]
+        inner = here + shift - beyond
+        known = (pos >= beyond) & (pos + threshold <= n) & (inner >= 0) & (inner < len(whole))
         c = np.zeros(len(here), np.uint64)
         c[known] = whole[inner[known]]
         for k in np.flatnonzero(~known).tolist():
-            i, before, after = int(pos[k]), min(reach, int(pos[k])), min(right, n - gram - int(pos[k]))
+            i, before, after = int(pos[k]), min(beyond, int(pos[k])), min(beyond, n - gram - int(pos[k]))
             raw = b[i - before : i + gram + after].tobytes() + f"|{before}|{after}".encode()
             c[k] = np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), np.uint64)[0]
         at.append(pos)
@@ -106,6 +107,49 @@ def anchors(b: np.ndarray, threshold: int, least: int) -> tuple[np.ndarray, np.n
     return pos[once], short(first), short(second), np.concatenate(contexts)[once]
 
 
+def periodic_runs(b: np.ndarray, pos: np.ndarray, first: np.ndarray, second: np.ndarray, gram: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """Which anchors stay, and (anchor, period, start, end) of the runs with a period of a quarter gram at most.
+
+    Inside a run the same gram is an anchor at every period. A window that the run doesn't fill has the run's end, and so its
+    last gram, or its start and first gram inside: those two stay. Windows that the run fills are told by gram and phase.
+    """
+    step = np.diff(pos)
+    tie = (first[1:] == first[:-1]) & (second[1:] == second[:-1]) & (step <= gram // 4)
+    stay, runs = np.ones(len(pos), bool), {}
+    for k in np.flatnonzero(tie).tolist():
+        if k and tie[k - 1] and step[k - 1] == step[k]:
+            stay[k] = False
+            continue
+        end = k
+        while end < len(tie) and tie[end] and step[end] == step[k]:
+            end += 1
+        period, low, high = int(step[k]), int(pos[k]), int(pos[end]) + gram
+        while low:
+            m = min(low, 4096)
+            off = np.flatnonzero(b[low - m : low] != b[low - m + period : low + period])
+            low -= m if not len(off) else m - 1 - int(off[-1])
+            if len(off):
+                break
+        while high < len(b):
+            m = min(len(b) - high, 4096)
+            off = np.flatnonzero(b[high : high + m] != b[high - period : high + m - period])
+            high += m if not len(off) else int(off[0])
+            if len(off):
+                break
+        runs[low, high, period] = k, period, low, high
+    return stay, list(runs.values())
+
+
+def run_windows(runs: list[tuple[int, int, int, int]], pos: np.ndarray, sizes: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """(anchor, phase, first byte, end, size): for each run, size and phase the windows inside the run, as the bytes they cover."""
+    out = []
+    for k, period, low, high in runs:
+        for size in sizes:
+            for x in range(low, min(low + period, high - size + 1)):
+                out.append((k, (int(pos[k]) - x) % period, x, x + (high - size - x) // period * period + size, size))
+    return out
+
+
 def repeated_windows(gram: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, copies: np.ndarray, beyond: int) -> np.ndarray:
     """For each anchor and offset, whether the window that starts so far before the anchor starts elsewhere too.
 
@@ -117,7 +161,7 @@ def repeated_windows(gram: np.ndarray, left: np.ndarray, right: np.ndarray, n_le
     for j in range(beyond):
         tail[j + 1] = pair(tail[j], right[:, j].astype(np.uint64) + np.uint64(1))
     head, out = gram.copy(), np.zeros((len(gram), reach + 1), bool)
-    for o in range(reach + 1):
+    for o in range(min(reach, beyond) + 1):
         if o:
             head = pair(head, left[:, o - 1].astype(np.uint64) + np.uint64(1))
         ok = np.flatnonzero((n_left >= o) & (n_right >= beyond - o))
@@ -156,23 +200,35 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, group_limit: int
     least = sizes[0]
     if (gram_len := gram_of(least)) < 2:
         raise ValueError("a threshold of 8 bytes or more is needed")
-    reach, right = least - gram_len, threshold - gram_len
+    reach = right = threshold - gram_len  # a window may have the kept gram of a run, and no other, at its end
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumns({"row": F.xxhash64("doc_id", "text"), "size": F.octet_length("text")})
-    none = np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, np.uint64)
+    none = np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def placed(b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Anchors (until and of are 0), then windows of periodic runs (the context is the phase)."""
+        pos, first, second, contexts = anchors(b, threshold, least)
+        stay, runs = periodic_runs(b, pos, first, second, gram_len)
+        filled = np.array(run_windows(runs, pos, sizes), np.int64).reshape(-1, 5)
+        k, zero = filled[:, 0], np.zeros(int(stay.sum()), np.int64)
+        return (np.concatenate((pos[stay], filled[:, 2])), np.concatenate((first[stay], first[k])), np.concatenate((second[stay], second[k])), np.concatenate((contexts[stay], filled[:, 1].astype(np.uint64))), np.concatenate((zero, filled[:, 3])), np.concatenate((zero, filled[:, 4])))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
-            made = [anchors(np.frombuffer(raw, np.uint8), threshold, least) if len(raw) >= least else none for raw in texts]
+            made = [placed(np.frombuffer(raw, np.uint8)) if len(raw) >= least else none for raw in texts]
             index = pa.array(np.repeat(np.arange(len(texts)), [len(m[0]) for m in made]))
-            pos, first, second, contexts = (np.concatenate(x) for x in zip(*made)) if made else none
-            columns = [pa.array(first.view(np.int32)), pa.array(second.view(np.int32)), pa.array(contexts.view(np.int64)), b.column("row").take(index), pa.array(pos.astype(np.int32)), b.column("size").take(index)]
-            yield pa.RecordBatch.from_arrays(columns, ["first", "second", "ctx", "row", "pos", "size"])
+            pos, first, second, contexts, until, of = (np.concatenate(x) for x in zip(*made)) if made else none
+            columns = [pa.array(first.view(np.int32)), pa.array(second.view(np.int32)), pa.array(contexts.view(np.int64)), b.column("row").take(index), pa.array(pos.astype(np.int32)), b.column("size").take(index), pa.array(until.astype(np.int32)), pa.array(of.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["first", "second", "ctx", "row", "pos", "size", "until", "of"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    found = staged(rows.where(F.col("size") >= least).select("row", "size", "text").mapInArrow(sample, "first int, second int, ctx long, row long, pos int, size int"), "anchors")
+    every = staged(rows.where(F.col("size") >= least).select("row", "size", "text").mapInArrow(sample, "first int, second int, ctx long, row long, pos int, size int, until int, of int"), "anchors")
     halves, whole = ["first", "second"], ["gram", "ctx"]
+    found, phase = every.where("of = 0").drop("until", "of"), ["first", "second", "ctx", "of"]
+    filled = every.where("of > 0")
+    often = filled.groupBy(*phase).agg(F.sum(F.when(F.col("until") - F.col("pos") > F.col("of"), 2).otherwise(1)).alias("n")).where("n > 1").drop("n")
+    in_runs = filled.join(often, phase).select("row", "size", F.col("pos").alias("start"), F.col("until").alias("end"), "of")
     held = staged(found.join(reranked(found, *halves, "gram"), halves).drop(*halves), "anchor-ranks")
     contexts = held.groupBy(*whole).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("row", "pos", "size")])
     shared = staged(contexts.join(contexts.groupBy("gram").agg(F.count("*").alias("n_ctx")), "gram"), "context-ranks")
@@ -255,6 +311,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, group_limit: int
                     now = pair(now, head[:, o - 1]) if o else now
                     for size in sizes:
                         beyond = size - gram_len - o
+                        if beyond < 0:
+                            continue
                         ok = np.flatnonzero((nl >= o) & (nr >= beyond))
                         row.append(ok)
                         at.append(pos[ok] - o)
@@ -268,7 +326,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, group_limit: int
     again = many.groupBy("gram", "win", "of").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "win", "of")
     common = many.where("n = 1").join(again, ["gram", "win", "of"]).select("row", "size", "start", (F.col("start") + F.col("of")).alias("end"), "of")
 
-    spans = settled.unionByName(few).unionByName(common).groupBy("row", "size").agg(F.collect_set(F.struct("start", "end", "of")).alias("spans"))
+    spans = settled.unionByName(in_runs).unionByName(few).unionByName(common).groupBy("row", "size").agg(F.collect_set(F.struct("start", "end", "of")).alias("spans"))
     joined = rows.join(spans, ["row", "size"], "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

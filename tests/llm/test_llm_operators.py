@@ -19,6 +19,7 @@ from barloom.llm.common import scratch
 from barloom.llm.components import connected_components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+KEY = "key of the tests"
 LONG = "wörd " * 30_000
 ODD = [(1, None), (2, ""), (3, "a"), (4, " \n\t "), (5, LONG), (6, "same text here " * 40), (6, "same text here " * 40), (7, "same text here " * 40), (None, "no id"), (8, "1234 5678"), (9, "<|endoftext|> é  x　y"), (10, "日本語 text")]
 
@@ -63,41 +64,46 @@ def test_components(spark):
 
 
 def cosine_truth(rows, threshold=0.98):
+    """(vec_id, links, smallest id that links lead to, kept) of every row, rows being what links join."""
     good = []
-    for i, (v, label, e) in enumerate(rows):
-        if v is not None and label is not None and e and all(x is not None and math.isfinite(x) for x in e) and any(e):
+    for i, (_, label, e) in enumerate(rows):
+        if label is not None and e and all(x is not None and math.isfinite(x) for x in e) and any(e):
             x = np.array(e, np.float64)
             good.append((i, label, x / np.linalg.norm(x)))
     links = [(i, j) for a, (i, la, x) in enumerate(good) for j, lb, y in good[a + 1 :] if la == lb and len(x) == len(y) and x @ y >= threshold]
-    n = Counter(k for p in links for k in p)
-    ids = [r[0] for r in rows]
-    return n, links, ids
+    n, root, least = Counter(k for p in links for k in p), roots(range(len(rows)), links), {}
+    for i, r in root.items():
+        if (v := rows[i][0]) is not None:
+            least[r] = min(v, least.get(r, v))
+    return sorted(((v, n[i], least.get(root[i]), v is not None and v == least[root[i]]) for i, (v, *_) in enumerate(rows)), key=str)
 
 
 def test_embeddings(spark, small):
     table = spark.read.parquet(f"{small}/embeddings.parquet")
-    rows = [(r.vec_id, r.label, r.embedding) for r in table.collect()]
-    n, links, ids = cosine_truth(rows)
-    root = roots(set(ids), [(ids[i], ids[j]) for i, j in links])
-    want = sorted((v, n[i], root[v], v == root[v]) for i, v in enumerate(ids))
+    want = cosine_truth([(r.vec_id, r.label, r.embedding) for r in table.collect()])
     for block in (1024, 8):
-        assert sorted(map(tuple, embed_dedup.near_duplicates(table, block=block).collect())) == want
+        assert sorted(map(tuple, embed_dedup.near_duplicates(table, block=block).collect()), key=str) == want
 
 
 def test_embeddings_odd(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal(8)
     rows = [(1, 0, base.tolist()), (2, 0, base.tolist()), (3, 0, (base * 3).tolist()), (4, 1, base.tolist()), (5, None, base.tolist()), (6, 0, None), (7, 0, [0.0] * 8), (8, 0, [float("nan")] * 8), (9, 0, [None] + [1.0] * 7), (None, 0, base.tolist()), (2, 0, base.tolist()), (10, 0, []), (11, 0, [float("inf")] + [1.0] * 7), (12, 0, [1.0, 2.0])]
+    rows += [(None, 2, base.tolist()), (None, 2, (base + 0.001).tolist()), (None, 3, base.tolist()), (20, 3, (base * 2 + 0.001).tolist()), (None, 0, None)]
     rows += [(100 + i, 0, (base + rng.standard_normal(8) * 0.02).tolist()) for i in range(60)]
     table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, label int, embedding array<float>, n_links string")
-    back = [(r.vec_id, r.label, r.embedding) for r in table.collect()]
-    n, links, ids = cosine_truth(back)
-    root = roots({v for v in ids if v is not None}, [(ids[i], ids[j]) for i, j in links])
-    want = sorted(((v, n[i], root.get(v), v is not None and v == root[v]) for i, v in enumerate(ids)), key=str)
+    want = cosine_truth([(r.vec_id, r.label, r.embedding) for r in table.collect()])
     assert sorted(map(tuple, embed_dedup.near_duplicates(table, block=16).collect()), key=str) == want
     assert embed_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embedding_tables():
+    """More vectors, more buckets; as many tables as keep the loss."""
+    assert embed_dedup.sizes(1000, 0.98) == (16, 24)
+    bits, tables = embed_dedup.sizes(1 << 40, 0.98)
+    assert bits == 29 and (1 - (1 - math.acos(0.98) / math.pi) ** bits) ** tables <= 4e-5
+
+
 def test_encoder(tokenizer, docs):
     texts = [r.text for r in docs.limit(60).collect()] + [t for _, t in ODD if t] + ["a  b c", "it's 's 12 a\x1c b", " ", "\n", "x <|endoftext|> y<|endoftext|>z w", " lead", "trail "]
     for t, raw in zip(texts, encode.PieceEncoder(PATH).encode_all(texts)):
@@ -180,7 +186,7 @@ def test_repeats_odd(spark, odd):
     rows = [(i % 80, "".join(rng.choice([word(rng.randrange(0, 60)), *rng.sample(shared, 2)]) for _ in range(rng.randrange(8)))) for i in range(120)]
     rows += [(500, "z" * 333), (501, "ab" * 100), (502, None), (503, ""), (None, shared[0] * 2), (None, shared[0] * 2)]
     table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_bytes int")
-    for T, limit, passage, words in ((40, 20_000, 300, 6), (40, 3, 30, 6), (41, 20_000, 31, 2), (100, 0, 60, 8), (100, 20_000, 60, 8), (5, 20_000, 300, 50)):
+    for T, limit, passage, words in ((40, 20_000, 300, 6), (40, 3, 30, 6), (41, 20_000, 31, 2), (100, 0, 60, 8), (100, 20_000, 60, 8), (8, 20_000, 300, 50)):
         got = suffix_dedup.remove_repeats(table, threshold=T, group_limit=limit, passage=passage, passage_words=words).drop("kept").collect()
         assert sorted(map(tuple, got), key=str) == repeats_truth(rows, T, passage, words), (T, limit)
     assert sorted(map(tuple, suffix_dedup.remove_repeats(odd).drop("kept").collect()), key=str) == repeats_truth(ODD, 400)
@@ -228,18 +234,78 @@ def test_maximal_segments():
 
 
 def test_toxicity_held_out(spark, odd):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
     found = queries.op4_toxicity(spark, d)
     assert found.count() == spark.read.parquet(f"{d}/documents.parquet").count()
     rows = found.join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
-    assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.95
-    got = toxicity.detect(odd, labels).select("doc_id", "tox_score").collect()
+    right = sum(r.predicted and r.toxic for r in rows)
+    assert right / sum(r.toxic for r in rows) >= 0.9 and right / sum(r.predicted for r in rows) >= 0.95
+    got = toxicity.detect(odd, labels).select("doc_id", "text", "tox_score").collect()
     assert len(got) == len(ODD) and all(0 <= r.tox_score <= 1 for r in got)
+    by_text = defaultdict(set)
+    for r in got:
+        by_text[r.text or ""].add(r.tox_score)
+    assert all(len(scores) == 1 for scores in by_text.values())  # ties: the score is the text's alone
     assert toxicity.detect(odd, labels.limit(0)).where("tox_score >= 0.5").count() == 0
     assert toxicity.detect(odd.limit(0), labels).count() == 0
 
 
+def toxic_truth(rows, labels, T=toxicity):
+    """Scores by plain Python: counts in dictionaries, the formulas, a search by halves, gradient steps."""
+
+    def tokens(text):
+        out = []
+        for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER).encode()):
+            out.append([zlib.crc32(w) % 2**18] + [(zlib.crc32(w[:n], n) if len(w) > n else zlib.crc32(w)) % 2**18 for n in (4, 5, 6)])
+        return out
+
+    train = [(tokens(t), labels[d]) for d, t in rows if d in labels and zlib.crc32(str(d).encode()) % 5]
+    n = Counter((y, b) for ws, y in train for b in {b for w in ws for b in w})
+    total = {y: sum(v for (k, _), v in n.items() if k == y) for y in (0, 1)}
+    prior, z = 0.05 * (total[0] + total[1]), {}
+    smooth = total[0] + total[1] + 0.01 * 2**18
+    for b in {b for _, b in n}:
+        a = prior * (n[0, b] + n[1, b] + 0.01) / smooth
+        y1, y0 = n[1, b] + a, n[0, b] + a
+        delta = math.log(y1 / (total[1] + prior - y1)) - math.log(y0 / (total[0] + prior - y0))
+        if abs(delta) / math.sqrt(1 / y1 + 1 / y0) >= 3.0:
+            z[b] = delta
+    mean = lambda x: sum(n[0, b] * math.exp(x * (z.get(b, 0.0) - 0.05)) for _, b in {k for k in n if k[0] == 0}) / total[0] - 1
+    low = high = 1e-4
+    while mean(high) < 0 and high < 64:
+        low, high = high, high * 2
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if mean(mid) < 0 else (low, mid)
+
+    def parts(ws):
+        s = np.array([max((z.get(b, 0.0) for b in w), key=abs) - 0.05 for w in ws])
+        return [x for *_, x in T.maximal_segments(s)] if len(s) else []
+
+    best = [(max(p), math.log(len(ws))) for ws, y in train if not y and (p := parts(ws))]
+    k = min(1.0, max(1e-6, math.exp(high * sum(b for b, _ in best) / len(best) - 0.5772156649015329 - sum(m for _, m in best) / len(best)))) if best else 1.0
+
+    def evidence(ws):
+        base = math.log(k * len(ws)) - math.log(0.3) if ws else 0
+        return sum(max(0.0, high * x - base) for x in parts(ws))
+
+    x = np.array([round(math.log1p(evidence(ws)) * 16) / 16 for ws, _ in train])
+    y = np.array([v for _, v in train], float)
+    a = b = 0.0
+    for _ in range(200_000):  # the ridge makes the optimum unique
+        e = y - 1 / (1 + np.exp(-(a * x + b)))
+        a, b = a + 0.01 * ((e * x).sum() - 0.1 * a), b + 0.01 * (e.sum() - 0.1 * b)
+    return {d: 1 / (1 + math.exp(-max(-30, min(30, a * math.log1p(evidence(tokens(t))) + b)))) for d, t in rows}
+
+
+def test_toxicity_scores(spark, small, docs):
+    labels = {r.doc_id: int(r.toxic) for r in spark.read.parquet(f"{small}/labels.parquet").where("toxic is not null").collect()}
+    want = toxic_truth([(r.doc_id, r.text) for r in docs.collect()], labels)
+    for r in queries.op4_toxicity(spark, small).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-3, r.doc_id
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -278,6 +344,9 @@ def test_decontamination(spark, small, docs, odd, monkeypatch):
         for h in r.hits:
             assert WORD.findall(r.text[h.start : h.end].translate(LOWER)) == WORD.findall(r.text.translate(LOWER))[h.first : h["last"] + 1]
     assert decontam.decontaminate(odd, bench.limit(0)).where("contaminated").count() == 0
+    named = bench.withColumn("item_id", F.concat(F.lit("item-"), "item_id"))
+    found = decontam.decontaminate(odd, named).where("contaminated").select(F.size("items"), F.array_join("items", ",")).collect()
+    assert max(r[0] for r in found) > 1 and all(x.startswith("item-") for r in found for x in r[1].split(",") if r[0])
 
 
 def test_token_codes_round_trip(spark, docs, odd, tokenizer, monkeypatch):
@@ -317,6 +386,27 @@ def test_language(spark, odd):
     assert langid.classify(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred != 'und'").count() == 0
 
 
+def test_language_by_plain_compression(docs):
+    """Verdicts of every text are those of whole blocks compressed behind the filler, one compressor a language."""
+    import zstandard as z
+
+    raw = langid.dictionaries(docs)
+    coders = [(lang, langid.Coder(x)) for lang, x in sorted(raw.items())]
+
+    def size(lang, data):
+        one = lambda b: len(z.ZstdCompressor(level=langid.LEVEL, dict_data=z.ZstdCompressionDict(raw[lang], dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False).compress(bytes(256) + b))
+        return sum(one(b" " + data[k : k + 4096] + b" ") - one(b"") for k in range(0, len(data), 4096))
+
+    for text in [r.text for r in docs.collect()] + [t for _, t in ODD]:
+        got = langid.verdict(text, coders)
+        if not text or not any(map(str.isalpha, text)):
+            assert got == ("und", 0.0, 0.0)
+            continue
+        sizes = sorted((size(lang, re.sub(r"[\W\d_]+", " ", text.lower()).encode()), lang) for lang in raw)
+        margin = (sizes[1][0] - sizes[0][0]) / max(sizes[0][0], 1)
+        assert got == (sizes[0][1], 0.5 + 0.5 * min(1.0, margin / 0.25), margin)
+
+
 def test_language_of_short_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang is not null and length(text) < 64 and text rlike '[a-z]'")
     rows = langid.classify(docs, spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("text", "lang", "lang_pred", "rejected").collect()
@@ -344,8 +434,7 @@ def print_of(text):
 
 
 def test_simhash(spark, small, docs, odd):
-    for table, rows in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (odd, [r for r in ODD if r[0] != 5])):
-        table = table.where("doc_id is null or doc_id != 5") if table is odd else table
+    for table, rows in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (odd, ODD)):
         prints = [(d, print_of(t)) for d, t in rows]
         links = [((a), (b)) for i, (a, x) in enumerate(prints) for b, y in prints[i + 1 :] if (x ^ y).bit_count() <= 4 and a is not None and b is not None]
         root = roots({d for d, _ in rows if d is not None}, links)
@@ -363,9 +452,9 @@ def test_simhash_links_are_complete(spark):
         x = rng.getrandbits(64)
         values |= {x} | {x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))) for _ in range(12)}
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    table = spark.createDataFrame([(v,) for v in signed], "fp long")
+    table = spark.createDataFrame([(v, v) for v in signed], "fp long, node long")
     truth = roots(signed, [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
-    for limit in (4096, 3):
+    for limit in (4096, 3, 1):
         got = roots(signed, [tuple(r) for r in simhash.links(table, limit=limit).collect()])
         assert got == truth
 
@@ -384,7 +473,11 @@ def test_near_copies_by_similarity(spark):
     links = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     want = roots(sets, links)
-    assert {r.doc_id: r.component_id for r in simhash.near_copies(table).where("doc_id is not null").collect()} == want
+    for block in (2048, 2):
+        assert {r.doc_id: r.component_id for r in simhash.near_copies(table, block=block).where("doc_id is not null").collect()} == want
+    nameless = spark.createDataFrame([(None, "one two three four five six"), (None, "one two three four five six"), (7, "other words here")], "doc_id long, text string")
+    for found in (simhash.near_copies(nameless), simhash.near_duplicates(nameless)):
+        assert sorted(((r.doc_id, r.component_id) for r in found.collect()), key=str) == [(7, 7), (None, None), (None, None)]
     kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, table, "").collect()]
     assert sorted(d for d in kept if d is not None) == sorted(set(want.values())) and kept.count(None) == 1
     assert simhash.near_copies(table.limit(0)).count() == 0
@@ -407,7 +500,7 @@ def luhn(d):
 def test_pii(spark):
     texts = ["card 4111 1111 1111 1111, again 4111-1111-1111-1111.", "no card 4111 1111 1111 1112", "ip 10.1.22.250 and 300.1.1.1", "born 1984-02-29 or 29.02.1984, not 1983-02-29", "ssn 123-45-6789 not 666-45-6789", "call +1 (555) 123-4567 or +1 555 123 4567", "mail Jo.Do-9@mail8.example.com, Jo.Do-9@mail8.example.com", "iban DE89 3704 0044 0532 0130 00", "plain 3.14 words a1b2c3 v1.2.3", None, "", "1/2/2001", "x4111111111111111x"]
     table = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_values int")
-    got = {r.doc_id: r for r in pii.pseudonymise(table).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(table, KEY).collect()}
     a, b = re.findall(r"\d[\d -]{18}", got[0].text)
     assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "4111111111111111" and luhn(re.sub(r"\D", "", a)) and a[0] == "4"
     assert got[1].text == texts[1] and got[8].text == texts[8] and got[9].text is None and got[10].text == "" and got[12].text == texts[12]
@@ -422,7 +515,7 @@ def test_pii(spark):
     iban = re.sub(r"\W", "", got[7].text.removeprefix("iban "))
     assert iban != "DE89370400440532013000" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert re.fullmatch(r"\d{1,2}/\d{1,2}/\d{4}", got[11].text) and got[11].text != "1/2/2001"
-    assert pii.pseudonymise(table.limit(0)).count() == 0
+    assert pii.pseudonymise(table.limit(0), KEY).count() == 0
 
 
 def test_pii_of_neighbours(spark):
@@ -434,7 +527,7 @@ def test_pii_of_neighbours(spark):
     ]
     alone = [phone, "190.137.223.204", "+44 20 7946 0958", card, "4111111111111111", "4111-1111-1111-1111", "5500 0000 0000 0004", "1983-02-28", "3782 822463 10005"]
     table = spark.createDataFrame(list(enumerate(rows + alone)), "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.pseudonymise(table).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(table, KEY).collect()}
     new = {a: got[len(rows) + k].text for k, a in enumerate(alone)}
     assert all(a != b for a, b in new.items())
     for k, text in enumerate(rows):
@@ -443,7 +536,7 @@ def test_pii_of_neighbours(spark):
             text = text.replace(a, new[a])
         assert (got[k].text, got[k].n_values) == (text, len(held))
     kept = ["4111 1111 1111 1112 123", "1234 5678 9012 3456 789", "+12 345"]
-    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(kept)), table.schema)).orderBy("doc_id").collect()
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(kept)), table.schema), KEY).orderBy("doc_id").collect()
     assert [(r.text, r.n_values) for r in out] == [(t, 0) for t in kept]
 
 
@@ -458,6 +551,168 @@ def test_pii_permutes(spark):
     assert mails.select(pii.pseudonym(F.col("m"), "k").alias("x")).distinct().count() == 26 * 26
 
 
+def prf(key, *parts):
+    inner = hashlib.sha256("|".join([f"i{key}", *parts]).encode()).hexdigest()
+    return int(hashlib.sha256((f"o{key}" + inner).encode()).hexdigest()[:15], 16)
+
+
+def feistel(a, b, size_a, size_b, kind, key):
+    for i in range(8):
+        if i % 2 == 0:
+            a = (a + prf(key, kind, str(i), str(b)) % size_a) % size_a
+        else:
+            b = (b + prf(key, kind, str(i), str(a)) % size_b) % size_b
+    return a, b
+
+
+def other_digits(d, kind, key):
+    u = len(d) // 2
+    a, b = feistel(int(d[:u]), int(d[u:]), 10**u, 10 ** (len(d) - u), f"{kind}{len(d)}", key)
+    return f"{a:0{u}}{b:0{len(d) - u}}"
+
+
+def shaped(old, digits):
+    it = iter(digits)
+    return "".join(next(it) if c in "0123456789" else c for c in old)
+
+
+def other_mail(x, key):
+    local, domain = x.split("@")
+    a, b = local[: len(local) // 2], local[len(local) // 2 :]
+
+    def moved(s, i, by):
+        h = hashlib.sha256("|".join([key, "email", str(i), by]).encode()).digest()
+        out = []
+        for k, c in enumerate(s):
+            low, n = ("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z" else ("0", 10) if "0" <= c <= "9" else (c, 1)
+            out.append(chr(ord(low) + (ord(c) - ord(low) + h[k % 32]) % n))
+        return "".join(out)
+
+    for i in range(8):
+        if i % 2 == 0:
+            a = moved(a, i, b)
+        else:
+            b = moved(b, i, a)
+    return f"{a}{b}@{domain}"
+
+
+def other_date(x, key):
+    from datetime import date, timedelta
+
+    def made(y, m, d):
+        try:
+            return date(y, m, d)
+        except ValueError:
+            return None
+
+    mark = next(c for c in x if not c.isdigit())
+    p = [int(v) for v in x.split(mark)]
+    american = mark != "-" and made(p[2], p[1], p[0]) is None
+    day = made(*p) if mark == "-" else made(p[2], p[0], p[1]) if american and mark == "/" else made(p[2], p[1], p[0])
+    if day is None or not 1900 <= day.year < 9800:
+        return None
+    start, n = date(1900, 1, 1), 270 * 270
+    block, inside = divmod((day - start).days, n)
+    a, b = feistel(inside // 270, inside % 270, 270, 270, f"date{block}", key)
+    new = start + timedelta(days=block * n + a * 270 + b)
+    if mark == "-":
+        return new.isoformat()
+    show = lambda v: f"{v:02}" if re.match(r"0\d|\d\d[./]0\d", x) else str(v)
+    d, m = show(new.day), show(new.month)
+    return mark.join([m, d, f"{new.year}"] if american else [d, m, f"{new.year}"])
+
+
+def other_value(x, key):
+    """The pseudonym of a matched value by plain Python; None if it isn't valid."""
+    import regex
+
+    whole = lambda p: regex.fullmatch(p, x, regex.A)
+    d = re.sub("[^0-9]", "", x)
+    if "@" in x:
+        return other_mail(x, key)
+    if whole(pii.IBAN):
+        plain = x.replace(" ", "")
+        mod = lambda s: int("".join(str(int(c, 36)) for c in s)) % 97
+        body = plain[4:]
+        if mod(body + plain[:4]) != 1 or not 6 <= len(re.sub("[^0-9]", "", body)) <= 30:
+            return None
+        new = shaped(body, other_digits(re.sub("[^0-9]", "", body), "iban", key))
+        return shaped(x, f"{98 - mod(new + plain[:2] + '00'):02}" + re.sub("[^0-9]", "", new))
+    if whole(pii.IPV4):
+        o = [int(v) for v in x.split(".")]
+        if max(o) > 255:
+            return None
+        a, b = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ipv4", key)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if whole(pii.DATE):
+        return other_date(x, key)
+    if whole(pii.SSN):
+        area, group, serial = (int(v) for v in x.split("-"))
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return None
+        a, b = feistel(area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "ssn", key)
+        return f"{a + 1 + (a >= 665):03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
+    if whole(pii.PHONE):
+        code = 0
+        if x[0] == "+":
+            m = re.match(r"\+(\d{1,3}?)(?=[ .(-])", x)
+            code = len(m[1]) if m else 1
+        if not (8 if x[0] == "+" else 10) <= len(d) <= 15 or len(d) - code < 6:
+            return None
+        return shaped(x, d[:code] + other_digits(d[code:], "phone", key))
+    if luhn(d) and len(set(d)) > 1:
+        new = d[0] + other_digits(d[1:-1], "card", key)
+        return shaped(x, new + next(c for c in "0123456789" if luhn(new + c)))
+    return None
+
+
+def other_text(text, key):
+    """A whole text by plain Python: the formats at each place, and cards that are valid somewhere in the text."""
+    import regex
+
+    start, end = r"(?<![\w.+]|(?<!\d)-)", r"(?!\w|-(?!\d)|\.\d)"
+    cards = set(regex.findall(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)", text, regex.A))
+    for n in range(13, 20):
+        for c in regex.findall(rf"{start}(?=(\d(?:[ -]?\d){{{n - 1}}}){end})", text, regex.A):
+            parts = re.split("[ -]", c)
+            if len(parts[0]) >= 4 and all(len(p) >= 4 for p in parts[1:-1]) and re.match(r"4|5[0-8]|2[2-7]|3[04-9]|6", c):
+                cards.add(c)
+    ok = sorted((c for c in cards if luhn(re.sub("[^0-9]", "", c)) and len(set(c) - set(" -")) > 1), key=lambda c: (-len(re.sub("[^0-9]", "", c)), c))
+    found = pii.FIXED + (f"|{start}(?:{'|'.join(map(regex.escape, ok))}){end}" if ok else "")
+    n = 0
+
+    def put(m):
+        nonlocal n
+        new = other_value(m[0], key)
+        n += new is not None
+        return m[0] if new is None else new
+
+    return regex.sub(found, put, text, flags=regex.A), n
+
+
+def test_pii_whole_texts(spark, docs):
+    """Every text against a Feistel network in plain Python; repeated rows are equal."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(d, t) for d, t in ODD] * 2
+    rows += [(9000, "t 4111 1111 1111 1111 and 4111-1111-1111-1111 a.b@c.de a@b@c.org " * 40), (9001, "2.3.2001 13/2/2001 02/13/2001 31.02.2001 1899-12-31 898-12-0001 899-99-9999 GB82 WEST 1234 5698 7654 32")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text, r.n_values) for r in pii.pseudonymise(table, KEY).collect()), key=str)
+    want = sorted(((d, *(other_text(t, KEY) if t else (t, 0))) for d, t in rows), key=str)
+    assert sum(n for *_, n in want) > 100
+    for g, w in zip(got, want, strict=True):
+        assert g == w
+
+
+def test_pii_of_unbroken_texts(spark):
+    """A megabyte without a break takes seconds, not minutes."""
+    import time
+
+    texts = ["a1" * 500_000, "1" * 1_000_000, "4 1 " * 250_000, "a@" * 400_000, "a." * 400_000 + "@b", "-" * 900_000 + "7", "+1-" * 300_000]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    began = time.time()
+    assert {r.doc_id: r.text for r in pii.pseudonymise(table, KEY).collect()} == dict(enumerate(texts))
+    assert time.time() - began < 60
+
+
 def test_pii_is_native(spark, small):
     plan = queries.op9_pii(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -493,7 +748,7 @@ def test_pipeline(spark, small, docs, tokenizer):
     lang = corpus_pipeline.language(spark, now, small)
     assert lang.columns == docs.columns and lang.count() > 0.9 * docs.count()
     unique = corpus_pipeline.near_dedup(spark, lang, small)
-    first = {r.component_id for r in simhash.near_duplicates(lang).collect()}
+    first = {r.component_id for r in simhash.near_copies(lang).collect()}
     assert {r.doc_id for r in unique.collect()} == first and unique.count() == len(first)
     clean = corpus_pipeline.decontaminate(spark, unique, small)
     dirty = {x[0] for x in leaks_truth([(r.doc_id, r.text) for r in unique.collect()], items) if x[-1]}
@@ -511,7 +766,8 @@ def test_pipeline_odd(spark, odd, small):
         for table in (now, now.limit(0)):
             out = stage(spark, table, small)
             assert name == "packing" or out.columns == odd.columns
-            out.count()
+            kept = out.where("score != 'extra' or n_words != 7").count() if name != "packing" else out.count()
+            assert name == "packing" or kept == 0  # the input's own values, though operators make columns of these names
         now = out if name == "packing" else stage(spark, now, small)
 
 
