@@ -7,15 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import decontam, langid, packing, pii, simhash
-from barloom.llm.common import bound_batches, staged, table
+from barloom.llm.common import bound_batches, removed, staged, table
 
 #: SQL cannot express compression or tokenizers; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
+#: Of the pseudonyms, for demonstration; give your own and keep it.
+KEY = "corpus-demonstration-key"
+
+
+def held(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns that an operator needs beside the whole row, so that none of its results replaces a column of docs."""
+    return docs.select(F.struct("*").alias("_row"), *[c for c in columns if c in docs.columns])
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language ID rejects: no letter, or no language clearly ahead of the others."""
-    return langid.classify(docs).where(~F.col("rejected")).select(docs.columns)
+    return langid.classify(held(docs, "doc_id", "text", "lang")).where(~F.col("rejected")).select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,19 +32,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near copies share 0.8 of their five-word shingles. Rows that repeat a kept doc_id are the same document and stay together.
     """
     found = simhash.near_copies(docs).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(found, docs.doc_id == F.col("_keep"), "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    kept = docs.join(found, docs["doc_id"] == found["_keep"], "left_semi")
+    return kept.unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of ten words of a benchmark item."""
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
+    return decontam.decontaminate(held(docs, "text"), table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select("_row.*")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal values by pseudonyms; n_chars follows the text."""
-    out = pii.pseudonymise(docs).select(docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    out = pii.pseudonymise(held(docs, "text"), KEY)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +59,8 @@ STAGES = [("language_id", language), ("simhash_near_dedup", near_dedup), ("decon
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        if k:
+            removed(before)
     return STAGES[-1][1](spark, docs, sf_dir)
