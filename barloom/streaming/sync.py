@@ -29,7 +29,7 @@ def sync(stream: DataFrame, target: str, alerts: str, checkpoint: str, context:
             known = new if there is None else _earlier(there, new, context).unionByName(new)
             found = quality.run(known.drop("year")).join(new.select(*KEYS), KEYS, "left_semi")
             found.write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
-            if _there(spark, f"{target}-progress/batch={batch_id}/_SUCCESS") is None:  # else this batch came before, and its rows are no longer new
+            if not _exists(spark, f"{target}-progress/batch={batch_id}/_SUCCESS"):  # else this batch came before, and its rows are no longer new
                 before = _there(spark, f"{target}-progress", PROGRESS)
                 last = spark.createDataFrame([], PROGRESS) if before is None else latest(before.where(F.col("batch") < batch_id), ["ts_code"], F.col("batch").desc()).drop("batch")
                 fresh = new if there is None else new.join(there.select(*KEYS), KEYS, "left_anti")
@@ -44,9 +44,13 @@ def sync(stream: DataFrame, target: str, alerts: str, checkpoint: str, context:
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+def _exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    if not _exists(spark, path):
         return None
     return spark.read.parquet(path) if schema is None else spark.read.schema(f"{schema}, batch int").parquet(path)
 
