@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontam, embed_dedup, langid, packing, pii, simhash, suffix_dedup, token_codes, token_count, toxicity
+from barloom.llm import align, decontam, embed_dedup, html_text, langid, packing, pii, simhash, suffix_dedup, token_codes, token_count, toxicity, variants
 from barloom.llm.common import fold_of, scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,6 +65,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, path, cache, limit=1024)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_embedding_near_dedup, op2_packing, op3_suffix_dedup, op4_toxicity, op5_decontamination, op6_token_codes, op7_language_id, op8_simhash, op9_pii, op10_token_counts, pipeline]
+    found = [op1_embedding_near_dedup, op2_packing, op3_suffix_dedup, op4_toxicity, op5_decontamination, op6_token_codes, op7_language_id, op8_simhash, op9_pii, op10_token_counts, op11_token_alignment, op12_spelling_variants, op13_html_text, pipeline]
     return {f.__name__: f for f in found}
 
 
