@@ -256,12 +256,15 @@ def main_text(page: str | None, model: Model) -> str:
 
 
 def gradient(page: str, model: Model) -> list[float]:
-    """Of the log-likelihood of a marked page's labels: what they show less what the model expects, for weights and edges."""
+    """Of the log-likelihood of a marked page's labels: what they show less what the model expects, for weights and edges.
+
+    Nodes in what is never content say nothing about their features: a menu's lists are no reason against an article's.
+    """
     out = [0.0] * (len(PRIOR) + len(EDGES))
     tree = parse(page, masked=hash_parity(page))
     odds, below, rest = messages(tree, model)
     for i, (kinds, label) in enumerate(zip(tree.kinds, tree.article)):
-        if not tree.never[i]:
+        if not tree.inside[i]:
             for k in kinds:
                 out[k] += label - _rate(odds[i])
         if i:
