@@ -230,19 +230,23 @@ def _rate(x: float) -> float:
 
 
 def messages(tree: Tree, model: Model) -> tuple[list[float], list[float], list[float]]:
-    """Log-odds of each node being content, given all; and what it holds from below alone, and its parent's without it."""
+    """Log-odds of each node being content, given all; and what it holds from below alone, and its parent's without it.
+
+    What is never content says nothing about its parent: articles hold adverts too.
+    """
     ends, begins, begins_inside = model.edges
     weights, parent, n = model.weights, tree.parent, len(tree.parent)
     below = [FIXED if never else sum([weights[k] for k in kinds]) for kinds, never in zip(tree.kinds, tree.never)]
     sent = [0.0] * n
     for i in range(n - 1, 0, -1):
         b = below[i]
-        sent[i] = _add(b, ends) - _add(b + (begins_inside if tree.inside[i] else begins), 0.0)
+        sent[i] = 0.0 if tree.never[i] else _add(b, ends) - _add(b + (begins_inside if tree.inside[i] else begins), 0.0)
         below[parent[i]] += sent[i]
     odds, rest = below[:], [0.0] * n
     for i in range(1, n):
         q = rest[i] = odds[parent[i]] - sent[i]
-        odds[i] = below[i] + _add(q, begins_inside if tree.inside[i] else begins) - _add(q + ends, 0.0)
+        if not tree.never[i]:
+            odds[i] = below[i] + _add(q, begins_inside if tree.inside[i] else begins) - _add(q + ends, 0.0)
     return odds, below, rest
 
 
@@ -267,7 +271,7 @@ def gradient(page: str, model: Model) -> list[float]:
         if not tree.inside[i]:
             for k in kinds:
                 out[k] += label - _rate(odds[i])
-        if i:
+        if i and not tree.never[i]:
             up, begin = tree.article[tree.parent[i]], 2 if tree.inside[i] else 1
             both = [0.0, below[i] + model.edges[begin], rest[i] + model.edges[0], below[i] + rest[i]]
             top = max(both)

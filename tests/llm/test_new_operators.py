@@ -246,7 +246,7 @@ def test_marginals_by_brute_force():
         score = sum(y * (html_text.FIXED if tree.never[i] else sum(model.weights[k] for k in tree.kinds[i])) for i, y in enumerate(labels))
         for i in range(1, len(odds)):
             up, y = labels[tree.parent[i]], labels[i]
-            score += ends * (up and not y) + (inside if tree.inside[i] else begins) * (y and not up)
+            score += 0 if tree.never[i] else ends * (up and not y) + (inside if tree.inside[i] else begins) * (y and not up)
         total += math.exp(score)
         on = [a + y * math.exp(score) for a, y in zip(on, labels)]
     assert all(abs(x / total - 1 / (1 + math.exp(-min(max(o, -700), 700)))) < 1e-9 for x, o in zip(on, odds))
