@@ -66,16 +66,44 @@ def write_new_partitions(df: DataFrame, path: str, column: str, existing: DataFr
     sized(rows, column).write.mode("append").option("compression", codec).partitionBy(column).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def touched_partitions(old: DataFrame, new: DataFrame, partition: str, most: int = 10_000) -> DataFrame:
+    """The rows of old in the partitions that new has rows in: a list of values in the plan, so other folders aren't read.
+
+    A table has few partition values (years); a batch that touches over `most` of them is met by a join, which reads all.
+    """
+    values = [r[0] for r in new.select(partition).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        return old.join(new.select(partition).distinct(), partition, "left_semi")
+    inside = F.col(partition).isin([v for v in values if v is not None])
+    return old.where(inside | F.col(partition).isNull() if None in values else inside)
+
+
 def write_incremental(spark: SparkSession, new: DataFrame, path: str, partition: str, keys: list[str]) -> None:
-    """Merges new rows into the partitions they touch; the last row of a key wins, other partitions aren't read.
+    """Merges new rows into the partitions they touch; the last row of a key wins, other partitions aren't read or written.
 
-    The merged rows are staged before they replace the old ones, since a folder can't be read while it is overwritten.
+    The merged rows are staged beside the table before they replace the old ones, since a folder can't be read while it is
+    overwritten; the staged folder goes when the new files have been committed. A table that isn't there yet is begun.
     """
+    if not exists(spark, path):
+        sized(keep_last([new], keys), partition).write.partitionBy(partition).parquet(path)
+        return
     old = spark.read.parquet(path)
-    touched = old.join(new.select(partition).distinct(), partition, "left_semi")
     staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
-    keep_last([touched, new.select(*old.columns)], keys).write.parquet(staged)
-    sized(spark.read.parquet(staged), partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    try:
+        keep_last([touched_partitions(old, new, partition), new.select(*old.columns)], keys).write.parquet(staged)
+        sized(spark.read.parquet(staged), partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    finally:
+        delete_path(spark, staged)
 
 
 def archive(df: DataFrame, path: str, today: str, years: int = 5, day: str = "trade_date") -> None:

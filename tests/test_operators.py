@@ -97,7 +97,23 @@ def test_stream_checks_see_earlier_rows(spark, tmp_path):
     for day, factor in ((2, 1.0), (3, 2.0)):
         spark.createDataFrame([("a", date(2024, 1, day), 1.0, 1.0, 1.0, 1.0, 10, 10.0, factor, False, 0.0)], schema).write.mode("append").parquet(src)
         sync.sync(spark.readStream.schema(schema).parquet(src), str(tmp_path / "out"), out, str(tmp_path / "cp")).awaitTermination()
-    assert [(r.alert_type, r.trade_date) for r in spark.read.parquet(out).collect()] == [("adj_factor_jump", date(2024, 1, 3))]
+    found = sorted((r.alert_type, r.trade_date, r.detail) for r in spark.read.parquet(out).collect())
+    assert found == [("adj_factor_jump", date(2024, 1, 3), "over 0.05"), ("factor_change", date(2024, 1, 3), "1.0")]
+
+
+def test_stream_state_counts_days_once(spark, tmp_path):
+    """Late days, days that come again, rows of one day in one batch, and rows without a key or a day."""
+    schema = "ts_code string, trade_date date, open double, high double, low double, close double, volume long, amount double, adj_factor double, is_suspend boolean, pct_chg double"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    row = lambda k, n, x: (k, None if n is None else date(2024, 1, 1) + timedelta(days=n), x, x, x, x, 10, 10 * x, 1.0, False, None)
+    batches = ([row("a", n, 1.0) for n in range(30)], [row("a", -40, 2.0), row("a", 5, 3.0), row("a", 5, 4.0), row("b", 7, 1.0)], [row(None, 1, 1.0), row("a", None, 1.0), row("a", 31, 5.0), row("a", -40, 9.0)])
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        sync.sync(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "alerts"), str(tmp_path / "cp"), context=3).awaitTermination()
+    assert {(r.ts_code, r.last_date, r.total_records) for r in sync.progress(spark, out).collect()} == {("a", date(2024, 2, 1), 32), ("b", date(2024, 1, 8), 1)}
+    got = {(r.ts_code, r.trade_date): r.close for r in sync.read_synced(spark, out).collect()}
+    assert len(got) == 33 and got["a", date(2024, 1, 6)] == 4.0 and got["a", date(2023, 11, 22)] == 9.0
+    assert sorted(x for x in __import__("os").listdir(tmp_path) if "staged" in x) == []
 
 
 def test_days_of_intervals(spark):

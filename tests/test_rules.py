@@ -84,6 +84,11 @@ def test_incremental_write_leaves_other_partitions(spark, tmp_path):
     for _ in range(2):
         storage.write_incremental(spark, new, path, "year", ["k", "year"])
     assert sorted((r.k, r.year, r.x) for r in spark.read.parquet(path).collect()) == [("a", 1, 9.0), ("b", 2, 2.0), ("c", 3, 3.0)]
+    touched = storage.touched_partitions(spark.read.parquet(path), new, "year")
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [year" in plan and sorted(r.year for r in touched.collect()) == [1, 3]
+    assert sorted(r.year for r in storage.touched_partitions(spark.read.parquet(path), new, "year", most=1).collect()) == [1, 3], "too many values: by a join"
+    assert [p.name for p in tmp_path.iterdir()] == ["t"], "nothing staged is left"
 
 
 def test_export_whitelist(spark, tmp_path):
