@@ -22,19 +22,57 @@ def join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right
     return out.select(*on, "_row.*", "_value.*")
 
 
+class Days:
+    """A list of days (t), small by nature, as one array for the whole plan, with the number of them at or before any day.
+
+    That number is a running count over the calendar between the first and the last of them, so making it costs a row for
+    each calendar day, however many days are asked about.
+    """
+
+    def __init__(self, dates: DataFrame):
+        asked = dates.select(F.col("t").cast("date").alias("t")).where("t is not null").distinct()
+        ends = asked.agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a is not null")
+        each = ends.select(F.explode(F.sequence("a", "b")).alias("day"), F.lit(0).alias("n")).unionByName(asked.select(F.col("t").alias("day"), F.lit(1).alias("n")))
+        counted = each.groupBy("day").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("day")))
+        rows = F.array_sort(F.collect_list(F.struct("day", F.col("upto").cast("int").alias("upto"), "n")))
+        known = counted.agg(rows.alias("rows")).select(F.transform(F.filter("rows", lambda r: r["n"] > 0), lambda r: r["day"]).alias("days"), F.transform("rows", lambda r: r["upto"]).alias("upto"))
+        self.known = known.select(F.struct("days", "upto").alias("x")).scalar()
+
+    def before(self, day: Column) -> Column:
+        """How many of the days lie at or before a day."""
+        since = F.datediff(day, F.get(self.known["days"], F.lit(0)))
+        n = F.get(self.known["upto"], F.least(since, F.size(self.known["upto"]) - 1))
+        return F.when(since < 0, 0).otherwise(F.coalesce(n, F.lit(0)))
+
+    def at(self, place: Column) -> Column:
+        return F.get(self.known["days"], place)
+
+    def some(self, start: Column, n: Column) -> Column:
+        return F.slice(self.known["days"], start + 1, F.greatest(n, F.lit(0)))
+
+
 def on_days(intervals: DataFrame, dates: DataFrame, first: Column, last: Column) -> DataFrame:
     """intervals once for each day t of dates from first to last, both inclusive; open where last is null, none where first is.
 
-    The days are gathered once in a sorted array, with a second one that says how many of them lie at or before each
-    calendar day between their ends. An interval finds its slice in them by arithmetic, so only rows that are returned are made.
+    An interval finds its slice of the days by arithmetic, so only rows that are returned are made.
+    """
+    days = Days(dates)
+    low, high = days.before(F.date_sub(first, 1)), days.before(F.coalesce(last, F.lit("9999-12-31").cast("date")))
+    return intervals.withColumn("t", F.explode(F.when(first.isNotNull(), days.some(low, high - low))))
+
+
+def count_active(intervals: DataFrame, dates: DataFrame, first: Column, last: Column) -> DataFrame:
+    """(t, n): how many intervals hold on each day of dates, by a sweep; days on which none does are left out.
+
+    An interval is two rows, +1 on its first day and -1 behind its last, which are summed by day before the running sum over
+    days. Where intervals of a key don't overlap, as versions of one don't, this is the number of distinct keys.
     """
-    days = dates.agg(F.array_sort(F.collect_set("t")).alias("days"))
-    each = F.transform(F.sequence(F.get("days", F.lit(0)), F.try_element_at("days", F.lit(-1))), lambda x: F.size(F.filter("days", lambda y: y <= x)))
-    known = days.select(F.struct("days", each.alias("upto")).alias("x")).scalar()
-    n, since = F.size(known["days"]), lambda x: F.datediff(x, F.get(known["days"], F.lit(0)))
-    before = lambda x: F.when(since(x) < 0, 0).when(since(x) >= F.size(known["upto"]), n).otherwise(F.get(known["upto"], since(x)))
-    low, high = before(F.date_sub(first, 1)), F.when(last.isNull(), n).otherwise(before(last))
-    return intervals.withColumn("t", F.explode(F.slice(known["days"], low + 1, F.greatest(high - low, F.lit(0)))))
+    held = intervals.where(first.isNotNull() & (last.isNull() | (last >= first)))
+    moves = held.select(F.explode(F.array(F.struct(first.alias("day"), F.lit(1).alias("n")), F.struct(F.date_add(last, 1).alias("day"), F.lit(-1).alias("n")))).alias("x")).select("x.*").where("day is not null")
+    asked = dates.select(F.col("t").cast("date").alias("day"), F.lit(0).alias("n"), F.lit(True).alias("asked")).where("day is not null")
+    by_day = moves.groupBy("day").agg(F.sum("n").alias("n")).withColumn("asked", F.lit(False)).unionByName(asked)
+    total = by_day.groupBy("day").agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked")).withColumn("n", F.sum("n").over(Window.orderBy("day")))
+    return total.where("asked and n > 0").select(F.col("day").alias("t"), "n")
 
 
 def active(versions: DataFrame, dates: DataFrame, day: str = "eff_date", key: str = "ts_code", until: str = "valid_to") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from barloom.operators import asof
+from barloom.operators import asof, storage
 from barloom.operators.storage import ready
 from barloom.operators.windows import latest, validity
 
@@ -98,3 +99,33 @@ def merged_payload(log: DataFrame, payload: str, added: Column) -> DataFrame:
     fields = F.coalesce(F.from_json(payload, "map<string,string>"), F.create_map().cast("map<string,string>"))
     old = F.map_filter(fields, lambda k, v: ~F.array_contains(F.map_keys(added), k))
     return log.withColumn("data", F.map_concat(old, added))
+
+
+def append_versions(spark: SparkSession, folder: str, new: DataFrame, keys: list[str], order: list[str], batch: int) -> None:
+    """Stores new rows as the next versions of their keys, with a row `store` for each in the changelog.
+
+    Log and changelog are written under the batch's id, and what other batches stored is all that counts before it, so a
+    batch that comes again replaces itself. Nothing stored is rewritten: a version is superseded by a later one when read.
+    """
+    stored = stored_versions(spark, folder, new.schema)
+    last = stored.where(F.col("batch") != batch).join(new.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.max("version").alias("_last"))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    numbered = new.withColumn("version", F.row_number().over(w).cast("long"))
+    rows = numbered.join(last, keys, "left").withColumn("version", F.col("version") + F.coalesce("_last", F.lit(0))).drop("_last")
+    rows.write.mode("overwrite").parquet(f"{folder}/log/batch={batch}")
+    written = spark.read.schema(rows.schema).parquet(f"{folder}/log/batch={batch}")
+    written.select(*keys, "version", F.lit("store").alias("action")).write.mode("overwrite").parquet(f"{folder}/changelog/batch={batch}")
+
+
+def stored_versions(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The log as stored, empty where nothing is; schema is that of the rows without version and batch."""
+    full = StructType([*schema.fields]).add("version", "long").add("batch", "integer")
+    if not storage.exists(spark, f"{folder}/log"):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(f"{folder}/log")
+
+
+def read_versions(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """The log with a status: the last version of a key is active, those before are superseded."""
+    last = F.max("version").over(Window.partitionBy(*keys))
+    return spark.read.parquet(f"{folder}/log").withColumn("status", F.when(F.col("version") == last, "active").otherwise("superseded"))

@@ -118,20 +118,49 @@ def cross_validate(a: DataFrame, b: DataFrame, tolerance: float = 0.005, column:
     return both.agg(F.count("*").alias("compared"), F.count_if(d > tolerance).alias("mismatches"), F.round(F.avg(F.when(d > tolerance, 1.0).otherwise(0.0)), 6).alias("share"), F.round(F.max(d), 6).alias("largest"))
 
 
-def completeness(bars: DataFrame, calendar: DataFrame, day: str = "trade_date") -> DataFrame:
-    """Trading days that each key misses between its first and last bar; the calendar is a row a day."""
-    span = bars.groupBy("ts_code").agg(F.min(day).alias("a"), F.max(day).alias("b"))
-    expected = asof.on_days(span, calendar.select(F.col("cal_date").alias("t")), F.col("a"), F.col("b")).select("ts_code", F.col("t").alias(day))
-    return expected.join(bars.select("ts_code", day), ["ts_code", day], "left_anti").groupBy("ts_code").agg(F.count("*").alias("missing"), F.min(day).alias("first_missing"))
+def _steps(bars: DataFrame, calendar: DataFrame, day: str) -> tuple[asof.Days, DataFrame]:
+    """Each key's days, once each, with the next one, and of the calendar's days between them the place of the first and their number."""
+    days = asof.Days(calendar.select(F.col("cal_date").alias("t")))
+    rows = bars.withColumn("_next", F.lead(day).over(by(day=day)))
+    start, end = days.before(F.col(day)), days.before(F.date_sub("_next", 1))
+    return days, rows.withColumns({"_start": start, "_n": F.when(F.col("_next").isNull(), 0).otherwise(F.greatest(end - start, F.lit(0)))})
+
+
+def completeness(bars: DataFrame, calendar: DataFrame, day: str = "trade_date", keys: DataFrame | None = None) -> DataFrame:
+    """Trading days that each key misses between its first and last bar; with keys also keys without any bar, which miss them all.
+
+    What lies between two bars is a difference of two counts of calendar days, so no row is made for a day, present or missing.
+    """
+    days, steps = _steps(bars, calendar, day)
+    each = steps.groupBy("ts_code").agg(F.sum("_n").alias("missing"), F.min(F.when(F.col("_n") > 0, F.col("_start"))).alias("_at")).where("missing > 0")
+    found = each.select("ts_code", "missing", days.at(F.col("_at")).alias("first_missing"))
+    if keys is None:
+        return found
+    none = keys.select("ts_code").distinct().join(bars.select("ts_code").distinct(), "ts_code", "left_anti")
+    return found.unionByName(none.select("ts_code", days.before(F.lit("9999-12-31").cast("date")).cast("long").alias("missing"), days.at(F.lit(0)).alias("first_missing")))
+
+
+def completeness_findings(bars: DataFrame, calendar: DataFrame, keys: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """ts_code, missing and severity: ERROR for a key without any bar, WARNING for over `most` missing days, else INFO."""
+    found = completeness(bars, calendar, keys=keys)
+    seen = bars.select("ts_code").distinct().withColumn("_seen", F.lit(True))
+    severity = F.when(F.col("missing") > most, "WARNING").otherwise("INFO")
+    if keys is not None:
+        found = found.join(seen, "ts_code", "left")
+        severity = F.when(F.col("_seen").isNull(), "ERROR").otherwise(severity)
+    return found.select("ts_code", "missing", severity.alias("severity"))
 
 
 def fill_missing(bars: DataFrame, calendar: DataFrame, day: str = "trade_date") -> DataFrame:
-    """Bars with a suspended row, at the last close, for each expected day that is missing after a key's first bar."""
-    span = bars.groupBy("ts_code").agg(F.min(day).alias("a"), F.max(day).alias("b"))
-    expected = asof.on_days(span, calendar.select(F.col("cal_date").alias("t")), F.col("a"), F.col("b")).select("ts_code", F.col("t").alias(day))
-    rows = expected.join(bars.select("ts_code", day, "close", "volume", "is_suspend"), ["ts_code", day], "full_outer")
-    w = by().rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("ts_code", day, F.last("close", True).over(w).alias("close"), F.coalesce("volume", F.lit(0)).alias("volume"), F.coalesce("is_suspend", F.lit(True)).alias("is_suspend"), F.col("close").isNull().alias("filled"))
+    """Bars with a suspended row, at the last close, for each calendar day that is missing between a key's bars.
+
+    Rows are made for missing days only. Bars on other days than the calendar's stay.
+    """
+    days, steps = _steps(bars, calendar, day)
+    carried = F.last("close", True).over(by(day=day).rowsBetween(Window.unboundedPreceding, 0))
+    rows = steps.select("ts_code", day, carried.alias("close"), F.coalesce("volume", F.lit(0)).alias("volume"), F.coalesce("is_suspend", F.lit(True)).alias("is_suspend"), F.col("close").isNull().alias("filled"), "_start", "_n")
+    made = rows.where("_n > 0").select("ts_code", F.explode(days.some(F.col("_start"), F.col("_n"))).alias(day), "close", F.lit(0).cast(rows.schema["volume"].dataType).alias("volume"), F.lit(True).alias("is_suspend"), F.lit(True).alias("filled"))
+    return rows.drop("_start", "_n").unionByName(made)
 
 
 def run(bars: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.merge import keep_last
@@ -126,6 +126,69 @@ def compact(spark: SparkSession, path: str, out: str, column: str, target_rows:
     sized(spark.read.parquet(path), column).write.mode("overwrite").option("maxRecordsPerFile", target_rows).option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).partitionBy(column).parquet(out)
 
 
+def listed(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(file, bytes, changed, part) of a partitioned table's files, from the listing alone: no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("changed"), F.regexp_extract("path", rf"/{column}=([^/]*)/", 1).alias("part"))
+
+
+def compaction_plan(files: DataFrame, cold: Column, least: int = 100 << 20, target: int = 256 << 20) -> DataFrame:
+    """(part, file, bin): files of cold partitions of at least `least` bytes, dealt to bins of about `target` bytes in name order.
+
+    A partition that already has as few files as bins is left out, so compacting twice touches nothing the second time.
+    """
+    by_part = Window.partitionBy("part")
+    sized_files = files.where(cold).withColumns({"_all": F.sum("bytes").over(by_part), "_n": F.count("*").over(by_part), "_end": F.sum("bytes").over(by_part.orderBy("file"))})
+    binned = sized_files.where(F.col("_all") >= least).withColumn("bin", F.floor((F.col("_end") - 1) / target))
+    return binned.where(F.col("_n") > F.ceil(F.col("_all") / target)).select("part", "file", "bin")
+
+
+def compact_cold(spark: SparkSession, path: str, column: str, cold: Column, least: int = 100 << 20, target: int = 256 << 20, level: int = 9) -> list[str]:
+    """Rewrites the files of large cold partitions, those of a bin as one, at a higher zstd level; gives those partitions.
+
+    cold is a condition on `part`, a partition's value as text. The rows are staged, and replace the old files when Spark
+    commits those partitions; all other files keep their names and times. Partitions are few (years), so their list fits
+    the driver.
+    """
+    plan = compaction_plan(listed(spark, path, column), cold, least, target)
+    parts = sorted(r[0] for r in plan.select("part").distinct().collect())
+    if not parts:
+        return []
+    rows = spark.read.parquet(path).where(F.col(column).cast("string").isin(parts)).withColumn("_file", F.col("_metadata.file_path"))
+    name = lambda c: F.regexp_extract(c, "([^/]+/[^/]+)$", 1)
+    bins = plan.select(name("file").alias("_name"), "bin")
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    try:
+        rows.withColumn("_name", name("_file")).join(F.broadcast(bins), "_name").drop("_name", "_file").write.parquet(staged)
+        packed = spark.read.parquet(staged)
+        writer = packed.repartition(F.col(column), F.col("bin")).drop("bin").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).partitionBy(column).parquet(path)
+    finally:
+        delete_path(spark, staged)
+    return parts
+
+
+def write_layer(df: DataFrame, root: str, layer: str, key: str = "ts_code", day: str = "trade_date", keys: int = 100_000, page_rows: int = 20_000) -> None:
+    """Replaces one layer of a table of layers: files of ranges of keys, sorted by key and day, with a bloom filter of the key.
+
+    keys is about how many there are: it sizes the filters. A page, the least that a scan reads, has page_rows rows at most.
+    """
+    writer = df.withColumn("layer", F.lit(layer)).repartitionByRange(key, day).sortWithinPartitions(key, day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("compression", "zstd").option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", keys).option("parquet.page.row.count.limit", page_rows).partitionBy("layer").parquet(root)
+
+
+def read_layer(spark: SparkSession, root: str, layer: str, keys: list[str] | None = None, first: str | None = None, last: str | None = None, key: str = "ts_code", day: str = "trade_date") -> DataFrame:
+    """A layer's rows of the keys (all without a list) and days: other layers' folders aren't listed, other keys' row groups and pages not read."""
+    rows = spark.read.parquet(root).where(F.col("layer") == layer)
+    if keys is not None:
+        rows = rows.where(F.col(key).isin(list(keys)))
+    if first is not None:
+        rows = rows.where(F.col(day) >= F.lit(first).cast("date"))
+    if last is not None:
+        rows = rows.where(F.col(day) <= F.lit(last).cast("date"))
+    return rows.drop("layer")
+
+
 def snapshot_upsert(master: DataFrame, snapshot: DataFrame, day: Column) -> DataFrame:
     """The master with the given day's snapshot in place of that day's rows; other days stay."""
     new = snapshot.withColumn("eff_date", day).select(*master.columns)

@@ -39,11 +39,28 @@ BAR = "ts_code, trade_date, open, high, low, close, volume"
 bar = BAR.split(", ")
 
 plain("S-01", "bars", "bars", "SELECT ts_code, trade_date, close, volume FROM bars", lambda b: b.select("ts_code", "trade_date", "close", "volume"))
-plain("S-02", "bars", "bars", f"SELECT {BAR} FROM bars WHERE ts_code IN ('600000.SH', '688001.SH', '000002.SZ') AND trade_date BETWEEN '1997-01-01' AND '1998-12-31'", lambda b: b.where(F.col("ts_code").isin("600000.SH", "688001.SH", "000002.SZ") & F.col("trade_date").between("1997-01-01", "1998-12-31")).select(bar))
 plain("S-05", "bars", "bars", "SELECT ts_code, trade_date, CASE WHEN 2001 - year(trade_date) <= 2 THEN 'hot' WHEN 2001 - year(trade_date) <= 5 THEN 'warm' ELSE 'cold' END AS tier FROM bars", lambda b: b.select("ts_code", "trade_date", merge.tier(F.col("trade_date"), "2001-06-01").alias("tier")))
 plain("S-10", "bars", "bars", "SELECT ts_code, count(*) AS n, min(trade_date) AS first_day, max(trade_date) AS last_day FROM bars GROUP BY ts_code", lambda b: b.groupBy("ts_code").agg(F.count("*").alias("n"), F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day")))
 
 
+def layered(spark: SparkSession, sf_dir: str) -> str:
+    """A table of two layers: raw bars, and bars adjusted by their factor."""
+    root, b = storage.shared_folder(spark, "layers"), d.bars(spark, sf_dir).select(*bar, "adj_factor")
+    storage.write_layer(b.drop("adj_factor"), root, "raw")
+    storage.write_layer(b.withColumns({c: F.col(c) * F.col("adj_factor") for c in ("open", "high", "low", "close")}).drop("adj_factor"), root, "adjusted")
+    return root
+
+
+@query("S-02", "bars", f"SELECT {BAR} FROM bars WHERE ts_code IN ('600000.SH', '688001.SH', '000002.SZ') AND trade_date BETWEEN '1997-01-01' AND '1998-12-31'")
+def layer_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.read_layer(spark, layered(spark, sf_dir), "raw", ["600000.SH", "688001.SH", "000002.SZ"], "1997-01-01", "1998-12-31").select(bar)
+
+
+@query("S-02-adjusted", "bars", "SELECT ts_code, trade_date, round(close * adj_factor, 6) AS close FROM bars WHERE ts_code LIKE '688%' AND trade_date >= '1998-01-01'")
+def adjusted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.read_layer(spark, layered(spark, sf_dir), "adjusted", first="1998-01-01").where(F.startswith("ts_code", F.lit("688"))).select("ts_code", "trade_date", r6("close"))
+
+
 @query("S-03", "bars", "SELECT ts_code, trade_date, close FROM bars WHERE trade_date BETWEEN '1997-03-01' AND '1998-02-28'")
 def year_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.shared_folder(spark, "bars-by-year")
@@ -96,6 +113,10 @@ plain("P-24", "history", "history", "SELECT ts_code, eff_date FROM history WHERE
 plain("P-18", "calendar", "calendar", "SELECT cal_date FROM calendar WHERE is_trading_day AND cal_date BETWEEN '1998-01-01' AND '1998-12-31'", lambda c: c.where(F.col("is_trading_day") & F.col("cal_date").between("1998-01-01", "1998-12-31")).select("cal_date"))
 
 
+def universe_sizes(spark, sf_dir):
+    return asof.count_active(windows.validity(d.history(spark, sf_dir)), d.dates(spark, sf_dir), F.col("eff_date"), F.date_sub("valid_to", 1))
+
+
 @query("J-05", "history dates", "SELECT t, ts_code, eff_date, status FROM (SELECT *, lead(eff_date) OVER (PARTITION BY ts_code ORDER BY eff_date) AS n FROM history) JOIN dates ON eff_date <= t AND (n IS NULL OR t < n)")
 def active_versions(spark, sf_dir):
     return asof.active(windows.validity(d.history(spark, sf_dir)), d.dates(spark, sf_dir)).select("t", "ts_code", "eff_date", "status")
@@ -142,7 +163,7 @@ plain("A-08", "history", "history", "SELECT ts_code, count(*) AS n, string_agg(s
 plain("A-09", "history", "history", "SELECT board, status, count(*) AS n FROM history GROUP BY 1, 2", lambda h: h.groupBy("board", "status").agg(F.count("*").alias("n")))
 plain("A-12", "fundamentals", "fundamentals", "SELECT 'roe' AS field, count(*) FILTER (roe IS NULL) AS nulls FROM fundamentals UNION ALL SELECT 'revenue', count(*) FILTER (revenue IS NULL) FROM fundamentals", lambda f: f.agg(F.count_if(F.col("roe").isNull()).alias("roe"), F.count_if(F.col("revenue").isNull()).alias("revenue")).unpivot([], ["roe", "revenue"], "field", "nulls"))
 plain("A-17", "bars", "bars", "SELECT count(*) AS n, count(DISTINCT ts_code) AS keys, min(trade_date) AS first_day, max(trade_date) AS last_day FROM bars", lambda b: b.agg(F.count("*").alias("n"), F.countDistinct("ts_code").alias("keys"), F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day")))
-query("A-04", "history dates", "SELECT t, count(DISTINCT ts_code) AS n FROM (SELECT *, lead(eff_date) OVER (PARTITION BY ts_code ORDER BY eff_date) AS n FROM history) JOIN dates ON eff_date <= t AND (n IS NULL OR t < n) GROUP BY t")(lambda spark, sf_dir: active_versions(spark, sf_dir).groupBy("t").agg(F.countDistinct("ts_code").alias("n")))
+query("A-04", "history dates", "SELECT t, count(DISTINCT ts_code) AS n FROM (SELECT *, lead(eff_date) OVER (PARTITION BY ts_code ORDER BY eff_date) AS n FROM history) JOIN dates ON eff_date <= t AND (n IS NULL OR t < n) GROUP BY t")(lambda spark, sf_dir: universe_sizes(spark, sf_dir))
 
 RETURNS = "SELECT ts_code, trade_date, ret_5, ret_20 FROM (SELECT ts_code, trade_date, row_number() OVER w AS rn, round(exp(sum(ln(1 + pct_chg / 100)) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS 4 PRECEDING)) - 1, 4) AS ret_5, round(exp(sum(ln(1 + pct_chg / 100)) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS 19 PRECEDING)) - 1, 4) AS ret_20 FROM bars WHERE volume > 0 AND pct_chg > -100 WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date)) WHERE rn >= 20"
 plain("W-01", "bars", "bars", RETURNS, lambda b: windows.rolling_return(b, (5, 20)))
@@ -171,6 +192,19 @@ def with_holidays(spark, sf_dir):
     return calendar.build(bounds, closed).select("cal_date", "is_trading_day")
 
 
+#: Derived days are moved by a whole number of years, into the ones whose closures are known.
+YEARS_ON = 26
+CLOSED = ", ".join(f"('{a}', '{b}')" for a, b in calendar.closures())
+
+
+@query("D-01-exchange", "bars", f"SELECT cal_date, dayofweek(cal_date) BETWEEN 1 AND 5 AND NOT EXISTS (SELECT 1 FROM (VALUES {CLOSED}) c(a, b) WHERE cal_date BETWEEN a::DATE AND b::DATE) AS is_trading_day FROM (SELECT unnest(generate_series((min(l_shipdate)::DATE + INTERVAL {YEARS_ON} YEAR)::TIMESTAMP, (max(l_shipdate)::DATE + INTERVAL {YEARS_ON} YEAR)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS cal_date FROM lineitem)")
+def exchange_days(spark, sf_dir):
+    """The exchange's own calendar, over the ship dates moved into its years."""
+    moved = lambda f: F.to_date(F.add_months(F.to_date(f("l_shipdate")), 12 * YEARS_ON))
+    bounds = d.read(spark, sf_dir, "lineitem").agg(moved(F.min).alias("a"), moved(F.max).alias("b"))
+    return calendar.build(bounds, calendar.exchange_holidays(spark)).select("cal_date", "is_trading_day")
+
+
 plain("D-02", "calendar", "calendar", "SELECT c.cal_date, (SELECT max(x.cal_date) FROM calendar x WHERE x.is_trading_day AND x.cal_date < c.cal_date) AS prev_trade_date, (SELECT min(x.cal_date) FROM calendar x WHERE x.is_trading_day AND x.cal_date > c.cal_date) AS next_trade_date FROM calendar c", lambda c: calendar.neighbours(c).select("cal_date", "prev_trade_date", "next_trade_date"))
 plain("D-05", "calendar", "calendar", "SELECT max(cal_date) AS cal_date FROM calendar WHERE is_trading_day GROUP BY date_trunc('month', cal_date)", lambda c: calendar.rebalance_days(c))
 
@@ -194,9 +228,26 @@ def pit_factors(spark, sf_dir):
 EVENTS = "SELECT event_id, user_id, event_type, row_number() OVER w AS version, CASE WHEN lead(event_id) OVER w IS NULL THEN 'active' ELSE 'superseded' END AS status FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)"
 
 
+#: Of the second of three appends, the second one repeated.
+APPENDS = ("ts < TIMESTAMP '2024-01-10'", "ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'", "ts >= TIMESTAMP '2024-01-20'")
+
+
+def appended(spark, sf_dir) -> str:
+    """Events stored as versions in three batches, of which the second comes twice; the folder."""
+    folder, events = storage.shared_folder(spark, "versions"), d.read(spark, sf_dir, "events")
+    for k in (0, 1, 1, 2):
+        pit.append_versions(spark, folder, events.where(APPENDS[k]), ["user_id", "event_type"], ["ts", "event_id"], k)
+    return folder
+
+
 @query("M-12", "dates", EVENTS)
 def versions(spark, sf_dir):
-    return pit.number_versions(d.read(spark, sf_dir, "events"), ["user_id", "event_type"], "ts").select("event_id", "user_id", "event_type", "version", "status")
+    return pit.read_versions(spark, appended(spark, sf_dir), ["user_id", "event_type"]).select("event_id", "user_id", "event_type", "version", "status")
+
+
+@query("M-12-changelog", "dates", f"SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS version, 'store' AS action, CASE WHEN {APPENDS[0]} THEN 0 WHEN {APPENDS[1]} THEN 1 ELSE 2 END AS batch FROM events")
+def changes(spark, sf_dir):
+    return spark.read.parquet(f"{appended(spark, sf_dir)}/changelog").select("user_id", "event_type", "version", "action", "batch")
 
 
 @query("M-13", "dates", "SELECT event_id, user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -265,7 +316,7 @@ def fourteen(spark, sf_dir, **limits):
     raw = f.unionByName(f.where("volume % 29 = 0"))
     adjusted = f.where("volume % 31 != 0").withColumn("close", F.col("close") * F.col("adj_factor") * F.when(F.col("volume") % 13 == 0, 1.05).otherwise(1.0))
     gone = raw.groupBy("ts_code").agg(F.date_sub(F.max("trade_date"), 10).alias("delist_date"))
-    listed = active_versions(spark, sf_dir).groupBy("t").agg(F.countDistinct("ts_code").alias("n"))
+    listed = universe_sizes(spark, sf_dir)
     return quality.summary(acceptance.data_quality(raw, adjusted, gone, backwards(d.membership(spark, sf_dir)), listed, universe=(100, 1200), **limits))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import acceptance, quality
-from barloom.plans.catalog import FLAWED, PRICES, active_versions, flawed, plain, query, r6
+from barloom.plans.catalog import FLAWED, PRICES, flawed, plain, query, r6, universe_sizes
 from barloom.plans.lifetimes import ACTIVE, ENDS, ends
 from barloom.plans.rule_tables import BOARD
 from barloom.sources import derived as d
@@ -29,7 +29,7 @@ plain("DQ-13", "bars", "bars", "SELECT ts_code, trade_date FROM bars WHERE volum
 
 @query("DQ-10", "history dates", f"WITH {ACTIVE} SELECT t, n FROM (SELECT t, count(DISTINCT ts_code) AS n FROM act GROUP BY t) WHERE n NOT BETWEEN 100 AND 1200")
 def suspicious_universe(spark, sf_dir):
-    return acceptance.universe_size(active_versions(spark, sf_dir).groupBy("t").agg(F.countDistinct("ts_code").alias("n")), 100, 1200)
+    return acceptance.universe_size(universe_sizes(spark, sf_dir), 100, 1200)
 
 
 plain("DQ-11", "bars", "bars", "SELECT ts_code, count(*) AS n_a, count(*) FILTER (volume % 17 <> 0) AS n_b FROM bars GROUP BY ts_code HAVING count(*) FILTER (volume % 17 = 0) > 0", lambda b: acceptance.row_counts(b, adjusted(b)))
@@ -45,11 +45,17 @@ def quiet(b):
 plain("DQ-17", "bars", "bars", f"WITH {QUIET} {VOLUME}", lambda b: acceptance.volume_logic(quiet(b)))
 
 
-@query("DQ-18", "bars", "SELECT s.ts_code, count(*) AS missing, CASE WHEN count(*) > 5 THEN 'WARNING' ELSE 'INFO' END AS severity FROM (SELECT ts_code, min(trade_date) a, max(trade_date) b FROM bars GROUP BY ts_code) s JOIN (SELECT DISTINCT trade_date AS w FROM bars) g ON g.w BETWEEN a AND b ANTI JOIN bars x ON x.ts_code = s.ts_code AND x.trade_date = g.w GROUP BY s.ts_code")
+#: Every seventh code has no bars at all; all codes are asked about.
+SPARSE = "sparse AS (SELECT * FROM bars WHERE substr(ts_code, 4, 3)::INT % 7 <> 0)"
+
+
+@query("DQ-18", "bars", f"""WITH {SPARSE}, cal AS (SELECT DISTINCT trade_date AS w FROM bars) SELECT s.ts_code, count(*) AS missing, CASE WHEN count(*) > 5 THEN 'WARNING' ELSE 'INFO' END AS severity
+  FROM (SELECT ts_code, min(trade_date) a, max(trade_date) b FROM sparse GROUP BY ts_code) s JOIN cal g ON g.w BETWEEN a AND b ANTI JOIN sparse x ON x.ts_code = s.ts_code AND x.trade_date = g.w GROUP BY s.ts_code
+  UNION ALL SELECT ts_code, (SELECT count(*) FROM cal), 'ERROR' FROM (SELECT DISTINCT ts_code FROM bars) ANTI JOIN (SELECT DISTINCT ts_code FROM sparse) USING (ts_code)""")
 def complete(spark, sf_dir):
     b = d.bars(spark, sf_dir)
-    found = quality.completeness(b, b.select(F.col("trade_date").alias("cal_date")).distinct())
-    return found.select("ts_code", "missing", F.when(F.col("missing") > 5, "WARNING").otherwise("INFO").alias("severity"))
+    sparse = b.where(F.substring("ts_code", 4, 3).cast("int") % 7 != 0)
+    return quality.completeness_findings(sparse, b.select(F.col("trade_date").alias("cal_date")).distinct(), keys=b)
 
 
 FULL = f"""found AS (SELECT split_part(x, ':', 2) AS severity FROM ({PRICES}) UNION ALL SELECT severity FROM ({VOLUME})
@@ -75,7 +81,15 @@ def metric_ranges(spark, sf_dir):
 
 plain("DQ-30", "bars", "bars", "SELECT kind, count(*) AS n, count(*) FILTER (CASE WHEN kind = 'position' THEN v < 0 ELSE v <= 0 END) AS bad FROM (SELECT ['position', 'trade', 'equity'][volume % 3 + 1] AS kind, pct_chg AS v FROM bars) GROUP BY kind", lambda b: acceptance.backtest_output(b.select(F.get(F.array(*map(F.lit, ("position", "trade", "equity"))), (F.col("volume") % 3).cast("int")).alias("kind"), F.col("pct_chg").alias("value"))))
 plain("DQ-32", "bars", "bars", "SELECT count(*) AS total, count(DISTINCT ts_code) AS keys, count(*) FILTER (abs(pct_chg) > 60) AS anomalies, round(1 - count(*) FILTER (abs(pct_chg) > 60) / nullif(count(*), 0), 6) AS score FROM bars", lambda b: b.agg(F.count("*").alias("total"), F.countDistinct("ts_code").alias("keys"), F.count_if(F.abs("pct_chg") > 60).alias("anomalies"), F.round(1 - F.try_divide(F.count_if(F.abs("pct_chg") > 60), F.count("*")), 6).alias("score")))
-plain("DQ-33", "bars", "bars", "SELECT 'close_out_of_range' AS alert_type, 'ERROR' AS severity, ts_code, trade_date FROM bars WHERE NOT close BETWEEN 1000 AND 1800", lambda b: acceptance.acceptance(b, 1000.0, 1800.0))
+#: Factors and changes of some rows made wrong, by the volume, so that each rule fires.
+MISSTATED = "misstated AS (SELECT * REPLACE (CASE WHEN volume % 19 = 0 THEN adj_factor * 0.5 ELSE adj_factor END AS adj_factor, CASE WHEN volume % 23 = 0 THEN pct_chg + 1 ELSE pct_chg END AS pct_chg) FROM bars)"
+
+
+def misstated(b):
+    return b.withColumns({"adj_factor": F.col("adj_factor") * F.when(F.col("volume") % 19 == 0, 0.5).otherwise(1.0), "pct_chg": F.col("pct_chg") + F.when(F.col("volume") % 23 == 0, 1.0).otherwise(0.0)})
+
+
+plain("DQ-33", "bars", "bars", f"WITH {MISSTATED} SELECT 'close_out_of_range' AS alert_type, 'ERROR' AS severity, ts_code, trade_date FROM misstated WHERE NOT close BETWEEN 1000 AND 1800 UNION ALL SELECT 'factor_falls', 'WARNING', ts_code, trade_date FROM (SELECT *, lag(adj_factor) OVER w AS f FROM misstated {W}) WHERE adj_factor < f UNION ALL SELECT 'pct_chg_identity', 'ERROR', ts_code, trade_date FROM misstated WHERE abs(pct_chg - (close / pre_close - 1) * 100) > 0.01", lambda b: acceptance.acceptance(misstated(b), 1000.0, 1800.0))
 plain("DQ-33-swing", "bars", "bars", "SELECT * FROM (SELECT month, n, round(abs(n / lag(n) OVER (ORDER BY month) - 1), 6) AS swing FROM (SELECT date_trunc('month', trade_date)::DATE AS month, count(DISTINCT ts_code) AS n FROM bars GROUP BY 1)) WHERE swing > 0.005", lambda b: acceptance.key_count_swing(b, 0.005).withColumn("swing", F.round("swing", 6)))
 plain("X-02", "bars", "bars", f"SELECT 'over_limit' AS alert_type, count(*) AS n, count(DISTINCT ts_code) AS keys FROM bars WHERE abs(pct_chg) > {OVER} + 1 HAVING count(*) > 0 UNION ALL SELECT 'pct_chg_extreme', count(*), count(DISTINCT ts_code) FROM bars WHERE abs(pct_chg) > 60 HAVING count(*) > 0", lambda b: quality.summary(quality.run(b, ["over_limit", "pct_chg_extreme"])))
 plain("DQ-33-factor", "bars", "bars", "SELECT ts_code, max(trade_date) AS trade_date, round(arg_max(adj_factor, trade_date), 6) AS adj_factor FROM bars GROUP BY ts_code HAVING abs(arg_max(adj_factor, trade_date) - 1) > 1e-6", lambda b: acceptance.latest_factor(b).select(*KEYS, r6("adj_factor")))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.operators import asof, lifetimes, merge, windows
+from barloom.operators import asof, lifetimes, merge, storage, windows
 from barloom.plans.catalog import at, bar, plain, query, r6
 from barloom.plans.lifetimes import ENDS, KEY, LATEST, LOG, ends, last_versions, log
+from barloom.sources import adapters, fields
 from barloom.sources import derived as d
-from barloom.sources import fields
 from barloom.sources.derived import read
 
 KEYS = ["ts_code", "trade_date"]
@@ -92,13 +94,29 @@ plain("U-04", "bars", "bars", "SELECT ts_code, trade_date FROM bars EXCEPT SELEC
 plain("U-05", "bars", "bars", "SELECT ts_code, len(list_intersect(list_distinct(string_split(ts_code, '')), list_distinct(string_split('600010.SZ', ''))))::BIGINT AS shared, len(list_distinct(list_concat(string_split(ts_code, ''), string_split('600010.SZ', ''))))::BIGINT AS together FROM (SELECT DISTINCT ts_code FROM bars)", lambda b: b.select("ts_code").distinct().select("ts_code", F.size(F.array_intersect(F.split("ts_code", ""), F.split(F.lit("600010.SZ"), ""))).cast("long").alias("shared"), F.size(F.array_union(F.split("ts_code", ""), F.split(F.lit("600010.SZ"), ""))).cast("long").alias("together")))
 
 
+def stored_bars(path: str, prefix: str):
+    """fetch of a vendor who knows the codes of a prefix, served from Parquet files."""
+
+    def fetch(first, last):
+        import pyarrow.compute as pc
+        import pyarrow.dataset as ds
+
+        day = ds.field("trade_date")
+        known = (day >= first) & (day <= last) & pc.starts_with(ds.field("ts_code"), prefix)
+        yield from ds.dataset(path.removeprefix("file:"), format="parquet").to_batches(columns=[*KEYS, "close"], filter=known)
+
+    return fetch
+
+
 @query("X-03", "bars", "SELECT ts_code, trade_date, close, CASE WHEN ts_code LIKE '6%' THEN 0 ELSE 1 END AS priority FROM bars WHERE trade_date BETWEEN '1997-01-01' AND '1997-12-31'")
-def adapters(spark, sf_dir):
-    """A source is any function of a range of days that returns bars; the first one that knows a code serves it."""
-    b = d.bars(spark, sf_dir).select(*KEYS, "close")
-    between = lambda rows: lambda first, last: rows.where(F.col("trade_date").between(at(first), at(last)))
-    sources = [between(b.where(F.startswith("ts_code", F.lit("6")))), between(b)]
-    return merge.first_source([fetch("1997-01-01", "1997-12-31") for fetch in sources], "ts_code")
+def sources_in_order(spark, sf_dir):
+    """Two registered sources; the first one that knows a code serves it, and both are asked for the range only."""
+    path = storage.shared_folder(spark, "vendor")
+    d.bars(spark, sf_dir).select(*KEYS, "close").write.parquet(path)
+    for name, prefix in (("barloom_main", "6"), ("barloom_all", "")):
+        adapters.register(spark, name, stored_bars(path, prefix), "ts_code string, trade_date date, close double", date(1990, 1, 1), date(2030, 12, 31))
+    asked = [spark.read.format(name).load().where(F.col("trade_date").between(at("1997-01-01"), at("1997-12-31"))) for name in ("barloom_main", "barloom_all")]
+    return merge.first_source(asked, "ts_code")
 
 
 @query("X-04", "bars", "SELECT ts_code, count(*) AS n FROM bars WHERE volume > 50 GROUP BY ts_code")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.operators import merge, quality, storage, windows
@@ -48,10 +49,21 @@ def archived(spark, sf_dir):
 
 @query("S-11", "bars", YEARLY)
 def compacted(spark, sf_dir):
-    path, out = storage.shared_folder(spark, "loose"), storage.shared_folder(spark, "compact")
-    yearly(d.bars(spark, sf_dir)).repartition("year").write.partitionBy("year").parquet(path)
-    storage.compact(spark, path, out, "year")
-    return spark.read.parquet(out).select("ts_code", "trade_date", "close", F.col("year").cast("long").alias("year"))
+    """Years up to 1996 are cold; each has five files, which become one."""
+    path = storage.shared_folder(spark, "loose")
+    yearly(d.bars(spark, sf_dir)).repartition(5).write.partitionBy("year").parquet(path)
+    storage.compact_cold(spark, path, "year", F.col("part").cast("int") <= 1996, least=1000)
+    return spark.read.parquet(path).select("ts_code", "trade_date", "close", F.col("year").cast("long").alias("year"))
+
+
+@query("S-11-files", "bars", "SELECT year(trade_date)::VARCHAR AS part, CASE WHEN year(trade_date) <= 1996 THEN 1 ELSE least(count(*), 5) END AS files FROM bars GROUP BY 1, year(trade_date)")
+def compacted_files(spark, sf_dir):
+    path = storage.shared_folder(spark, "loose")
+    rows = yearly(d.bars(spark, sf_dir)).withColumn("_deal", F.row_number().over(Window.partitionBy("year").orderBy("ts_code", "trade_date")) % 5)
+    for k in range(5):
+        rows.where(F.col("_deal") == k).drop("_deal").repartition(1, "year").write.mode("append").partitionBy("year").parquet(path)
+    storage.compact_cold(spark, path, "year", F.col("part").cast("int") <= 1996, least=1)
+    return storage.listed(spark, path, "year").groupBy("part").agg(F.count("*").alias("files"))
 
 
 @query("S-12-range", "bars", "SELECT ts_code, trade_date, close FROM bars WHERE NOT year(trade_date) = 1998 OR volume % 2 = 0 OR trade_date < (SELECT min(x.trade_date) FROM bars x WHERE x.ts_code = bars.ts_code AND year(x.trade_date) = 1998 AND x.volume % 2 = 0) OR trade_date > (SELECT max(x.trade_date) FROM bars x WHERE x.ts_code = bars.ts_code AND year(x.trade_date) = 1998 AND x.volume % 2 = 0)")

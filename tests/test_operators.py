@@ -140,3 +140,44 @@ def test_long_chains_of_codes(spark):
     assert ends(pit.resolve_codes(edges, F.lit(49))) == {f"a{k}": "a50" for k in range(50)} | {"b0": "b1"}
     with pytest.raises(ValueError):
         pit.resolve_codes(edges.union(spark.createDataFrame([("a100", "a0", 1)], edges.schema)))
+
+
+def test_counts_by_sweep_and_missing_days(spark):
+    """Against comparisons of each interval with each day; the plans make no row for a day that is present."""
+    import random
+
+    rng, start = random.Random(9), date(2020, 1, 1)
+    day = lambda n: start + timedelta(days=n)
+    spans = [(f"k{i}", day(a := rng.randint(-30, 200)), day(a + rng.randint(-3, 90)) if rng.random() < 0.8 else None) for i in range(80)] + [("none", None, day(5))]
+    asked = [day(n) for n in rng.sample(range(-10, 260), 60)]
+    t, dates = spark.createDataFrame(spans, "k string, a date, b date"), spark.createDataFrame([(x,) for x in [*asked, asked[0], None]], "t date")
+    got = {r.t: r.n for r in asof.count_active(t, dates, F.col("a"), F.col("b")).collect()}
+    assert got == {x: n for x in asked if (n := sum(a is not None and a <= x and (b is None or x <= b) for _, a, b in spans))}
+    assert asof.count_active(t.where("false"), dates, F.col("a"), F.col("b")).count() == 0
+
+    cal = sorted(rng.sample(range(0, 200), 120))
+    bars = [(k, day(n), float(n), n, False) for k in ("a", "b", "c") for n in sorted(rng.sample(range(-20, 230), 60))] + [("one", day(cal[3]), 1.0, 1, False)]
+    rows = spark.createDataFrame(bars + bars[:2], "ts_code string, trade_date date, close double, volume long, is_suspend boolean")
+    calendar_days, keys = spark.createDataFrame([(day(n),) for n in cal], "cal_date date"), spark.createDataFrame([("a",), ("none",), ("none",)], "ts_code string")
+    want = {}
+    for k in ("a", "b", "c"):
+        have = {x[1] for x in bars if x[0] == k}
+        lost = [x for x in map(day, cal) if min(have) <= x <= max(have) and x not in have]
+        want[k] = (len(lost), lost[0]) if lost else None
+    found = {r.ts_code: (r.missing, r.first_missing) for r in quality.completeness(rows, calendar_days, keys=keys).collect()}
+    assert found == {k: v for k, v in want.items() if v} | {"none": (120, day(cal[0]))}
+    plan = quality.completeness(rows, calendar_days)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan.split("scalar-subquery")[0]
+    filled = quality.fill_missing(rows.distinct(), calendar_days)
+    made = filled.where("filled").collect()
+    assert len(made) == sum(v[0] for v in want.values() if v) and all(r.is_suspend and r.volume == 0 for r in made)
+    severity = {r.ts_code: r.severity for r in quality.completeness_findings(rows, calendar_days, keys).collect()}
+    assert severity["none"] == "ERROR" and severity["a"] == "WARNING"
+
+
+def test_exchange_calendar(spark):
+    bounds = spark.createDataFrame([(date(2018, 1, 1), date(2027, 12, 31))], "a date, b date")
+    days = {r.cal_date: r.is_trading_day for r in calendar.build(bounds, calendar.exchange_holidays(spark)).collect()}
+    closed = [date(2024, 2, 9), date(2024, 2, 16), date(2020, 10, 8), date(2023, 1, 2), date(2021, 9, 21), date(2018, 4, 30), date(2024, 1, 6)]
+    assert not any(days[x] for x in closed) and days[date(2024, 2, 8)] and days[date(2024, 2, 19)] and days[date(2021, 9, 22)]
+    assert all(235 <= sum(v for x, v in days.items() if x.year == y) <= 250 for y in range(2018, 2028))
