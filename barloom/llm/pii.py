@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for validated numbers, dates and mail addresses, in SQL functions only.
 
 A value is permuted by a keyed Feistel network inside its own format: a card number stays a valid card number of its
-length and first digit, a date stays a date written the same way. Equal values, however separated, get equal
-pseudonyms in every document, and two different values never share one.
+length and first digit, a date stays a date written the same way. Equal numbers, however separated, get equal
+pseudonyms in every document, and two different ones never share one; a date is a value in its notation.
 """
 
 from __future__ import annotations
@@ -36,6 +36,11 @@ _CARD_START, _CARD_END = r"(?<![\w.+]|(?<!\d)-)", r"(?!\w|-(?!\d)|\.\d)"
 _CARD_INSIDE = r"^(?=\d{4})(?:4|5[0-8]|2[2-7]|3[04-9]|6)\d+(?:[ -]\d{4,})*(?:[ -]\d+)?$"
 #: Days in a block of dates, which is permuted in itself: 270 x 270 days from 1900-01-01 and from each block after it.
 BLOCK_SIDE, FIRST_DAY = 270, "1900-01-01"
+#: Years in a block of dates whose days or months are of a range, and how often their permutation is repeated at most to
+#: meet a date: a pair is none with a chance below 0.06, so more are never needed.
+BLOCK_YEARS, WALK = 200, 24
+#: Fixed country calling codes of two digits; those that begin with 1 or 7 have one, all others three.
+COUNTRY_CODES_OF_TWO = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
 
 
 def _prf(key: str, *parts: Column) -> Column:
@@ -113,11 +118,12 @@ def _card(x: Column, key: str) -> Column:
 
 
 def _phone(x: Column, key: str) -> Column:
+    """The country code stays, read from the digits alone, so that separators make no difference; the rest is permuted."""
     d = _only_digits(x)
-    code = F.when(F.startswith(x, F.lit("+")), F.length(_only_digits(F.regexp_extract(x, r"^\+(\d{1,3}?)(?=[ .(-])", 1)))).otherwise(F.lit(0))
-    code = F.when(F.startswith(x, F.lit("+")) & (code == 0), F.lit(1)).otherwise(code)
+    two = F.substring(d, 1, 2).isin(*COUNTRY_CODES_OF_TWO.split())
+    code = F.when(~F.startswith(x, F.lit("+")), 0).when(F.left(d, F.lit(1)).isin("1", "7"), 1).when(two, 2).otherwise(3)
     rest = F.substr(d, code + 1, F.length(d) - code)
-    valid = F.length(d).between(F.when(F.startswith(x, F.lit("+")), 8).otherwise(10), 15) & (F.length(rest) >= 6)
+    valid = F.length(d).between(F.when(F.startswith(x, F.lit("+")), 8).otherwise(10), 15)
     return F.when(valid, _fill(x, F.concat(F.substr(d, F.lit(1), code), _digits(rest, "phone", key))))
 
 
@@ -138,30 +144,58 @@ def _ssn(x: Column, key: str) -> Column:
     return F.when(valid, F.get(F.transform(F.array(end), show), 0))
 
 
+def _walked(a: Column, b: Column, size_a: Column, size_b: Column, kind: Column, key: str, valid) -> Column:
+    """The permutation of the valid pairs that the one of all pairs gives: it is repeated until it meets a valid pair."""
+    step = lambda e, _: F.when(valid(e), e).otherwise(feistel(e["a"], e["b"], size_a, size_b, kind, key))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), feistel(a, b, size_a, size_b, kind, key), step)
+
+
 def _date(x: Column, key: str) -> Column:
-    """Years 1900 on; in d/m/yyyy the day is read first, and second where only that is a date; digits are padded as before."""
-    iso = F.try_to_date(x, "yyyy-MM-dd")
+    """Years 1900 on; in d/m/yyyy the day is read first, and second where only that is a date.
+
+    A date stays in its notation: ISO; day first with two digits each; month first, which keeps a day above 12, so that it
+    can't be read day first; and those with a part of one digit, in which each part keeps its number of digits. Notations
+    share no text, and each is permuted in itself, so no two dates get the same text.
+    """
+    is_iso, slashed = x.rlike(r"^\d{4}-"), F.contains(x, F.lit("/"))
     dotted = F.regexp_replace(x, "/", ".")
     day_first, month_first = F.try_to_date(dotted, "d.M.yyyy"), F.try_to_date(dotted, "M.d.yyyy")
-    is_iso = x.rlike(r"^\d{4}-")
+    day = F.when(is_iso, F.try_to_date(x, "yyyy-MM-dd")).otherwise(F.coalesce(day_first, F.when(slashed, month_first)))
     american = ~is_iso & day_first.isNull()
-    day = F.when(is_iso, iso).otherwise(F.coalesce(day_first, F.when(F.contains(x, F.lit("/")), month_first)))
-    since = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    side = F.lit(BLOCK_SIDE)
-    block = F.floor(since / (BLOCK_SIDE * BLOCK_SIDE))
-    inside = F.pmod(since, F.lit(BLOCK_SIDE * BLOCK_SIDE))
+    parts = F.split(dotted, r"\.")
+    short = ~is_iso & ((F.length(F.get(parts, F.lit(0))) == 1) | (F.length(F.get(parts, F.lit(1))) == 1))
+    mark = F.when(slashed, F.lit("/")).otherwise(F.lit("."))
+
+    # All dates of a block of days, for ISO and for two digits each, day first.
+    since, side = F.datediff(day, F.lit(FIRST_DAY).cast("date")), F.lit(BLOCK_SIDE)
+    block, inside = F.floor(since / (BLOCK_SIDE * BLOCK_SIDE)), F.pmod(since, F.lit(BLOCK_SIDE * BLOCK_SIDE))
     end = feistel(F.floor(inside / BLOCK_SIDE), inside % BLOCK_SIDE, side, side, F.concat(F.lit("date"), block.cast("string")), key)
-    padded = x.rlike(r"^(0\d|\d\d[./]0\d)")
-    mark = F.when(F.contains(x, F.lit("/")), F.lit("/")).otherwise(F.lit("."))
 
     def show(e):
         new = F.date_add(F.lit(FIRST_DAY).cast("date"), (e["a"] * BLOCK_SIDE + e["b"] + block * (BLOCK_SIDE * BLOCK_SIDE)).cast("int"))
-        d, m = F.dayofmonth(new).cast("string"), F.month(new).cast("string")
-        d, m = F.when(padded, F.lpad(d, 2, "0")).otherwise(d), F.when(padded, F.lpad(m, 2, "0")).otherwise(m)
-        y = F.date_format(new, "yyyy")
-        return F.when(is_iso, F.date_format(new, "yyyy-MM-dd")).when(american, F.concat(m, mark, d, mark, y)).otherwise(F.concat(d, mark, m, mark, y))
-
-    return F.when(day.isNotNull() & (F.year(day) >= 1900) & (F.year(day) < 9800), F.get(F.transform(F.array(end), show), 0))
+        return F.when(is_iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy")))
+
+    # Days and months of a range, in a block of years, for the other notations.
+    d, m, y = F.dayofmonth(day), F.month(day), F.year(day)
+    from_d = F.when(american, 13).when(d < 10, 1).otherwise(10)
+    n_d = F.when(american, 19).when(d < 10, 9).otherwise(22)
+    from_m = F.when(american & ~short, 1).when(m < 10, 1).otherwise(10)
+    n_m = F.when(american & ~short, 12).when(m < 10, 9).otherwise(3)
+    years = F.floor((y - 1900) / BLOCK_YEARS)
+    widths = F.concat_ws(",", F.length(F.get(parts, F.lit(0))).cast("string"), F.length(F.get(parts, F.lit(1))).cast("string"))
+    kind = F.concat_ws("|", F.when(american, "month first").otherwise("day first"), from_d.cast("string"), from_m.cast("string"), widths, years.cast("string"))
+    year_of, month_of, day_of = lambda e: (F.floor(e["a"] / n_m) + 1900 + years * BLOCK_YEARS).cast("int"), lambda e: (e["a"] % n_m + from_m).cast("int"), lambda e: (e["b"] + from_d).cast("int")
+    valid = lambda e: day_of(e) <= F.dayofmonth(F.last_day(F.make_date(year_of(e), month_of(e), F.lit(1))))
+    walked = _walked((y - 1900 - years * BLOCK_YEARS) * n_m + m - from_m, d - from_d, n_m * BLOCK_YEARS, n_d, kind, key, valid)
+
+    def show_short(e):
+        wide = lambda number, place: F.lpad(number.cast("string"), F.length(F.get(parts, F.lit(place))), "0")
+        first, second = F.when(american, month_of(e)).otherwise(day_of(e)), F.when(american, day_of(e)).otherwise(month_of(e))
+        return F.concat(wide(first, 0), mark, wide(second, 1), mark, year_of(e).cast("string"))
+
+    known = day.isNotNull() & (y >= 1900) & (y < 9800)
+    once = lambda e, f: F.get(F.transform(F.array(e), f), 0)
+    return F.when(known & (american | short), once(walked, show_short)).when(known, once(end, show))
 
 
 def _mod97(x: Column) -> Column:

@@ -611,15 +611,25 @@ def other_date(x, key):
     day = made(*p) if mark == "-" else made(p[2], p[0], p[1]) if american and mark == "/" else made(p[2], p[1], p[0])
     if day is None or not 1900 <= day.year < 9800:
         return None
+    w = [len(v) for v in x.split(mark)]
+    if american or mark != "-" and 1 in w[:2]:
+        short = 1 in w[:2]
+        from_d, n_d = (13, 19) if american else (1, 9) if day.day < 10 else (10, 22)
+        from_m, n_m = (1, 12) if american and not short else (1, 9) if day.month < 10 else (10, 3)
+        years = (day.year - 1900) // 200
+        kind = f"{'month' if american else 'day'} first|{from_d}|{from_m}|{w[0]},{w[1]}|{years}"
+        a, b = (day.year - 1900 - years * 200) * n_m + day.month - from_m, day.day - from_d
+        while True:
+            a, b = feistel(a, b, n_m * 200, n_d, kind, key)
+            new = made(1900 + years * 200 + a // n_m, a % n_m + from_m, b + from_d)
+            if new:
+                d, m = (f"{v:0{k}}" for v, k in zip((new.day, new.month), (w[1], w[0]) if american else w))
+                return mark.join([m, d, f"{new.year}"] if american else [d, m, f"{new.year}"])
     start, n = date(1900, 1, 1), 270 * 270
     block, inside = divmod((day - start).days, n)
     a, b = feistel(inside // 270, inside % 270, 270, 270, f"date{block}", key)
     new = start + timedelta(days=block * n + a * 270 + b)
-    if mark == "-":
-        return new.isoformat()
-    show = lambda v: f"{v:02}" if re.match(r"0\d|\d\d[./]0\d", x) else str(v)
-    d, m = show(new.day), show(new.month)
-    return mark.join([m, d, f"{new.year}"] if american else [d, m, f"{new.year}"])
+    return new.isoformat() if mark == "-" else f"{new.day:02}{mark}{new.month:02}{mark}{new.year}"
 
 
 def other_value(x, key):
@@ -653,11 +663,8 @@ def other_value(x, key):
         a, b = feistel(area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "ssn", key)
         return f"{a + 1 + (a >= 665):03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
     if whole(pii.PHONE):
-        code = 0
-        if x[0] == "+":
-            m = re.match(r"\+(\d{1,3}?)(?=[ .(-])", x)
-            code = len(m[1]) if m else 1
-        if not (8 if x[0] == "+" else 10) <= len(d) <= 15 or len(d) - code < 6:
+        code = 0 if x[0] != "+" else 1 if d[0] in "17" else 2 if d[:2] in pii.COUNTRY_CODES_OF_TWO.split() else 3
+        if not (8 if x[0] == "+" else 10) <= len(d) <= 15:
             return None
         return shaped(x, d[:code] + other_digits(d[code:], "phone", key))
     if luhn(d) and len(set(d)) > 1:
@@ -702,6 +709,36 @@ def test_pii_whole_texts(spark, docs):
         assert g == w
 
 
+def test_pii_of_dates_in_all_notations(spark):
+    """All days of 30 years in every notation: no two of them get the same text, and each keeps its notation and widths."""
+    from datetime import date, timedelta
+
+    days = [date(1940, 1, 1) + timedelta(days=k) for k in range(30 * 365)]
+    texts = {f"{x:%Y-%m-%d}" for x in days} | {f"{x:%d/%m/%Y}" for x in days} | {f"{x:%d.%m.%Y}" for x in days} | {f"{x.day}/{x.month}/{x.year}" for x in days}
+    texts |= {f"{x.day}.{x.month}.{x.year}" for x in days} | {f"{x:%m/%d/%Y}" for x in days} | {f"{x.month}/{x.day}/{x.year}" for x in days}
+    table = spark.createDataFrame([(t,) for t in sorted(texts)], "t string").repartition(8)
+    out = table.select("t", pii.pseudonym(F.col("t"), "k").alias("x")).collect()
+    assert len({r.x for r in out}) == len(texts), "none shared, none left out"
+    assert all(re.sub(r"\d", "0", r.t) == re.sub(r"\d", "0", r.x) for r in out)
+    assert all((int(r.t[3:5]) > 12) == (int(r.x[3:5]) > 12) for r in out if r.t[2] == "/" and r.t[5] == "/"), "month first stays month first"
+    assert all(("0" in (r.t[0], r.t.split(r.t[2])[1][0])) == ("0" in (r.x[0], r.x.split(r.x[2])[1][0])) for r in out if r.t[2] in "./" and r.t[4] in "./")
+
+
+def test_pii_of_phones_with_and_without_separators(spark):
+    written = {
+        "+491701234567": ["+49 170 1234567", "+49-170-1234567", "+49 (170) 1234567", "+49.170.1234.567"], "+15551234567": ["+1 555 123 4567", "+1 (555) 123-4567", "+1.555.123.4567"],
+        "+3581234567": ["+358 123 4567", "+358 12 34567"], "+442079460000": ["+44 20 7946 0000"], "+79161234567": ["+7 916 1234567"],
+    }
+    rows = [(k, w) for k, ways in written.items() for w in [k, *ways]]
+    out = spark.createDataFrame(rows, "k string, w string").select("k", "w", pii.pseudonym(F.col("w"), "k").alias("x")).collect()
+    digits = defaultdict(set)
+    for r in out:
+        digits[r.k].add(re.sub(r"\D", "", r.x))
+        assert re.sub(r"\d", "0", r.w) == re.sub(r"\d", "0", r.x)
+    assert all(len(v) == 1 for v in digits.values()) and len(set.union(*digits.values())) == len(written)
+    assert all(next(iter(digits[k])).startswith(c) for k, c in (("+491701234567", "49"), ("+15551234567", "1"), ("+3581234567", "358"), ("+442079460000", "44"), ("+79161234567", "7")))
+
+
 def test_pii_of_unbroken_texts(spark):
     """A megabyte without a break takes seconds, not minutes."""
     import time
