@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 

@@ -24,6 +24,8 @@ _CHUNK = 1 << 16
 COPY_SHINGLE, COPY_LEAST, COPY_RADIUS = 5, 0.8, 24
 #: Min-hash bands that deal texts into shards, and rows of a band; a pair at 0.8 meets in none with probability 4e-4.
 COPY_BANDS, COPY_ROWS = 20, 5
+#: Bytes of an Arrow batch of texts or of sets of shingles: sets are larger than their texts, and a worker holds both.
+COPY_BATCH = 4 << 20
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -270,7 +272,7 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = COP
     equal shards are searched once, and one of more than block texts in pairs of blocks. One row for each input row;
     null and empty texts are one group; a component of rows without doc_id alone has component_id null.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, COPY_BATCH)
 
     @F.pandas_udf("fp long, sig long, keys array<long>, grams binary")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
