@@ -62,12 +62,13 @@ def plan(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int,
     return pieces, n_seq + len(room)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, shard_ids: int = SHARD_IDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, shard_ids: int = SHARD_IDS, doc_id: str = "doc_id", text: str = "text", release: bool = False) -> DataFrame:
     """Pieces of all documents in sequences of at most capacity ids; each id, with end_id after each text, lies in one.
 
     Every task packs its own rows in shards of shard_ids ids (or one longer document), so nothing is shuffled and memory
     is bounded. Sequences are filled wholly or are of a power of two. Null texts are empty: their end_id alone.
-    Repeated rows and null ids are packed like any others.
+    Repeated rows and null ids are packed like any others. With release, a worker forgets its word pieces when a task
+    ends, for a session in which other work follows in the same workers.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -98,5 +99,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
                     yield flush()
         if held:
             yield flush()
+        if release:
+            coder.memo.clear()
 
     return rows.mapInArrow(pack, PIECES)
