@@ -33,13 +33,36 @@ def amihud(bars: DataFrame, n: int = 20) -> DataFrame:
     return bars.select("ts_code", "trade_date", F.avg(F.try_divide(F.abs("pct_chg") / 100, "amount")).over(w).alias("amihud"))
 
 
+def medians(df: DataFrame, group: list[str], column: str, name: str = "median", cells: int = 1024, passes: int = 2) -> DataFrame:
+    """(group, name): the exact median of a column's values in each group; groups without values or keys have no row.
+
+    A group's values are never gathered. Each pass counts the values of a group in equal cells between its bounds and keeps
+    the bounds, as values, of the cell that holds the middle rank; of two where the two middle ranks of an even count
+    part. What is left after the passes, a cell of a cell, is counted value by value.
+    """
+    rows = df.select(*group, F.col(column).cast("double").alias("_v")).where("_v is not null")
+    ends = rows.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    ends = ends.select(*group, "_lo", "_hi", F.floor((F.col("_n") - 1) / 2).alias("_k1"), F.floor(F.col("_n") / 2).alias("_k2"))
+    key = [*group, "_lo", "_k1", "_k2"]
+    for last in [False] * passes + [True]:
+        inside = rows.join(ends, group).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        small = [F.col(c) * 2.0**-40 for c in ("_v", "_lo", "_hi")]  # so that no difference of two values overflows
+        cell = F.col("_v") if last else F.width_bucket(*small, F.lit(cells))
+        counts = inside.groupBy(*key, cell.alias("_cell")).agg(F.count("*").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        upto = F.sum("_n").over(Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+        counts = counts.withColumn("_below", upto - F.col("_n"))
+        k1, k2 = (F.when(F.col(k).between(F.col("_below"), F.col("_below") + F.col("_n") - 1), F.col(k) - F.col("_below")) for k in ("_k1", "_k2"))
+        ends = counts.select(*group, F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), k1.alias("_k1"), k2.alias("_k2")).where("_k1 is not null or _k2 is not null")
+    return ends.groupBy(*group).agg(F.avg("_lo").alias(name))
+
+
 def winsorize_mad(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:
-    """Values within threshold median absolute deviations of their date's median."""
-    mid = df.groupBy("trade_date").agg(F.median(column).alias("_m"))
-    rows = df.join(mid, "trade_date")
-    mad = rows.groupBy("trade_date").agg(F.median(F.abs(F.col(column) - F.col("_m"))).alias("_d"))
+    """Values within threshold median absolute deviations of their date's median; rows without a value or a date stay as they are."""
+    rows = df.join(medians(df, ["trade_date"], column, "_m"), "trade_date", "left")
+    away = rows.select("trade_date", F.abs(F.col(column) - F.col("_m")).alias("_x"))
     reach = F.col("_d") * threshold * 1.4826
-    return rows.join(mad, "trade_date").withColumn(column, F.greatest(F.least(F.col(column), F.col("_m") + reach), F.col("_m") - reach)).drop("_m", "_d")
+    rows = rows.join(medians(away, ["trade_date"], "_x", "_d"), "trade_date", "left")
+    return rows.withColumn(column, F.when(F.col(column).isNotNull(), F.greatest(F.least(F.col(column), F.col("_m") + reach), F.col("_m") - reach))).drop("_m", "_d")
 
 
 def zscore(df: DataFrame, column: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import codes
 from barloom.operators import asof
-from barloom.operators.windows import by, latest
+from barloom.operators.windows import by
 
 
 def nested(history: DataFrame) -> DataFrame:
@@ -56,21 +56,60 @@ def final_state(bars: DataFrame, ends: DataFrame, days: int = 30, rows: int = 5)
     return near.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= rows).groupBy("ts_code").agg(F.max("trade_date").alias("last_day"), F.max_by("close", "trade_date").alias("last_close"), F.count("*").alias("n_rows"))
 
 
+def rare_first(sets: DataFrame) -> DataFrame:
+    """Distinct sets of characters (chars, a sorted string each) with their characters as numbers, the rarest first (_set).
+
+    The numbers are broadcast: a row a character, so never more than Unicode has.
+    """
+    each = sets.where("chars != ''").distinct().select("chars", F.explode(F.filter(F.split("chars", ""), lambda c: c != "")).alias("_c"))
+    order = each.groupBy("_c").agg(F.count("*").alias("_n")).select("_c", F.row_number().over(Window.orderBy("_n", "_c")).alias("_k"))
+    return each.join(F.broadcast(order), "_c").groupBy("chars").agg(F.array_sort(F.collect_list("_k")).alias("_set"))
+
+
+def similar_sets(gone: DataFrame, listed: DataFrame, days: int, least: float, verify: bool = True) -> DataFrame:
+    """(delist_date, chars, list_date, other, similarity) of sets of characters whose Jaccard similarity exceeds least.
+
+    gone: delist_date, chars; listed: list_date, chars; distinct rows. Pairs have 0 to days days between their dates. Sets
+    meet in an index of their prefixes, in buckets of days: of n characters, rarest first, only as many are indexed as there are
+    counts above least * n, since two sets that share enough share one of these. A pair is made at the first character
+    that its prefixes share. Without verify: the candidates, of any similarity.
+    """
+    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days)
+    ordered = rare_first(gone.select("chars").unionByName(listed.select("chars")))
+    size = F.size("_set")
+    length = F.size(F.filter(F.sequence(F.lit(1), size), lambda n: n / size > least))
+    index = ordered.select("chars", "_set", size.alias("_size"), F.posexplode(F.slice("_set", 1, length)).alias("_i", "_c"))
+    index = index.withColumn("_before", F.slice("_set", 1, F.col("_i"))).drop("_i")
+    left = gone.join(index, "chars").withColumn("_b", F.explode(F.array(bucket(F.col("delist_date")), bucket(F.col("delist_date")) + 1)))
+    right = listed.join(index, "chars").select("list_date", F.col("chars").alias("other"), F.col("_set").alias("_set2"), F.col("_size").alias("_size2"), F.col("_before").alias("_before2"), "_c", bucket(F.col("list_date")).alias("_b"))
+    near = F.datediff("list_date", "delist_date").between(0, days)
+    long_enough = F.least("_size", "_size2") / F.greatest("_size", "_size2") > least
+    pairs = left.join(right, ["_b", "_c"]).where(near & long_enough & ~F.arrays_overlap("_before", "_before2"))
+    both = F.size(F.array_intersect("_set", "_set2"))
+    pairs = pairs.withColumn("similarity", both / (F.col("_size") + F.col("_size2") - both))
+    return (pairs.where(F.col("similarity") > least) if verify else pairs).select("delist_date", "chars", "list_date", "other", "similarity")
+
+
 def successors(gone: DataFrame, listed: DataFrame, days: int = 60, least: float = 0.5) -> DataFrame:
     """For each delisted name the first listing within some days whose name is similar; (old, new, similarity).
 
-    gone: ts_code, name, delist_date; listed: ts_code, name, list_date. Both are met in buckets of `days` days. Of the
-    listings of a day with the same characters only the two of smallest code can be the first, so a name meets distinct
-    sets of characters, not every listing.
+    gone: ts_code, name, delist_date; listed: ts_code, name, list_date. Ties go to the smallest code. Names of a day with the
+    same characters are compared once. Of the listings of a day with the same characters the two of smallest code can be the first, and
+    so can the first two of a day's delisted names: the second where the first is the name itself.
     """
-    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days)
-    g = gone.select(F.col("ts_code").alias("old"), F.col("name").alias("_a"), "delist_date").withColumn("_b", F.explode(F.array(bucket(F.col("delist_date")), bucket(F.col("delist_date")) + 1)))
-    n = listed.select(F.col("ts_code").alias("new"), F.col("name").alias("_n"), "list_date").withColumn("_b", bucket(F.col("list_date")))
-    alike = Window.partitionBy("list_date", F.array_join(F.array_sort(codes.name_chars(F.col("_n"))), "")).orderBy("new")
-    n = n.withColumn("_rn", F.row_number().over(alike)).where("_rn <= 2").drop("_rn")
-    near = F.datediff("list_date", "delist_date").between(0, days) & (F.col("old") != F.col("new"))
-    pairs = g.join(n, "_b").where(near).withColumn("similarity", codes.name_similarity(F.col("_a"), F.col("_n"))).where(F.col("similarity") > least)
-    return latest(pairs, ["old"], F.col("list_date"), F.col("new")).select("old", "new", "similarity")
+    chars = F.array_join(F.array_sort(codes.name_chars(F.col("name"))), "").alias("chars")
+    g = gone.select(F.col("ts_code").alias("old"), "delist_date", chars).where("old is not null and delist_date is not null and chars != ''")
+    n = listed.select(F.col("ts_code").alias("new"), "list_date", chars).where("new is not null and list_date is not null and chars != ''").distinct()
+    n = n.withColumn("_rn", F.row_number().over(Window.partitionBy("list_date", "chars").orderBy("new"))).where("_rn <= 2")
+    days_of = n.groupBy("list_date", "chars").agg(F.collect_list("new").alias("_new"))
+    pairs = similar_sets(g.select("delist_date", "chars").distinct(), days_of.select("list_date", "chars"), days, least)
+    pairs = pairs.join(days_of.withColumnRenamed("chars", "other"), ["list_date", "other"]).withColumn("new", F.explode("_new"))
+    # a code that is listed more than once counts where it is first
+    best = pairs.groupBy("delist_date", "chars", "new").agg(F.min(F.struct("list_date", (-F.col("similarity")).alias("_s"))).alias("_x"))
+    order = Window.partitionBy("delist_date", "chars").orderBy(F.col("_x.list_date"), "new")
+    best = best.withColumn("_rn", F.row_number().over(order)).where("_rn <= 2")
+    found = g.join(best, ["delist_date", "chars"]).where("old != new").groupBy("old").agg(F.min(F.struct("_x.list_date", "new", (-F.col("_x._s")).alias("similarity"))).alias("x"))
+    return found.select("old", "x.new", "x.similarity")
 
 
 def correct(log: DataFrame, corrections: DataFrame, key: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import codes
-from barloom.operators import asof, calendar, merge, pit, portfolio, quality, windows
+from barloom.operators import asof, calendar, factors, lifetimes, merge, pit, portfolio, quality, windows
 from barloom.streaming import sync
 
 
@@ -181,3 +181,66 @@ def test_exchange_calendar(spark):
     closed = [date(2024, 2, 9), date(2024, 2, 16), date(2020, 10, 8), date(2023, 1, 2), date(2021, 9, 21), date(2018, 4, 30), date(2024, 1, 6)]
     assert not any(days[x] for x in closed) and days[date(2024, 2, 8)] and days[date(2024, 2, 19)] and days[date(2021, 9, 22)]
     assert all(235 <= sum(v for x, v in days.items() if x.year == y) <= 250 for y in range(2018, 2028))
+
+
+def test_medians_without_gathering_groups(spark):
+    """Against statistics.median, whatever the values are: ties, gaps, even counts, infinities, one value, nulls."""
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    groups = {
+        "even": [rng.gauss(0, 1) for _ in range(500)], "odd": [rng.expovariate(1) ** 9 for _ in range(501)], "ties": [float(rng.randint(0, 3)) for _ in range(400)], "one": [7.5],
+        "two": [1.0, 4.0], "gap": [float(k) for k in range(50)] + [1e12 + k for k in range(50)], "same": [2.0] * 30, "close": [1 + k * 2.0**-52 for k in range(9)] + [1e9],
+        "far": [-1e308, 1e308, 5.0, 6.0, 1e307], "ends": [float("-inf"), 1.0, 2.0, 9.0, float("inf")],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("even", None), ("none", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for cells, passes in [(1024, 2), (4, 2), (3, 0), (2, 5)]:
+        got = {r.g: r.m for r in factors.medians(df, ["g"], "x", "m", cells, passes).collect()}
+        assert got == {k: pytest.approx(statistics.median(v), rel=1e-15) for k, v in groups.items()}
+    plan = factors.medians(df, ["g"], "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "median(" not in plan and "percentile" not in plan and "collect_" not in plan
+    kept = factors.winsorize_mad(df.withColumnRenamed("g", "trade_date"), "x").collect()
+    assert len(kept) == len(rows) and sum(r.x is None for r in kept) == 2
+    assert factors.medians(df.where("false"), ["g"], "x").count() == 0
+
+
+def test_successors_by_prefixes_of_names(spark):
+    """Equal to all pairs; far fewer candidates than pairs of near dates; a name is never its own successor."""
+    import random
+
+    rng, start = random.Random(6), date(2020, 1, 1)
+    letters = [chr(0x4E00 + k) for k in range(150)]
+    weights = [1 / (k + 1) for k in range(150)]
+    name = lambda: "".join(rng.choices(letters, weights, k=rng.randint(1, 7))) + rng.choice(["", "股份", "ST"])
+    day = lambda: start + timedelta(days=rng.randint(0, 150))
+    old = [(f"o{i}", name(), day()) for i in range(300)]
+    old += [("both", "甲乙丙丁", start), ("both2", "甲乙丙丁", start), ("x", None, start), ("y", "股份", start), ("z", "甲乙", None)]
+    new = [(f"n{i}", rng.choice(old)[1] if rng.random() < 0.3 else name(), day()) for i in range(300)]
+    new += [("both", "丁丙乙甲", start), ("both2", "甲乙丙丁", start), ("both", "甲乙丙", start), ("y", "公司", start), ("w", None, start)]
+    gone, listed = spark.createDataFrame(old, "ts_code string, name string, delist_date date"), spark.createDataFrame(new, "ts_code string, name string, list_date date")
+
+    def chars(x):
+        for s in codes.NAME_SUFFIXES:
+            x = (x or "").replace(s, "")
+        return set(x)
+
+    for least in (0.5, 0.3, 0.8):
+        want, near, true = {}, 0, set()
+        for o, a, d in old:
+            for n, b, l in new:
+                if d and 0 <= (l - d).days <= 60 and chars(a) and chars(b):
+                    near += 1
+                    s = len(chars(a) & chars(b)) / len(chars(a) | chars(b))
+                    if s > least:
+                        true.add((d, "".join(sorted(chars(a))), l, "".join(sorted(chars(b)))))
+                        if o != n:
+                            want[o] = min(want.get(o, (date.max,)), (l, n, -s))
+        got = {r.old: (r.new, round(r.similarity, 12)) for r in lifetimes.successors(gone, listed, least=least).collect()}
+        assert got == {o: (n, round(-s, 12)) for o, (_, n, s) in want.items()} and got["both"][0] == "both2"
+        sets = [x.select(c, F.array_join(F.array_sort(codes.name_chars(F.col("name"))), "").alias("chars")).where(f"chars != '' and {c} is not null").distinct() for x, c in ((gone, "delist_date"), (listed, "list_date"))]
+        pairs = lambda verify: [tuple(r)[:4] for r in lifetimes.similar_sets(*sets, 60, least, verify).collect()]
+        found, tried = pairs(True), pairs(False)
+        assert sorted(found) == sorted(true) and len(set(tried)) == len(tried) and true <= set(tried) and len(tried) < near / 2
+    assert lifetimes.successors(gone.where("false"), listed).count() == 0
