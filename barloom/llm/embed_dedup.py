@@ -15,7 +15,7 @@ from barloom.llm.components import node_of, with_component
 
 #: Least bits of a table, classes for each bucket of a table from which there are more bits, share of pairs at the threshold
 #: that may meet in no table, and the seed of the hyperplanes.
-BITS, FILL, LOSS, SEED = 16, 2048, 4e-5, 7
+BITS, FILL, LOSS, SEED = 16, 64, 4e-5, 7
 #: Vectors of a bucket that are compared in one task; a larger bucket is compared block by block.
 BLOCK = 1024
 
