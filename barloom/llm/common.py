@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -74,6 +75,15 @@ def removed(df: DataFrame) -> None:
     remove(df.sparkSession, df._staged_at)
 
 
+def trimmed() -> None:
+    """In a worker: returns to the system what earlier tasks have freed, which allocators keep otherwise."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bound_batches
+from barloom.llm.common import bound_batches, trimmed
 from barloom.llm.encode import encoder
 
 #: Capacity of a sequence; ids that a shard gathers before it is packed; width of the model that costs are estimated for.
@@ -67,13 +67,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
 
     Every task packs its own rows in shards of shard_ids ids (or one longer document), so nothing is shuffled and memory
     is bounded. Sequences are filled wholly or are of a power of two. Null texts are empty: their end_id alone.
-    Repeated rows and null ids are packed like any others. With release, a worker forgets its word pieces when a task
-    ends, for a session in which other work follows in the same workers.
+    Repeated rows and null ids are packed like any others. With release, a worker returns what it no longer holds before a
+    task, and forgets its word pieces when it ends, for a session in which other work shares the workers.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if release:
+            trimmed()
         coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 36
         held: list[tuple[int | None, bytes]] = []
@@ -101,5 +103,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
             yield flush()
         if release:
             coder.memo.clear()
+            trimmed()
 
     return rows.mapInArrow(pack, PIECES)
