@@ -16,7 +16,7 @@ from barloom.llm.components import node_of, with_component
 #: Words of a shingle, seed of XXH64, differing bits of a link.
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a shard from which it is dealt out anew by bands of the bits that its members may differ in.
-SHARD_LIMIT = 512
+SHARD_LIMIT = 4096
 #: Texts of a shard of near copies that are compared in one task; a larger shard is compared block by block.
 COPY_BLOCK = 2048
 _CHUNK = 1 << 16
