@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -75,10 +76,27 @@ def removed(df: DataFrame) -> None:
     remove(df.sparkSession, df._staged_at)
 
 
+_kept: list[dict] = []
+
+
+def kept_in_worker() -> dict:
+    """A dictionary for what a Python worker keeps from one task to the next; released() empties it."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def released() -> None:
+    """In a worker: forgets what earlier tasks of other operators kept, and returns its memory to the system."""
+    for found in _kept:
+        found.clear()
+    trimmed()
+
+
 def trimmed() -> None:
     """In a worker: returns to the system what earlier tasks have freed, which allocators keep otherwise."""
     import pyarrow as pa
 
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
         trim(0)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bound_batches, removed, staged
+from barloom.llm.common import bound_batches, kept_in_worker, removed, staged
 
 #: Words of an item that make a window.
 WINDOW = 10
@@ -19,7 +19,7 @@ WINDOWS_A_PASS = 500_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-_built: dict[int, object] = {}
+_built: dict[int, object] = kept_in_worker()
 
 RUNS = "array<struct<first:int,last:int,start:int,end:int>>"
 

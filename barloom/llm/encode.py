@@ -52,6 +52,7 @@ class PieceEncoder:
             self.starts = np.zeros(max(vocab.values()) + 1, bool)
             self.starts[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True
         self.memo: dict[str, bytes] = {}
+        self.most = MEMO_ENTRIES
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,7 +83,7 @@ class PieceEncoder:
         if not self.by_piece:
             return self._raw(texts)
         memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
+        if len(memo) > self.most:
             memo.clear()
         cuts = [self.pieces(text) if text else [] for text in texts]
         firsts = [cut[0] for cut in cuts if cut]

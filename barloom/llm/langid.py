@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import bound_batches, fold_of
+from barloom.llm.common import bound_batches, fold_of, kept_in_worker
 
 #: Bounded sample that a language's dictionary is made of: bytes of a dictionary, bytes of one text in it.
 DICTIONARY_BYTES, TEXT_BYTES = 32 << 10, 1 << 10
@@ -26,7 +26,7 @@ _FILLER = bytes(256)
 
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
-_ready: dict[str, list] = {}
+_ready: dict[str, list] = kept_in_worker()
 
 
 def normalise(text: str) -> str:

@@ -11,11 +11,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bound_batches, trimmed
-from barloom.llm.encode import encoder
+from barloom.llm.common import BATCH_BYTES, bound_batches, released, trimmed
+from barloom.llm.encode import MEMO_ENTRIES, encoder
 
 #: Capacity of a sequence; ids that a shard gathers before it is packed; width of the model that costs are estimated for.
 CAPACITY, SHARD_IDS, HIDDEN = 2048, 1 << 22, 1024
+#: With release: bytes of a batch, whose words are Python strings of some ten times that, and entries of the memo.
+SMALL_BATCH, SMALL_MEMO = 1 << 20, 200_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -67,16 +69,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
 
     Every task packs its own rows in shards of shard_ids ids (or one longer document), so nothing is shuffled and memory
     is bounded. Sequences are filled wholly or are of a power of two. Null texts are empty: their end_id alone.
-    Repeated rows and null ids are packed like any others. With release, a worker returns what it no longer holds before a
-    task, and forgets its word pieces when it ends, for a session in which other work shares the workers.
+    Repeated rows and null ids are packed like any others. With release, a worker forgets what other operators
+    left in it before a task, reads smaller batches, remembers fewer word pieces and forgets them when the task ends, for a
+    session in which other work shares the workers. The rows are the same.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, SMALL_BATCH if release else BATCH_BYTES)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if release:
-            trimmed()
+            released()
         coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        coder.most = SMALL_MEMO if release else MEMO_ENTRIES
         base = TaskContext.get().partitionId() << 36
         held: list[tuple[int | None, bytes]] = []
         size = done = 0

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from barloom.llm import decontam, embed_dedup, encode, langid, packing, pii, queries, simhash, suffix_dedup, token_codes, token_count, toxicity
-from barloom.llm.common import scratch
+from barloom.llm.common import released, scratch
 from barloom.llm.components import connected_components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -139,6 +139,29 @@ def test_packing(spark, small, docs, odd, tokenizer):
     assert packing.pack_documents(odd, PATH).where("doc_id = 6").agg(F.sum("length")).first()[0] == 2 * (1 + len(tokenizer.encode(ODD[5][1]).ids))
 
 
+def test_packing_with_release(spark, odd, tokenizer):
+    single = odd.where("doc_id is null or doc_id != 6")
+    check_packing(packing.pack_documents(single, PATH, release=True).collect(), {r.doc_id: r.text for r in single.collect()}, tokenizer)
+    assert packing.pack_documents(odd.limit(0), PATH, release=True).count() == 0
+
+
+def test_released_forgets_what_workers_keep():
+    langid._coders("some", {"en": b"some words of a language"})
+    decontam._built[7] = object()
+    assert langid._ready and decontam._built
+    released()
+    assert not langid._ready and not decontam._built
+
+
+def test_encoder_forgets_beyond_its_bound(tokenizer):
+    coder = encode.PieceEncoder(PATH)
+    coder.most = 3
+    texts = ["one two three four five", "six seven eight nine", "one seven ten"]
+    for text in texts * 2:
+        assert np.frombuffer(coder.encode_all([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(coder.memo) <= 3 + text.count(" ")
+
+
 def test_packing_balances_cost():
     rng = random.Random(5)
     lengths = [rng.randrange(1, 1500) for _ in range(300)]
