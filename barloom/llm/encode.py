@@ -7,13 +7,19 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Memo entries in one worker (about 200 bytes each); it starts afresh beyond them, so its memory is bounded.
+#: Memo entries in one worker (about 200 bytes each), so that its memory is bounded: half of them are the newest, half those before.
 MEMO_ENTRIES = 1_000_000
 #: Pieces that are encoded in one call.
 PIECES_A_CALL = 512
+#: Ids that are put in the order of their texts at once, unless a single text has more.
+IDS_A_GROUP = 1 << 19
 
 _ODD_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: For RE2: texts that pieces() does not cut at every space.
+_ODD_TEXT = "  |\\n | \\n|\\A | \\z|[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -52,6 +58,7 @@ class PieceEncoder:
             self.starts = np.zeros(max(vocab.values()) + 1, bool)
             self.starts[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most = MEMO_ENTRIES
 
     def _raw(self, texts: list[str]) -> list[bytes]:
@@ -82,14 +89,58 @@ class PieceEncoder:
         """Little-endian unsigned 32-bit ids of each text, without added special tokens."""
         if not self.by_piece:
             return self._raw(texts)
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        cuts = [self.pieces(text) if text else [] for text in texts]
-        firsts = [cut[0] for cut in cuts if cut]
-        missing: set[str] = set()
-        for cut in cuts:
-            missing.update(set(cut[1:]).difference(memo))
-        self._learn(list(missing))
-        heads = iter(self._raw(firsts))
-        return [next(heads) + b"".join(map(memo.__getitem__, cut[1:])) if cut else b"" for cut in cuts]
+        full = np.flatnonzero([bool(t) for t in texts])
+        cuts = self._cut([texts[k] for k in full])
+        n_pieces = pc.list_value_length(cuts).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, first = cuts.flatten(), np.cumsum(n_pieces) - n_pieces
+        later = np.ones(len(flat), bool)
+        later[first] = False
+        heads = self._raw(flat.take(pa.array(first)).to_pylist())
+        words = flat.filter(pa.array(later)).dictionary_encode()
+        del cuts, flat
+        known = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, at, codes = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size, words.indices.to_numpy(zero_copy_only=False)
+        lengths = size[codes]
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(n_pieces - 1)]  # of each text's ids, without its first piece
+        out, done, piece, text = [b""] * len(texts), 0, 0, 0
+        while text < len(full):
+            upto = max(text + 1, int(np.searchsorted(ends, done + IDS_A_GROUP, "right")))
+            stop = piece + int((n_pieces[text:upto] - 1).sum())
+            some = lengths[piece:stop]
+            where = np.repeat(at[codes[piece:stop]] - (np.cumsum(some) - some), some)
+            where += np.arange(len(where))
+            raw, begin = ids[where].tobytes(), done
+            for k in range(text, upto):
+                out[full[k]] = heads[k] + raw[4 * (done - begin) : 4 * (int(ends[k]) - begin)]
+                done = int(ends[k])
+            piece, text = stop, upto
+        return out
+
+    def _cut(self, texts: list[str]) -> pa.ListArray:
+        """The pieces of each text, as pieces() has them; Arrow cuts the texts that are cut at every space."""
+        every = pa.array(texts, pa.large_string())
+        odd = np.flatnonzero(pc.match_substring_regex(every, _ODD_TEXT).to_numpy(zero_copy_only=False))
+        if not len(odd):
+            return pc.split_pattern(every, " ")
+        plain = np.setdiff1d(np.arange(len(texts)), odd)
+        apart = pa.array([self.pieces(texts[k]) for k in odd], pa.list_(pa.large_string()))
+        return pa.concat_arrays([pc.split_pattern(every.take(pa.array(plain)), " "), apart]).take(pa.array(np.argsort(np.concatenate((plain, odd)))))
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct pieces with their space, from the memo or learnt."""
+        if len(self.memo) > self.most // 2:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        found = [*map(memo.get, words)]
+        missing = [w for w, raw in zip(words, found) if raw is None]
+        if not missing:
+            return found
+        again = {w: raw for w in missing if (raw := older.get(w)) is not None}
+        memo.update(again)
+        self._learn([w for w in missing if w not in again])
+        return [raw if raw is not None else memo[w] for w, raw in zip(words, found)]
+
+    def forget(self) -> None:
+        self.memo.clear()
+        self.older.clear()

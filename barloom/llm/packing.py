@@ -106,7 +106,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
         if held:
             yield flush()
         if release:
-            coder.memo.clear()
+            coder.forget()
             trimmed()
 
     return rows.mapInArrow(pack, PIECES)

@@ -162,6 +162,22 @@ def test_encoder_forgets_beyond_its_bound(tokenizer):
         assert len(coder.memo) <= 3 + text.count(" ")
 
 
+def test_encoder_learns_once_what_recurs(tokenizer, monkeypatch):
+    """A piece of every batch stays when the memo is full, and texts are put together in groups of any size."""
+    coder, learnt, learn = encode.PieceEncoder(PATH), Counter(), encode.PieceEncoder._learn
+    monkeypatch.setattr(encode.PieceEncoder, "_learn", lambda self, missing: (learnt.update(missing), learn(self, missing)))
+    monkeypatch.setattr(encode, "IDS_A_GROUP", 30)
+    coder.most = 40
+    for k in range(30):
+        texts = ["so always " + " ".join(f"w{k}n{j}" for j in range(10)), None, "one", "", f"two  always\n{k}", " lead always", f"a\xa0b always {k} " * 20]
+        for t, raw in zip(texts, coder.encode_all(texts)):
+            assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert len(coder.memo) <= 20 + 40 and len(coder.older) <= 20 + 40
+    assert learnt["always"] == 1
+    coder.forget()
+    assert not coder.memo and not coder.older and coder.encode_all([]) == []
+
+
 def test_packing_balances_cost():
     rng = random.Random(5)
     lengths = [rng.randrange(1, 1500) for _ in range(300)]
