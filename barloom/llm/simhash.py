@@ -209,17 +209,30 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def sketch_of(text: str | None, shingle: int = COPY_SHINGLE) -> tuple[int, int, list[int], bytes]:
-    """(fp, sig, keys, grams): SimHash, a hash of the set of shingles, its min-hash bands, the sorted set itself (packed)."""
-    import xxhash
-
-    hashes = shingle_hashes(text, shingle)
-    grams = np.unique(np.array(hashes, np.uint64))
+def sketch_of(text: str | None, shingle: int = COPY_SHINGLE) -> tuple[int, list[int]]:
+    """(sig, keys): a hash of the text's set of shingles, and its min-hash bands."""
+    grams = _grams(shingle_hashes(text, shingle))
     low = np.full(len(_MIXERS), np.iinfo(np.uint64).max)
     for k in range(0, len(grams), 1024):
         low = np.minimum(low, ((grams[k : k + 1024, None] ^ _MASKS) * _MIXERS).min(axis=0))
-    raw, signed = low.reshape(COPY_BANDS, COPY_ROWS), lambda b, k: xxhash.xxh64_intdigest(b, k) - (1 << 63)
-    return majority(hashes), signed(grams.tobytes(), 0), [signed(r.tobytes(), k) for k, r in enumerate(raw)], packed(grams)
+    return _signed(grams, 0), [_signed(r, k) for k, r in enumerate(low.reshape(COPY_BANDS, COPY_ROWS))]
+
+
+def set_of(text: str | None, shingle: int = COPY_SHINGLE) -> tuple[int, int, bytes]:
+    """(sig, fp, grams): the same hash of the set, SimHash, and the sorted set itself (packed)."""
+    hashes = shingle_hashes(text, shingle)
+    grams = _grams(hashes)
+    return _signed(grams, 0), majority(hashes), packed(grams)
+
+
+def _grams(hashes: list[int]) -> np.ndarray:
+    return np.unique(np.array(hashes, np.uint64))
+
+
+def _signed(values: np.ndarray, seed: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(values.tobytes(), seed) - (1 << 63)
 
 
 def packed(grams: np.ndarray) -> bytes:
@@ -280,36 +293,47 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = COP
     """doc_id and component_id, the smallest doc_id that links lead to; texts link if their sets of shingles are alike.
 
     Bands of the bits would be some four bits wide at this radius, so min-hash bands of the shingles deal the shards;
-    equal shards are searched once, and one of more than block texts in pairs of blocks. One row for each input row;
-    null and empty texts are one group; a component of rows without doc_id alone has component_id null.
+    equal shards are searched once, and one of more than block texts in pairs of blocks. Sets of shingles are made anew
+    for texts that share a shard only, since the sets of all texts would be larger than the texts. One row for each
+    input row; null and empty texts are one group; a component of rows without doc_id alone has component_id null.
     """
     bound_batches(docs.sparkSession, COPY_BATCH)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
-    @F.pandas_udf("fp long, sig long, keys array<long>, grams binary")
+    @F.pandas_udf("sig long, keys array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([sketch_of(t, shingle) for t in texts], columns=["fp", "sig", "keys", "grams"])
+        for some in batches:
+            yield pd.DataFrame([sketch_of(t, shingle) for t in some], columns=["sig", "keys"])
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            yield pd.DataFrame([set_of(t, shingle) for t in some["text"]], columns=["sig", "fp", "grams"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, across, members in _shards(batches):
             if found := copy_links(own, members if across else None, radius, least):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
-    each = staged(docs.select(F.col(doc_id).alias("doc_id"), sketch(F.col(text)).alias("x")).select("doc_id", "x.*"), "sketches")
-    classes = each.groupBy("sig").agg(F.min("doc_id").alias("first_id")).withColumn("node", node_of(F.col("first_id"), F.col("sig")))
-    rows = each.select("sig", F.explode("keys").alias("key")).distinct()
+    each = staged(texts.select("doc_id", sketch("text").alias("x")).select("doc_id", "x.*"), "sketches")
+    nameless = not each.where("doc_id is null").isEmpty()
+    classes = each.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
+    classes = staged(classes.withColumn("node", node_of(F.col("first_id"), F.col("sig"))), "classes")
+    rows = classes.select("sig", F.explode(F.array_distinct("keys")).alias("key"))
     shards = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y")).where("n > 1")
     shards = shards.groupBy(F.xxhash64("n", "x", "y").alias("shard")).agg(F.min("key").alias("key"), F.first("n").alias("n"))
     blocks = F.ceil(F.col("n") / block).cast("int")
     members = rows.join(shards, "key").select("shard", "sig", blocks.alias("blocks"), F.pmod(F.xxhash64("sig"), blocks).cast("int").alias("own"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = staged(members.select("shard", "sig", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")), "shards")
-    sets = each.select("sig", "fp", "grams").join(members.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]).join(classes.select("sig", "node"), "sig")
+    wanted = classes.join(members.select("sig").distinct(), "sig", "left_semi").select("sig", "first_id", "node")
+    held = texts.join(wanted.select(F.col("first_id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    if nameless:
+        held = held.unionByName(texts.where("doc_id is null"))
+    sets = held.select("text").mapInPandas(gather, "sig long, fp long, grams binary").join(wanted.select("sig", "node"), "sig").dropDuplicates(["sig"])
     group = F.xxhash64("shard", "p", "q")
     dealt = members.join(sets, "sig").select(group.alias("group"), "node", "fp", "grams", "own", "p", "q")
     links = dealt.repartition("group").sortWithinPartitions("group", "node").mapInArrow(search, "a long, b long").distinct()
-    nameless = not each.where("doc_id is null").isEmpty()
-    named = with_component(classes, links, "first_id", nameless).select("sig", "component_id")
+    named = with_component(classes.drop("keys"), links, "first_id", nameless).select("sig", "component_id")
     return each.select("doc_id", "sig").join(named, "sig").select("doc_id", "component_id")
 
 

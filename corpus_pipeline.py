@@ -30,9 +30,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id in each group of near copies; documents without an id all stay.
 
     Near copies share 0.8 of their five-word shingles. Rows that repeat a kept doc_id are the same document and stay together.
+    The joins of texts ask for a merge, so that a small corpus takes the plan of a large one, whose ids can't be broadcast.
     """
     found = simhash.near_copies(docs).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["_keep"], "left_semi")
+    kept = docs.join(found.hint("merge"), docs["doc_id"] == found["_keep"], "left_semi")
     return kept.unionByName(docs.where(docs["doc_id"].isNull()))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -522,6 +523,27 @@ def test_near_copies_by_similarity(spark):
     assert simhash.near_copies(table.limit(0)).count() == 0
 
 
+def test_near_copies_keep_no_sets_of_all_texts(spark):
+    """Texts without a copy leave sketches in the shared folder, not their sets of shingles."""
+    folder = spark.conf.get("spark.checkpoint.dir")
+    held = lambda: sum(os.path.getsize(f"{d}/{x}") for d, _, names in os.walk(folder) for x in names)
+    rng, before = random.Random(4), held()
+    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000))) for k in range(120)]
+    rows += [(500 + k, rows[k][1] + " more") for k in range(4)]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: k - 500 if k >= 500 else k for k, _ in rows}
+    assert held() - before < 0.1 * sum(len(t) for _, t in rows)
+
+
+def test_near_copies_of_rows_with_clashing_ids(spark):
+    """Ids that repeat with other texts, and rows without an id that are near copies of each other only."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(5)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0] + " end"), (3, texts[1] + " end"), (4, texts[2]), (None, texts[2] + " end"), (None, texts[3]), (None, texts[3] + " end"), (7, texts[4]), (7, None), (8, None)]
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (None, 4), (None, None), (None, None), (7, 7), (7, 7), (8, 7)], key=str)
+
+
 def test_pipeline_keeps_one_of_near_copies(spark, small):
     """The stage on the given texts, against five-word sets of all pairs."""
     import corpus_pipeline
